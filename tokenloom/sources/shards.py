@@ -21,11 +21,11 @@ def read_corpus(spark: SparkSession, path: str, split: str, columns: tuple[str,
     if split not in ("train", "val"):
         raise ValueError("split must be train or val")
     last = shard_catalog(spark, path).agg(F.max("file_path").alias("f")).first().f
-    here = F.col("_metadata.file_path")
+    if split == "val":
+        return spark.read.option("basePath", path).parquet(last).select(*columns)
     # The listing spells local paths file:/x, the scan file:///x.
     tidy = lambda p: F.regexp_replace(p, "^file:/+", "file:/")
-    is_last = tidy(here) == tidy(F.lit(last))
-    return spark.read.parquet(path).where(is_last if split == "val" else ~is_last).select(*columns)
+    return spark.read.parquet(path).where(tidy(F.col("_metadata.file_path")) != tidy(F.lit(last))).select(*columns)
 
 
 def strided_scan(spark: SparkSession, path: str, start: int, step: int, group_rows: int = 1024,
