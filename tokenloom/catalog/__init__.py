@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import os
 
-MODULES = ["vocabulary", "corpus", "chats"]
+MODULES = ["vocabulary", "corpus", "chats", "scores"]
 
 
 def load():
