@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import os
 
-MODULES = ["vocabulary", "corpus", "chats", "scores"]
+MODULES = ["vocabulary", "corpus", "chats", "scores", "logs", "problems", "streams"]
 
 
 def load():

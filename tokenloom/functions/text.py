@@ -185,10 +185,15 @@ def slugify(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit(" "), F.lit("-"))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals with ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+
+
 def format_metric(value: Column, kind: Column) -> Column:
     """``float``: four decimals; ``int``: separators from 10000 on; else the text itself."""
     number = value.cast("double")
-    return (F.when(kind == "float", F.format_string("%.4f", number))
+    return (F.when(kind == "float", fixed(number, 4))
             .when((kind == "int") & (number >= 10000), F.format_number(number, 0))
             .when(kind == "int", number.cast("bigint").cast("string")).otherwise(value.cast("string")))
 
@@ -196,10 +201,15 @@ def format_metric(value: Column, kind: Column) -> Column:
 def metric_lines(section: Column, keys: list[str]) -> Column:
     """``ARRAY<STRUCT<metric, value>>``: every line that contains a key gives the text between its first two colons."""
     lines = F.split(section, "\n")
-    hits = [F.transform(F.filter(lines, lambda l, k=k: F.contains(l, F.lit(k)) & F.contains(l, F.lit(":"))),
-                        lambda l, k=k: F.struct(F.lit(k).alias("metric"), strip(F.get(F.split(l, ":"), 1)).alias("value"))) for k in keys]
-    # Of several lines with one key the last counts.
-    lasts = [F.when(F.size(h) > 0, F.element_at(h, -1)) for h in hits]
+
+    def hits(key):
+        mine = F.filter(lines, lambda l: F.contains(l, F.lit(key)) & F.contains(l, F.lit(":")))
+        found = F.transform(mine, lambda l: F.struct(
+            F.lit(key).alias("metric"), strip(F.get(F.split(l, ":"), 1)).alias("value")))
+        # Of several lines with one key the last counts.
+        return F.try_element_at(found, F.lit(-1))
+
+    lasts = [hits(k) for k in keys]
     return F.filter(F.array(*lasts), lambda s: s.isNotNull())
 
 

@@ -174,7 +174,7 @@ def token_bytes_stats(vocab: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- encoding
 
-def _merge_word(word: str, rank: dict[str, str]) -> str:
+def merge_word(word: str, rank: dict[str, str]) -> str:
     """Merge the lowest-id pair, leftmost first, until none is left."""
     toks = list(word)
     while len(toks) > 1:
@@ -207,7 +207,7 @@ def merge_udf(spark: SparkSession, merges: list[Merge]):
             if word not in memo:
                 if len(memo) > 500_000:
                     memo.clear()
-                memo[word] = _merge_word(word, rank)
+                memo[word] = merge_word(word, rank)
             return memo[word]
 
         framed = re.compile("(?<=Ā)[^ā]+")

@@ -105,7 +105,7 @@ def read_eval_bundle(spark: SparkSession, tasks: list[dict], data_dir: str, base
 def eval_csv_lines(results: DataFrame) -> DataFrame:
     """One padded line per task (``task, accuracy, centered``) and a last CORE line."""
     pad = lambda c, n: F.rpad(c, n, " ")
-    num = lambda c: pad(F.format_string("%.6f", c), 10)
+    num = lambda c: pad(text.fixed(c, 6), 10)
     line = lambda a, b, c: F.concat(a, F.lit(", "), b, F.lit(", "), c)
     wide = lambda c: F.when(F.length(c) < 35, pad(c, 35)).otherwise(c)
     body = results.select(F.lit(1).alias("part"), F.col("task").alias("k"), line(wide(F.col("task")), num(F.col("accuracy")), num(F.col("centered"))).alias("line"))
