@@ -9,7 +9,7 @@ from tokenloom.functions import tokens as T
 from tokenloom.functions.draws import draw_index
 from tokenloom.operators import bpe, corpus, packing
 from tokenloom.operators.offsets import dense_index, global_offsets, integer_levels
-from tokenloom.session import scratch_path
+from tokenloom.session import materialise, scratch_path
 from tokenloom.sources import shards
 
 SHARD_ROWS = 300
@@ -225,7 +225,7 @@ def p11(spark, sf):
 
 def _coded(spark, sf):
     docs = bpe.spread(_docs(spark, sf), "doc_id")
-    return bpe.encode_corpus(docs, markers=False, prepend=T.BOS_ID).select("doc_id", "ids")
+    return materialise(bpe.encode_tokens(docs, markers=False, prepend=T.BOS_ID).select("doc_id", "tokens"), "coded")
 
 
 _STREAM = f"""tok AS (SELECT doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM (SELECT doc_id, list_prepend(258, {sql_byte_list('text')}) AS ids FROM documents)),
@@ -250,12 +250,12 @@ def w2(spark, sf):
 @query("S16_write_packed_rows", f"""WITH {_STREAM}, r AS (SELECT g // 513 AS row_id, count(*) AS n, sum(t) AS s FROM st GROUP BY 1)
   SELECT CASE WHEN row_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, count(*)::BIGINT AS n_rows, sum(n)::BIGINT AS tokens, sum(s)::BIGINT AS checksum FROM r WHERE n = 513 GROUP BY 1""")
 def s16(spark, sf):
-    rows = packing.cut_stream(_coded(spark, sf), 513)
+    rows = packing.cut_stream(_coded(spark, sf), 513).select("row_id", T.token_string_ids(F.col("tokens")).alias("ids"))
     out = scratch_path(spark, "packed")
     shards.write_packed_rows(rows.withColumn("split", F.when(F.col("row_id") % 10 == 9, "val").otherwise("train")), out)
     back = spark.read.parquet(out)
-    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return back.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum(F.size("tokens")).alias("tokens"), F.sum(total).alias("checksum"))
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return back.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum(F.size("ids")).alias("tokens"), F.sum(total).alias("checksum"))
 
 
 @query("F29_pad_batch", f"""WITH x AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, {sql_byte_list('text')} AS ids FROM conversations),

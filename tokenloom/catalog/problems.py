@@ -88,7 +88,7 @@ def f17(spark, sf):
 @query("F18_calc_score", """WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE NULL END AS k FROM events)
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END::INTEGER AS corr FROM s""")
 def f18(spark, sf):
-    e, k = table(spark, sf, "events"), F.col("event_id") % 4
+    e, k = bpe.spread(table(spark, sf, "events"), "event_id"), F.col("event_id") % 4
     value = F.concat(F.col("event_id") + 1, F.lit(".5"))
     given = F.when(k == 0, value).when(k == 1, F.concat(F.col("event_id"), F.lit("+1.5"))).when(k == 2, F.concat(F.lit("-"), F.col("user_id"), F.lit("77"))).otherwise("")
     said = F.when(k == 3, "no answer").otherwise(F.concat(F.lit('blah "'), given, F.lit('" blah')))
@@ -312,7 +312,7 @@ def f23(spark, sf):
 
 
 def _seeds(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_id").alias("seed"))
+    return bpe.spread(table(spark, sf, "events").select(F.col("event_id").alias("seed")), "seed")
 
 
 @query("F24_expression_problems")

@@ -44,12 +44,12 @@ LANES = 16
 @query("T3_stream_packer", f"""SELECT true AS rows_full, true AS tail_short, sum(1 + len({sql_byte_list('text')}))::BIGINT AS tokens FROM documents""")
 def t3(spark, sf):
     """Tokens in full rows plus the remainders per lane add up to the input."""
-    coded = bpe.encode_corpus(_docs(spark, sf).select("doc_id", "text"), markers=False, prepend=T.BOS_ID)
+    coded = bpe.encode_tokens(_docs(spark, sf).select("doc_id", "text"), markers=False, prepend=T.BOS_ID)
     rows = spark.read.parquet(_run(spark, S.stream_packer(coded, 512, LANES)))
-    packed = rows.groupBy("lane").agg(F.sum(F.size("tokens")).alias("packed"), F.min(F.size("tokens")).alias("lo"), F.max(F.size("tokens")).alias("hi"),
+    packed = rows.groupBy("lane").agg(F.sum(F.size("ids")).alias("packed"), F.min(F.size("ids")).alias("lo"), F.max(F.size("ids")).alias("hi"),
                                       F.countDistinct("row").alias("k"), F.max("row").alias("last"))
-    given = bpe.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"), markers=False, prepend=T.BOS_ID)
-    wanted = given.groupBy(S.lane_of("doc_id", LANES).alias("lane")).agg(F.sum(F.size("ids")).alias("tokens"))
+    given = bpe.encode_tokens(table(spark, sf, "documents").select("doc_id", "text"), markers=False, prepend=T.BOS_ID)
+    wanted = given.groupBy(S.lane_of("doc_id", LANES).alias("lane")).agg(F.sum(F.length("tokens")).alias("tokens"))
     both = wanted.join(packed, "lane", "left").na.fill(0, ["packed"])
     tail = F.col("tokens") - F.col("packed")
     return both.agg(F.bool_and((F.col("lo") == 513) & (F.col("hi") == 513) & (F.col("k") == F.col("last") + 1)).alias("rows_full"),

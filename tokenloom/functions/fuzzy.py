@@ -18,6 +18,8 @@ def best_window_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
+    if short in long:
+        return 100.0
     best = 0.0
     for i, j, size in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks():
         at = max(0, j - i)

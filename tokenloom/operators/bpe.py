@@ -39,9 +39,8 @@ def word_tokens(words: DataFrame) -> DataFrame:
 
 
 def _pair_strings(tok: DataFrame) -> DataFrame:
-    chars = F.split("tok", "")
-    pairs = T.let(chars, lambda c: F.zip_with(
-        F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
+    """Adjacent pairs as two-character strings; the look-ahead makes the windows overlap."""
+    pairs = F.regexp_extract_all("tok", F.lit("(?s)(?=(..))"), F.lit(1))
     long_enough = tok.where(F.length("tok") >= 2)
     return long_enough.select(F.explode(pairs).alias("pair"), "cnt").groupBy("pair").agg(F.sum("cnt").alias("c"))
 
@@ -216,24 +215,34 @@ def merge_udf(spark: SparkSession, merges: list[Merge]):
     return merge_words
 
 
-def encode_corpus(docs: DataFrame, merges: list[Merge] = (), markers: bool = True, text: str = "text",
-                  out: str = "ids", prepend: int | None = None, append: int | None = None) -> DataFrame:
-    """Adds ``ids`` to every document; no shuffle, whatever the size of the vocabulary.
+def encode_tokens(docs: DataFrame, merges: list[Merge] = (), markers: bool = True, text: str = "text",
+                  out: str = "tokens", prepend: int | None = None, append: int | None = None) -> DataFrame:
+    """Adds the encoding of every document as a token string; no shuffle, any vocabulary size.
 
     Short merge lists stay in generated code.  Long ones go through one Arrow function that
     gets the merge table as a broadcast (bounded by the vocabulary) and keeps a word memo.
+    A token string takes 1-3 bytes per token, so it is also the cheap form to store and shuffle.
     """
     merges = list(merges)
+    framed = T.framed_token_string(F.col(text))
     if len(merges) <= NATIVE_MERGE_LIMIT:
-        return docs.withColumn(out, T.encode_text(F.col(text), merges, markers, prepend, append))
-    merge = merge_udf(docs.sparkSession, merges)
+        staged = docs.withColumn("__merged", T.apply_merges(framed, merges))
+    else:
+        staged = docs.withColumn("__merged", merge_udf(docs.sparkSession, merges)(framed))
     tokens = T.finish_token_string(F.col("__merged"), F.col(text), markers)
     if prepend is not None:
         tokens = F.concat(F.lit(T.token_char(prepend)), tokens)
     if append is not None:
         tokens = F.concat(tokens, F.lit(T.token_char(append)))
-    return (docs.withColumn("__merged", merge(T.framed_token_string(F.col(text))))
-            .withColumn(out, T.token_string_ids(tokens, T.FIRST_MERGE_ID + len(merges))).drop("__merged"))
+    return staged.withColumn(out, tokens).drop("__merged")
+
+
+def encode_corpus(docs: DataFrame, merges: list[Merge] = (), markers: bool = True, text: str = "text",
+                  out: str = "ids", prepend: int | None = None, append: int | None = None) -> DataFrame:
+    """Adds ``ids`` (``ARRAY<INT>``) to every document."""
+    merges = list(merges)
+    coded = encode_tokens(docs, merges, markers, text, "__tokens", prepend, append)
+    return coded.withColumn(out, T.token_string_ids(F.col("__tokens"), T.FIRST_MERGE_ID + len(merges))).drop("__tokens")
 
 
 def encode_words(words: DataFrame, merges: list[Merge], word: str = "word") -> DataFrame:

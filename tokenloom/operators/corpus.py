@@ -182,8 +182,10 @@ def _next_starts(spans: DataFrame, limit: int, n_blocks: int, total: int, group_
                                              F.lit(None).cast("bigint").alias("from"))
     probes = spans.select((F.col("start") + limit).alias("pos"), F.floor((F.col("start") + limit) / width).alias("bucket"),
                           F.lit(None).cast("bigint").alias("hit"), F.lit(0).alias("kind"), F.col("block").alias("from"))
-    ahead = Window.partitionBy("bucket").orderBy("pos", "kind", "hit").rowsBetween(0, Window.unboundedFollowing)
-    found = hits.unionByName(probes).withColumn("close", F.first("hit", ignorenulls=True).over(ahead))
+    # Read backwards, the last block seen is the first one at or behind the target.
+    ahead = Window.partitionBy("bucket").orderBy(F.desc("pos"), F.desc("kind"), F.desc("hit")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    found = hits.unionByName(probes).withColumn("close", F.last("hit", ignorenulls=True).over(ahead))
     return found.where("kind = 0").select(F.col("from").alias("block"), (F.col("close") + 1).alias("next"))
 
 
@@ -210,14 +212,14 @@ def greedy_shards(blocks: DataFrame, limit: int, group_rows: int) -> DataFrame:
     jump = materialise(jump.where(F.col("next").isNotNull() & (F.col("next") - 1 <= last_full)), "jump")
     reached = spans.sparkSession.range(1).select(F.col("id").alias("start"))
     while True:
-        step = reached.join(jump.withColumnRenamed("block", "start"), "start").select(F.col("next").alias("start"))
-        grown = materialise(reached.unionByName(step).distinct(), "reached")
         if jump.isEmpty():
             break
-        reached = grown
+        step = reached.join(jump.withColumnRenamed("block", "start"), "start").select(F.col("next").alias("start"))
+        reached = reached.unionByName(step).distinct()
         double = jump.select("block", F.col("next").alias("mid")).join(
             jump.select(F.col("block").alias("mid"), "next"), "mid").select("block", "next")
         jump = materialise(double, "jump")
+    grown = materialise(reached, "starts")
     starts = grown.where(F.col("start") < facts.n)
     numbered = dense_index(starts, [F.col("start")], integer_levels(F.col("start")), out="shard")
     following = numbered.select((F.col("shard") - 1).alias("shard"), F.col("start").alias("stop"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -33,9 +33,15 @@ def coordinates(ids: np.ndarray, dims: int) -> np.ndarray:
 def nesting_coordinates(rows: DataFrame, dims: int = 8, limit: int = 2048, ids: str = "ids") -> DataFrame:
     """Adds ``coords``, one array of ``dims`` counts per token, cut off at ``limit - 1``."""
 
-    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-    def state(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: np.minimum(coordinates(np.asarray(x, dtype=np.int64), dims), limit - 1).tolist(), na_action="ignore")
+    @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+    def state(batch: pa.Array) -> pa.Array:
+        offsets = batch.offsets.to_numpy().astype(np.int64)
+        values = batch.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = [coordinates(values[lo:hi], dims) for lo, hi in zip(offsets[:-1], offsets[1:])]
+        flat = np.minimum(np.concatenate(parts) if parts else np.empty((0, dims), np.int32), limit - 1)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dims, pa.int32()), pa.array(flat.ravel(), pa.int32()))
+        starts = pa.array(offsets - offsets[0], pa.int32())
+        return pa.ListArray.from_arrays(starts, inner, mask=batch.is_null() if batch.null_count else None)
 
     return rows.withColumn("coords", state(F.col(ids)))
 

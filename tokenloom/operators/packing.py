@@ -7,23 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.tokens import IGNORED_TARGET, let
+from tokenloom.functions.tokens import IGNORED_TARGET, token_string_ids
 from tokenloom.operators.offsets import global_offsets, integer_levels
 
 
-def cut_stream(docs: DataFrame, width: int, key: str = "doc_id", ids: str = "ids",
+def cut_stream(docs: DataFrame, width: int, key: str = "doc_id", tokens: str = "tokens",
                order: Sequence[Column] | None = None, levels: Sequence[Column] | None = None) -> DataFrame:
-    """Concatenate token arrays in key order and cut every ``width`` tokens: ``row_id, tokens``.
+    """Concatenate documents in key order and cut every ``width`` tokens: ``row_id, tokens``.
 
-    A document is sliced into the rows it overlaps, never into single tokens; a row
-    gathers at most ``width`` tokens.  The incomplete tail is held back.  Lengths are read
-    first and arrays second, so store encoded documents before packing large corpora.
+    Documents are token strings.  Each is cut into the rows it overlaps, never into single
+    tokens, and a row gathers at most ``width`` tokens; the incomplete tail is held back.
+    Lengths are read first and tokens second, so store encoded documents before packing.
     """
     order = order or [F.col(key)]
     levels = levels or integer_levels(F.col(key))
-    placed = global_offsets(docs.select("*"), F.size(ids), order, levels).where(F.col("end") > F.col("start"))
+    placed = global_offsets(docs, F.length(tokens), order, levels).where(F.col("end") > F.col("start"))
+    first_row = F.floor(F.col("start") / F.lit(width)).cast("bigint")
+    room = (F.lit(width) - F.col("start") % width).cast("int")
+    # The rest behind the first cut falls into whole rows, which one regular expression yields.
+    rest = F.regexp_extract_all(F.substring(tokens, room + 1, F.length(tokens)), F.lit("(?s).{1,%d}" % width), F.lit(0))
+    pieces = F.concat(F.array(F.substring(tokens, F.lit(1), room)), rest)
+    cut = placed.select(first_row.alias("row"), "start", F.posexplode(pieces).alias("i", "part"))
+    at = F.when(F.col("i") == 0, F.col("start") % width).otherwise(0).cast("int")
+    rows = cut.select((F.col("row") + F.col("i")).alias("row_id"), at.alias("at"), "part").groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: p["part"]), "")
+    return rows.select("row_id", joined.alias("tokens")).where(F.length("tokens") == width)
+
+
+def cut_arrays(docs: DataFrame, width: int, key: str = "doc_id", ids: str = "ids",
+               order: Sequence[Column] | None = None, levels: Sequence[Column] | None = None) -> DataFrame:
+    """The same for tokens that come as arrays: ``row_id, ids``."""
+    order = order or [F.col(key)]
+    levels = levels or integer_levels(F.col(key))
+    placed = global_offsets(docs, F.size(ids), order, levels).where(F.col("end") > F.col("start"))
     w = F.lit(width).cast("bigint")
-    first, last = F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w)
 
     def piece(row):
         lo = F.greatest(row * w, F.col("start"))
@@ -31,25 +49,26 @@ def cut_stream(docs: DataFrame, width: int, key: str = "doc_id", ids: str = "ids
         return F.struct(row.alias("row_id"), lo.alias("at"),
                         F.slice(ids, (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
-    pieces = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
+    overlapped = F.sequence(F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w))
+    pieces = placed.select(F.explode(F.transform(overlapped, piece)).alias("p")).select("p.*")
     rows = pieces.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    tokens = F.flatten(F.transform("parts", lambda p: p["part"]))
-    return rows.select("row_id", tokens.alias("tokens")).where(F.size("tokens") == width)
+    joined = F.flatten(F.transform("parts", lambda p: p["part"]))
+    return rows.select("row_id", joined.alias("ids")).where(F.size("ids") == width)
 
 
-def pack_rows(docs: DataFrame, T: int, key: str = "doc_id", ids: str = "ids", **order) -> DataFrame:
+def pack_rows(docs: DataFrame, T: int, key: str = "doc_id", tokens: str = "tokens", vocab_size: int = 0, **order) -> DataFrame:
     """Rows of T + 1 tokens that do not overlap: inputs are the first T, targets the last T."""
-    rows = cut_stream(docs, T + 1, key, ids, **order)
-    return rows.select("row_id", F.slice("tokens", 1, T).alias("inputs"), F.slice("tokens", 2, T).alias("targets"))
+    rows = cut_stream(docs, T + 1, key, tokens, **order).select("row_id", token_string_ids(F.col("tokens"), vocab_size).alias("ids"))
+    return rows.select("row_id", F.slice("ids", 1, T).alias("inputs"), F.slice("ids", 2, T).alias("targets"))
 
 
-def pack_flat(docs: DataFrame, B: int, T: int, key: str = "doc_id", ids: str = "ids", **order) -> DataFrame:
+def pack_flat(docs: DataFrame, B: int, T: int, key: str = "doc_id", tokens: str = "tokens", vocab_size: int = 0, **order) -> DataFrame:
     """Batches of B * T + 1 tokens, cut into B rows of T inputs and the T targets one further on."""
-    batches = cut_stream(docs, B * T + 1, key, ids, **order)
-    rows = F.transform(F.sequence(F.lit(0), F.lit(B - 1)), lambda b: F.struct(
-        b.alias("b"), F.slice("tokens", b * T + 1, F.lit(T)).alias("inputs"),
-        F.slice("tokens", b * T + 2, F.lit(T)).alias("targets")))
-    return batches.select(F.col("row_id").alias("batch"), F.inline(rows))
+    batches = cut_stream(docs, B * T + 1, key, tokens, **order)
+    rows = batches.select(F.col("row_id").alias("batch"), "tokens", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b"))
+    ids = token_string_ids(F.substring("tokens", F.col("b") * T + 1, F.lit(T + 1)), vocab_size)
+    return rows.select("batch", "b", ids.alias("ids")).select(
+        "batch", "b", F.slice("ids", 1, T).alias("inputs"), F.slice("ids", 2, T).alias("targets"))
 
 
 def shift_targets(ids: Column, mask: Column) -> tuple[Column, Column]:

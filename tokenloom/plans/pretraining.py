@@ -31,8 +31,9 @@ def train_tokenizer(docs: DataFrame, vocab_size: int, out: str, max_chars: int =
 def packed_corpus(docs: DataFrame, merges, T_len: int, markers: bool = True) -> DataFrame:
     """Documents to trainer rows.  Encoded documents are stored once, because packing reads
     their lengths first and their tokens second."""
-    coded = bpe.encode_corpus(docs.select("doc_id", "text"), merges, markers, prepend=T.BOS_ID).select("doc_id", "ids")
-    return packing.pack_rows(materialise(coded, "coded"), T_len)
+    merges = list(merges)
+    coded = bpe.encode_tokens(docs.select("doc_id", "text"), merges, markers, prepend=T.BOS_ID).select("doc_id", "tokens")
+    return packing.pack_rows(materialise(coded, "coded"), T_len, vocab_size=T.FIRST_MERGE_ID + len(merges))
 
 
 def score_report(scores: DataFrame, gold: DataFrame, baselines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -64,34 +64,33 @@ class _Packer(StatefulProcessor):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("leftover", "ids array<int>, row bigint")
+        self.state = handle.getValueState("leftover", "tokens string, row bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept, row = self.state.get() if self.state.exists() else ([], 0)
-        kept = list(kept)
+        kept, row = self.state.get() if self.state.exists() else ("", 0)
         for frame in rows:
-            out = []
-            for ids in frame["ids"]:
-                kept.extend(int(i) for i in ids)
-                full = len(kept) // self.width
-                out += [(key[0], row + r, kept[r * self.width:(r + 1) * self.width]) for r in range(full)]
-                row, kept = row + full, kept[full * self.width:]
-            if out:
-                yield pd.DataFrame(out, columns=["lane", "row", "tokens"])
+            joined = kept + "".join(frame["tokens"])
+            full = len(joined) // self.width
+            cut = [joined[r * self.width:(r + 1) * self.width] for r in range(full)]
+            kept = joined[full * self.width:]
+            if cut:
+                yield pd.DataFrame({"lane": key[0], "row": range(row, row + full), "tokens": cut})
+            row += full
         self.state.update((kept, row))
 
     def close(self) -> None:
         pass
 
 
-def stream_packer(coded: DataFrame, T_len: int, lanes: int = 64, key: str = "doc_id") -> DataFrame:
-    """Rows of T + 1 tokens per lane from a stream of ``key, ids``; leftovers wait in state.
+def stream_packer(coded: DataFrame, T_len: int, lanes: int = 64, key: str = "doc_id", vocab_size: int = 0) -> DataFrame:
+    """Rows of T + 1 ids per lane from a stream of ``key, tokens`` (token strings); leftovers wait in state.
 
     Rows of one lane keep the order in which its documents arrived.
     """
-    laned = coded.select(lane_of(key, lanes).alias("lane"), "ids")
-    return laned.groupBy("lane").transformWithStateInPandas(
-        _Packer(T_len + 1), outputStructType="lane int, row bigint, tokens array<int>", outputMode="Append", timeMode="None")
+    laned = coded.select(lane_of(key, lanes).alias("lane"), "tokens")
+    rows = laned.groupBy("lane").transformWithStateInPandas(
+        _Packer(T_len + 1), outputStructType="lane int, row bigint, tokens string", outputMode="Append", timeMode="None")
+    return rows.select("lane", "row", T.token_string_ids(F.col("tokens"), vocab_size).alias("ids"))
 
 
 # ---------------------------------------------------------------- problems
