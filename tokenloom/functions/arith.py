@@ -101,4 +101,5 @@ def calculator_result(expr: Column) -> Column:
 
 def evaluate_math(expr: Column) -> Column:
     """Double value of an expression with the named functions; NaN when it has none."""
-    return _evaluate_math(expr)
+    # Arrow hands NaN back as null.
+    return F.when(expr.isNotNull(), F.coalesce(_evaluate_math(expr), F.lit(float("nan"))))

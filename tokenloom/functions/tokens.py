@@ -170,6 +170,25 @@ def framed_token_string(text: Column) -> Column:
     return F.when(raw.rlike(CLOSER), bracketed).otherwise(plain)
 
 
+def word_merges(merges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The merges that can occur inside a word.
+
+    A word holds no separator, and a closer only as its first byte.  Leaving other merges
+    out lets the rest run over whole framed texts, separators included.
+    """
+    spelled = {i: bytes([i]) for i in range(256)}
+    kept = []
+    for a, b, new_id in sorted(merges, key=lambda m: m[2]):
+        left, right = spelled.get(a), spelled.get(b)
+        if left is None or right is None:
+            continue
+        joined = left + right
+        if not any(c in b"([{\n\t=:., " for c in joined) and not any(c in b")]}" for c in joined[1:]):
+            spelled[new_id] = joined
+            kept.append((a, b, new_id))
+    return kept
+
+
 def apply_merges(tokens: Column, merges: list[tuple[int, int, int]]) -> Column:
     """Apply ``(a, b, id)`` merges in id order.
 
@@ -200,7 +219,7 @@ def finish_token_string(framed: Column, text: Column, markers: bool) -> Column:
 def encode_text(text: Column, merges=(), markers: bool = True, prepend: int | None = None,
                 append: int | None = None) -> Column:
     """Text to ``ARRAY<INT>`` with a short merge list, all inside the JVM."""
-    framed = apply_merges(framed_token_string(text), list(merges))
+    framed = apply_merges(framed_token_string(text), word_merges(list(merges)))
     tokens = finish_token_string(framed, text, markers)
     if prepend is not None:
         tokens = F.concat(F.lit(token_char(prepend)), tokens)

@@ -215,6 +215,18 @@ def merge_udf(spark: SparkSession, merges: list[Merge]):
     return merge_words
 
 
+def with_merged(rows: DataFrame, framed: Column, merges: list[Merge], out: str = "__merged") -> DataFrame:
+    """Adds the framed token string after merging, in the JVM or in Arrow by the number of merges."""
+    if len(merges) <= NATIVE_MERGE_LIMIT:
+        return rows.withColumn(out, T.apply_merges(framed, T.word_merges(merges)))
+    merge = merge_udf(rows.sparkSession, merges)
+    # Read twice, the framed string stays a projection of its own below the Arrow step;
+    # folded into its argument, array functions with lambdas keep Spark from planning it.
+    staged = rows.withColumn("__framed", framed)
+    f = F.col("__framed")
+    return staged.withColumn(out, F.when(F.length(f) > 0, merge(f)).otherwise(f)).drop("__framed")
+
+
 def encode_tokens(docs: DataFrame, merges: list[Merge] = (), markers: bool = True, text: str = "text",
                   out: str = "tokens", prepend: int | None = None, append: int | None = None) -> DataFrame:
     """Adds the encoding of every document as a token string; no shuffle, any vocabulary size.
@@ -224,11 +236,7 @@ def encode_tokens(docs: DataFrame, merges: list[Merge] = (), markers: bool = Tru
     A token string takes 1-3 bytes per token, so it is also the cheap form to store and shuffle.
     """
     merges = list(merges)
-    framed = T.framed_token_string(F.col(text))
-    if len(merges) <= NATIVE_MERGE_LIMIT:
-        staged = docs.withColumn("__merged", T.apply_merges(framed, merges))
-    else:
-        staged = docs.withColumn("__merged", merge_udf(docs.sparkSession, merges)(framed))
+    staged = with_merged(docs, T.framed_token_string(F.col(text)), merges)
     tokens = T.finish_token_string(F.col("__merged"), F.col(text), markers)
     if prepend is not None:
         tokens = F.concat(F.lit(T.token_char(prepend)), tokens)
@@ -247,14 +255,10 @@ def encode_corpus(docs: DataFrame, merges: list[Merge] = (), markers: bool = Tru
 
 def encode_words(words: DataFrame, merges: list[Merge], word: str = "word") -> DataFrame:
     """Adds ``ids`` (no markers) to a table of distinct words."""
-    raw = T.byte_string(F.col(word))
-    size = T.FIRST_MERGE_ID + len(merges)
-    if len(merges) <= NATIVE_MERGE_LIMIT:
-        return words.withColumn("ids", T.token_string_ids(T.apply_merges(raw, list(merges)), size))
-    framed = F.concat(F.lit(chr(T.DOWN_ID)), raw, F.lit(chr(T.UP_ID)))
-    merged = words.withColumn("__m", merge_udf(words.sparkSession, merges)(framed))
-    bare = F.translate("__m", chr(T.DOWN_ID) + chr(T.UP_ID), "")
-    return merged.withColumn("ids", T.token_string_ids(bare, size)).drop("__m")
+    framed = F.concat(F.lit(chr(T.DOWN_ID)), T.byte_string(F.col(word)), F.lit(chr(T.UP_ID)))
+    bare = F.translate("__merged", chr(T.DOWN_ID) + chr(T.UP_ID), "")
+    merged = with_merged(words, framed, list(merges))
+    return merged.withColumn("ids", T.token_string_ids(bare, T.FIRST_MERGE_ID + len(merges))).drop("__merged")
 
 
 def attach_encodings(counted: DataFrame, merges: list[Merge]) -> DataFrame:

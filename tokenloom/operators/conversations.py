@@ -68,11 +68,7 @@ def render_conversations(rows: DataFrame, merges=(), markers: bool = True, max_t
     """
     merges = list(merges)
     staged = rows.withColumn("__segs", chat.segments(F.col("messages")))
-    framed = chat.framed_segments(F.col("__segs"))
-    if len(merges) <= bpe.NATIVE_MERGE_LIMIT:
-        staged = staged.withColumn("__merged", T.apply_merges(framed, merges))
-    else:
-        staged = staged.withColumn("__merged", bpe.merge_udf(rows.sparkSession, merges)(framed))
+    staged = bpe.with_merged(staged, chat.framed_segments(F.col("__segs")), merges)
     out = staged.withColumn("__r", chat.assemble(F.col("__segs"), F.col("__merged"), markers))
     return out.select(
         *rows.columns,

@@ -13,7 +13,6 @@ from tokenloom.functions import tokens as T
 from tokenloom.functions.draws import draw_index
 from tokenloom.operators import bpe
 
-LN2 = F.log(F.lit(2.0))
 
 # Chat tasks and the accuracy of guessing.
 CHAT_BASELINES = {"ARC-Easy": 0.25, "ARC-Challenge": 0.25, "MMLU": 0.25, "GSM8K": 0.0, "HumanEval": 0.0, "SpellingBee": 0.0}
@@ -135,7 +134,7 @@ def bits_per_byte(scores: DataFrame, vocab: DataFrame, *group: str) -> DataFrame
     sums = counted.groupBy(*group).agg(
         F.sum(F.when(F.col("n_bytes") > 0, F.col("nll")).otherwise(0.0)).alias("total_nats"),
         F.sum("n_bytes").cast("bigint").alias("total_bytes"))
-    bpb = F.when(F.col("total_bytes") == 0, F.lit(float("inf"))).otherwise(F.col("total_nats") / (LN2 * F.col("total_bytes")))
+    bpb = F.when(F.col("total_bytes") == 0, F.lit(float("inf"))).otherwise(F.col("total_nats") / (F.log(F.lit(2.0)) * F.col("total_bytes")))
     return sums.withColumn("bpb", bpb)
 
 
