@@ -225,7 +225,8 @@ def p11(spark, sf):
 
 def _coded(spark, sf):
     docs = bpe.spread(_docs(spark, sf), "doc_id")
-    return materialise(bpe.encode_tokens(docs, markers=False, prepend=T.BOS_ID).select("doc_id", "tokens"), "coded")
+    coded = bpe.encode_tokens(docs, markers=False, prepend=T.BOS_ID)
+    return materialise(coded.select("doc_id", "tokens", F.length("tokens").alias("n_tokens")), "coded")
 
 
 _STREAM = f"""tok AS (SELECT doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM (SELECT doc_id, list_prepend(258, {sql_byte_list('text')}) AS ids FROM documents)),
@@ -235,7 +236,7 @@ _STREAM = f"""tok AS (SELECT doc_id, unnest(ids) AS t, generate_subscripts(ids,
 @query("W1_pack_rows", f"""WITH {_STREAM}, r AS (SELECT g // 513 AS row_id, list(t ORDER BY g) AS ts FROM st GROUP BY 1)
   SELECT row_id::BIGINT AS row_id, md5(array_to_string(ts[1:512], ',')) AS inputs, md5(array_to_string(ts[2:513], ',')) AS targets FROM r WHERE len(ts) = 513""")
 def w1(spark, sf):
-    rows = packing.pack_rows(_coded(spark, sf), 512)
+    rows = packing.pack_rows(_coded(spark, sf), 512, size="n_tokens")
     return rows.select("row_id", F.md5(T.ids_text(F.col("inputs"))).alias("inputs"), F.md5(T.ids_text(F.col("targets"))).alias("targets"))
 
 
@@ -243,14 +244,14 @@ def w1(spark, sf):
   SELECT batch::BIGINT AS batch, b::INTEGER AS b, md5(array_to_string(ts[b*256+1:b*256+256], ',')) AS inputs, md5(array_to_string(ts[b*256+2:b*256+257], ',')) AS targets
   FROM (SELECT *, unnest(range(4)) AS b FROM r WHERE len(ts) = 1025)""")
 def w2(spark, sf):
-    rows = packing.pack_flat(_coded(spark, sf), 4, 256)
+    rows = packing.pack_flat(_coded(spark, sf), 4, 256, size="n_tokens")
     return rows.select("batch", "b", F.md5(T.ids_text(F.col("inputs"))).alias("inputs"), F.md5(T.ids_text(F.col("targets"))).alias("targets"))
 
 
 @query("S16_write_packed_rows", f"""WITH {_STREAM}, r AS (SELECT g // 513 AS row_id, count(*) AS n, sum(t) AS s FROM st GROUP BY 1)
   SELECT CASE WHEN row_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, count(*)::BIGINT AS n_rows, sum(n)::BIGINT AS tokens, sum(s)::BIGINT AS checksum FROM r WHERE n = 513 GROUP BY 1""")
 def s16(spark, sf):
-    rows = packing.cut_stream(_coded(spark, sf), 513).select("row_id", T.token_string_ids(F.col("tokens")).alias("ids"))
+    rows = packing.cut_stream(_coded(spark, sf), 513, size="n_tokens").select("row_id", T.token_string_ids(F.col("tokens")).alias("ids"))
     out = scratch_path(spark, "packed")
     shards.write_packed_rows(rows.withColumn("split", F.when(F.col("row_id") % 10 == 9, "val").otherwise("train")), out)
     back = spark.read.parquet(out)

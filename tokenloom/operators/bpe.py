@@ -86,10 +86,11 @@ def _accept(ranked: list[tuple[int, int, int]], complete: bool) -> list[tuple[in
 def bpe_train(words: DataFrame, vocab_size: int, batch: int = 64, rebase_every: int = 64) -> list[tuple[int, int, int, int]]:
     """Learn merges as ``(a, b, id, count)``; ties go to the smallest pair, counts are exact.
 
-    Each round is one job: rewrite the distinct words with the merges found since the last
-    rewrite was stored, count pairs, fetch the ``batch`` best.  As many merges as are
-    certain (see ``_accept``) come out of one round.  Every ``rebase_every`` merges the
-    rewritten words are stored in the shared folder, and words that became one token drop out.
+    The pair table is counted once and then kept up to date: a round fetches the ``batch``
+    best pairs, takes as many merges as are certain (see ``_accept``), and recounts only the
+    words that hold one of them.  The pair table is stored in the shared folder after every
+    round and the rewritten words after every ``rebase_every`` merges, so lineage stays short
+    and a lost executor costs one round.  Words that became one token drop out.
     """
     if vocab_size <= T.FIRST_MERGE_ID:
         raise ValueError(f"vocab_size must be above {T.FIRST_MERGE_ID}")
@@ -97,24 +98,33 @@ def bpe_train(words: DataFrame, vocab_size: int, batch: int = 64, rebase_every:
         raise ValueError(f"vocab_size must be at most {MAX_VOCABULARY}")
     wanted = vocab_size - T.FIRST_MERGE_ID
     base = materialise(word_tokens(words).where(F.length("tok") >= 2), "words")
+    pairs = materialise(_pair_strings(base), "pairs")
     found: list[tuple[int, int, int, int]] = []
     pending: list[Merge] = []
-    while len(found) < wanted:
-        current = base.select(T.apply_merges(F.col("tok"), pending).alias("tok"), "cnt")
-        if len(pending) >= rebase_every:
-            base = materialise(current.where(F.length("tok") >= 2), "words")
-            pending = []
-            current = base
-        pairs = _pair_strings(current).select(
-            _char_id(F.substring("pair", 1, 1)).alias("a"), _char_id(F.substring("pair", 2, 1)).alias("b"), "c")
-        top = [tuple(r) for r in pairs.orderBy(F.desc("c"), "a", "b").limit(batch).collect()]
+    while True:
+        named = pairs.select(_char_id(F.substring("pair", 1, 1)).alias("a"), _char_id(F.substring("pair", 2, 1)).alias("b"), "c")
+        top = [tuple(r) for r in named.orderBy(F.desc("c"), "a", "b").limit(batch).collect()]
         if not top:
-            break
+            return found
+        now = []
         for a, b, c in _accept(top, complete=len(top) < batch)[: wanted - len(found)]:
-            new_id = T.FIRST_MERGE_ID + len(found)
-            found.append((a, b, new_id, c))
-            pending.append((a, b, new_id))
-    return found
+            found.append((a, b, T.FIRST_MERGE_ID + len(found), c))
+            now.append(found[-1][:3])
+        if len(found) >= wanted:
+            return found
+        current = base.select(T.apply_merges(F.col("tok"), pending).alias("tok"), "cnt")
+        hit = F.lit(False)
+        for a, b, _ in now:
+            hit = hit | F.contains("tok", F.lit(T.token_char(a) + T.token_char(b)))
+        touched = current.where(hit)
+        merged = touched.select(T.apply_merges(F.col("tok"), now).alias("tok"), "cnt")
+        change = _pair_strings(touched.select("tok", (-F.col("cnt")).alias("cnt")).unionByName(merged))
+        updated = pairs.unionByName(change).groupBy("pair").agg(F.sum("c").alias("c")).where("c > 0")
+        pairs = materialise(updated, "pairs")
+        pending += now
+        if len(pending) >= rebase_every:
+            rewritten = base.select(T.apply_merges(F.col("tok"), pending).alias("tok"), "cnt")
+            base, pending = materialise(rewritten.where(F.length("tok") >= 2), "words"), []
 
 
 MERGE_SCHEMA = "a int, b int, id int, c bigint"

@@ -9,6 +9,7 @@ whole table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +20,16 @@ FANOUT = 1024
 def integer_levels(key: Column, depth: int = 3, fanout: int = FANOUT) -> list[Column]:
     """Buckets of a unique integer key: ``key div fanout``, ``div fanout^2``, ...
 
-    With three levels a window has at most 1024 rows for keys up to 2^40.
+    ``fanout`` is a power of two, so buckets are shifts: exact for all 64-bit keys.  With
+    three levels a window has at most 1024 rows for keys up to 2^40.
     """
-    return [F.floor(key / F.lit(fanout ** (i + 1))).cast("bigint") for i in range(depth)]
+    bits = fanout.bit_length() - 1
+    return [F.shiftright(key.cast("bigint"), bits * (i + 1)) for i in range(depth)]
+
+
+def floor_div(value: Column, width: int) -> Column:
+    """Whole number of ``width`` in a BIGINT, without a rounded quotient."""
+    return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
 def digest_levels(key: Column, digits: int = 4) -> list[Column]:
@@ -53,6 +61,10 @@ def running_value(df: DataFrame, value: Column, order: Sequence[Column], levels:
     keyed = df.select("*", *[c.alias(n) for n, c in zip(names, levels)], value.alias("__v"))
 
     # Bucket totals, fine to coarse, each with the combined value of its earlier siblings.
+    # The null filter is the one the joins below imply; stated here it is the same in every
+    # branch, so Spark computes the fine totals once and reuses the exchange.
+    present = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    keyed = keyed.where(present)
     totals = keyed.groupBy(*group, *names).agg(combine("__v").alias("__v"))
     starts = None
     for depth in range(len(names)):

@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.tokens import IGNORED_TARGET, token_string_ids
-from tokenloom.operators.offsets import global_offsets, integer_levels
+from tokenloom.operators.offsets import floor_div, global_offsets, integer_levels
 
 
 def cut_stream(docs: DataFrame, width: int, key: str = "doc_id", tokens: str = "tokens",
-               order: Sequence[Column] | None = None, levels: Sequence[Column] | None = None) -> DataFrame:
+               order: Sequence[Column] | None = None, levels: Sequence[Column] | None = None,
+               size: str | None = None) -> DataFrame:
     """Concatenate documents in key order and cut every ``width`` tokens: ``row_id, tokens``.
 
     Documents are token strings.  Each is cut into the rows it overlaps, never into single
     tokens, and a row gathers at most ``width`` tokens; the incomplete tail is held back.
-    Lengths are read first and tokens second, so store encoded documents before packing.
+    Lengths are read first and tokens second, so store encoded documents before packing;
+    with a stored length column ``size`` the first pass does not touch the tokens.
     """
     order = order or [F.col(key)]
     levels = levels or integer_levels(F.col(key))
-    placed = global_offsets(docs, F.length(tokens), order, levels).where(F.col("end") > F.col("start"))
-    first_row = F.floor(F.col("start") / F.lit(width)).cast("bigint")
+    n = F.col(size) if size else F.length(tokens)
+    placed = global_offsets(docs, n, order, levels).where(F.col("end") > F.col("start"))
+    first_row = floor_div(F.col("start"), width)
     room = (F.lit(width) - F.col("start") % width).cast("int")
     # The rest behind the first cut falls into whole rows, which one regular expression yields.
     rest = F.regexp_extract_all(F.substring(tokens, room + 1, F.length(tokens)), F.lit("(?s).{1,%d}" % width), F.lit(0))
@@ -49,7 +52,7 @@ def cut_arrays(docs: DataFrame, width: int, key: str = "doc_id", ids: str = "ids
         return F.struct(row.alias("row_id"), lo.alias("at"),
                         F.slice(ids, (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
-    overlapped = F.sequence(F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w))
+    overlapped = F.sequence(floor_div(F.col("start"), width), floor_div(F.col("end") - 1, width))
     pieces = placed.select(F.explode(F.transform(overlapped, piece)).alias("p")).select("p.*")
     rows = pieces.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
     joined = F.flatten(F.transform("parts", lambda p: p["part"]))

@@ -16,6 +16,7 @@ from tokenloom.functions.draws import digest, draw_index, draw_unit, pick
 from tokenloom.functions.tokens import let
 from tokenloom.operators.corpus import valid_problems
 from tokenloom.operators.offsets import dense_index, digest_levels
+from tokenloom.session import materialise
 
 # The alphabet and the question forms of the letter-counting task.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -89,9 +90,9 @@ def number_words(words: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _with_word(seeds: DataFrame, words: DataFrame, split: str, idx: str, order: int) -> DataFrame:
-    numbered = number_words(words, order)
-    # The vocabulary size is one number; it bounds the index draw.
-    n = words.select("word").distinct().count()
+    # Stored, because the draw needs the vocabulary size before the words.
+    numbered = materialise(number_words(words, order), "vocabulary")
+    n = numbered.count()
     seeded = seeds.withColumn("__s", _split_seed(F.col(idx), split))
     return seeded.withColumn("word_idx", draw_index(n, "word", order, F.col("__s"))).join(numbered, "word_idx")
 

@@ -32,8 +32,9 @@ def packed_corpus(docs: DataFrame, merges, T_len: int, markers: bool = True) ->
     """Documents to trainer rows.  Encoded documents are stored once, because packing reads
     their lengths first and their tokens second."""
     merges = list(merges)
-    coded = bpe.encode_tokens(docs.select("doc_id", "text"), merges, markers, prepend=T.BOS_ID).select("doc_id", "tokens")
-    return packing.pack_rows(materialise(coded, "coded"), T_len, vocab_size=T.FIRST_MERGE_ID + len(merges))
+    coded = bpe.encode_tokens(docs.select("doc_id", "text"), merges, markers, prepend=T.BOS_ID).select(
+        "doc_id", "tokens", F.length("tokens").alias("n_tokens"))
+    return packing.pack_rows(materialise(coded, "coded"), T_len, size="n_tokens", vocab_size=T.FIRST_MERGE_ID + len(merges))
 
 
 def score_report(scores: DataFrame, gold: DataFrame, baselines: DataFrame) -> tuple[DataFrame, DataFrame]:
