@@ -116,9 +116,10 @@ def bpe_train(words: DataFrame, vocab_size: int, batch: int = 64, rebase_every:
         hit = F.lit(False)
         for a, b, _ in now:
             hit = hit | F.contains("tok", F.lit(T.token_char(a) + T.token_char(b)))
-        touched = current.where(hit)
-        merged = touched.select(T.apply_merges(F.col("tok"), now).alias("tok"), "cnt")
-        change = _pair_strings(touched.select("tok", (-F.col("cnt")).alias("cnt")).unionByName(merged))
+        # Old form with negative, new form with positive weight, from one pass over the words.
+        both = F.array(F.struct(F.col("tok"), (-F.col("cnt")).alias("cnt")),
+                       F.struct(T.apply_merges(F.col("tok"), now).alias("tok"), F.col("cnt")))
+        change = _pair_strings(current.where(hit).select(F.inline(both)))
         updated = pairs.unionByName(change).groupBy("pair").agg(F.sum("c").alias("c")).where("c > 0")
         pairs = materialise(updated, "pairs")
         pending += now
