@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.session import ship_package
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -11,7 +15,12 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register a query and, where it has one, its SQL twin."""
     def wrap(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,10 @@ from pyspark.sql.types import StructType
 from tokenloom.functions import tokens as T
 from tokenloom.operators import bpe
 
+# Stateful processors start in a Python process that does not get added files, so they
+# travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def corpus_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1,
                   glob: str = "*.parquet") -> DataFrame:
