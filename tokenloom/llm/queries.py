@@ -22,3 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.substring import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.ngram_join import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
