@@ -29,3 +29,43 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.ngram_join import similar_groups
 
     return similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.sharding import shard_rows, shard_tree
+
+    return shard_rows(_table(spark, sf_dir, "documents"), shard_tree(8), shard_tree(9))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.urls import filter_urls, rule_table
+
+    return filter_urls(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+ORACLE["op5_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (
+  SELECT s.*, (SELECT max_by(h || p || '|' || v, length(h || p)) FROM rules
+    WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)) AS b FROM split s)
+SELECT page_id, host, path, split_part(b, '|', 1) AS rule, coalesce(split_part(b, '|', 2), 'allow') AS verdict FROM best
+"""
