@@ -75,3 +75,16 @@ def op10(docs, items, size=13):
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
                     bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def op9(pages):
+    import base64
+
+    def digest(h):
+        return base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+
+    head = {}
+    for p, h in pages:
+        head[h or ""] = max(p, head.get(h or "", p))
+    return [(p, len((h or "").encode()), digest(h), "response" if head[h or ""] == p else "revisit",
+             None if head[h or ""] == p else head[h or ""]) for p, h in pages]

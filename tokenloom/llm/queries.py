@@ -69,3 +69,10 @@ best AS (
     WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)) AS b FROM split s)
 SELECT page_id, host, path, split_part(b, '|', 1) AS rule, coalesce(split_part(b, '|', 2), 'allow') AS verdict FROM best
 """
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
