@@ -88,3 +88,13 @@ def op9(pages):
         head[h or ""] = max(p, head.get(h or "", p))
     return [(p, len((h or "").encode()), digest(h), "response" if head[h or ""] == p else "revisit",
              None if head[h or ""] == p else head[h or ""]) for p, h in pages]
+
+
+def op2_base(text):
+    out = []
+    for m in re.finditer(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "", re.I | re.A):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+    return sorted(out)

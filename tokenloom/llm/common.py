@@ -21,18 +21,22 @@ def ready(df: DataFrame) -> SparkSession:
     return spark
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """``(doc, tag, doc_id, text)``: a row key that any later scan of the same rows yields again.
+def row_key() -> tuple[Column, Column]:
+    """A key of rows with ``doc_id`` and ``text`` that any later scan of the same rows yields again.
 
-    ``doc`` is the id (a fixed value for null) and ``tag`` 32 bits of a hash of the text, which
-    tells apart rows that repeat an id.  Rows that are equal in both share a key and so a result.
-    Null texts are empty.  A key made of partition and row numbers would change when a scan is
-    split otherwise after executors were lost.
+    First the id (a fixed value for null), then 32 bits of a hash of the text, which tell apart rows that
+    repeat an id.  Rows that are equal in both share a key and so a result.  A key made of partition and
+    row numbers would change when a scan is split otherwise after executors were lost.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63) + 1)).alias("doc"),
-        F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63) + 1)), F.shiftright(F.xxhash64(text), 32).cast("int")
+
+
+def keyed_texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(doc, tag, doc_id, text)`` and ``more``: the row key, the id as BIGINT, the text with null as empty."""
+    doc, tag = row_key()
+    return docs.select(doc.alias("doc"), tag.alias("tag"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -76,3 +76,45 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.warc import round_trip
 
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents")).drop("doc", "tag", "places")
+
+
+def _sql_kind(k: int) -> str:
+    from tokenloom.llm.secrets import KINDS
+
+    name, pattern, group, least = KINDS[k]
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, owner, repository, {k} AS kind, m_end - size AS start, m_end AS stop, value FROM (
+      SELECT *, sum(gap + coalesce(size, 0)) OVER (PARTITION BY doc_id ORDER BY i) AS m_end FROM (
+        SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repository,
+          unnest(list_transform(regexp_split_to_array(text, '{quoted}'), lambda x: length(x))) AS gap,
+          unnest(list_transform(regexp_extract_all(text, '{quoted}'), lambda x: length(x))) AS size,
+          unnest(regexp_extract_all(text, '{quoted}', {group})) AS value,
+          unnest(range(1, len(regexp_split_to_array(text, '{quoted}')) + 1)) AS i
+        FROM documents WHERE regexp_matches(text, '{quoted}'))) WHERE length(value) >= {least}"""
+
+
+ORACLE["op2_secret_scan"] = f"""
+WITH spans AS MATERIALIZED ({" UNION ALL ".join(_sql_kind(k) for k in range(4))}),
+known AS (SELECT value, count(DISTINCT coalesce(owner, '')) AS owners, count(DISTINCT (coalesce(owner, ''), coalesce(repository, ''))) AS repositories
+  FROM spans GROUP BY value),
+chosen AS (
+  SELECT s.*, owners <= 2 AND repositories <= 4 AS live FROM spans s JOIN known USING (value)
+  WHERE kind < 3 OR (owners <= 2 AND repositories <= 4 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND NOT regexp_matches(value, '{"|".join(f"{c}{{5}}" for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz/_=-")}|[+]{{5}}')
+    AND NOT regexp_matches(lower(value), 'example|placeholder|changeme|dummy|sample')
+    AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind < 3 AND b.doc_id = s.doc_id AND b.start = s.start AND b.stop = s.stop))),
+named AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS t FROM chosen),
+per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(t, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY start, kind) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
