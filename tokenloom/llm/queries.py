@@ -80,13 +80,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tokenloom.llm.secrets import scan_secrets
+    from tokenloom.llm.secret_scan import scan_secrets
 
     return scan_secrets(_table(spark, sf_dir, "documents")).drop("doc", "tag", "places")
 
 
 def _sql_kind(k: int) -> str:
-    from tokenloom.llm.secrets import KINDS
+    from tokenloom.llm.secret_scan import KINDS
 
     name, pattern, group, least = KINDS[k]
     quoted = pattern.replace("'", "''")
