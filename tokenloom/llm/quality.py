@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of byte n-grams in hashed buckets.  Each is scaled by the log-count ratio of the two
+Features are indicators of byte n-grams in hashed buckets, and of word pairs that repeat a word, by number
+and by share of the words.  Each is scaled by the log-count ratio of the two
 classes, counted over all labelled training rows; a linear hinge-loss model is fitted to the scaled,
 length-normalised rows by dual coordinate descent, on a bounded sample of them.  A logistic curve fitted
 to margins of sample rows that the model did not see turns a margin into a score.
@@ -17,11 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import keyed_texts, ready
-from tokenloom.llm.words import chunks, string_parts
+from tokenloom.llm.words import FOLDED, chunks, string_parts, words_of
 from tokenloom.session import materialise
 
 BITS = 16
 GRAMS = (2, 3)
+REPEATS = (1, 2, 4, 8, 16, 32)              # word pairs "x x" of a text, at least
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)   # of its words, at least
+SIZE = (1 << BITS) + len(REPEATS) + len(SHARES)
+WIDTH = BITS + 1   # bits of a bucket's number
+SHORT = 0.2        # of the mean squared norm, added to each: short texts lean to the bias
 SAMPLE = 8192      # labelled rows the hinge-loss model is fitted to, at most
 EPOCHS = 8
 COST = 1.0
@@ -38,7 +44,7 @@ def held_out(doc_id: Column) -> Column:
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per chunk: first row, rows, and the distinct ``(row, bucket)`` in order of rows."""
     data, bounds = string_parts(column)
-    for i, j in chunks(bounds):
+    for (i, j), words in zip(chunks(bounds), words_of(column, FOLDED)):
         raw, own = data[bounds[i]:bounds[j]].astype(np.uint32), bounds[i:j + 1] - bounds[i]
         size = np.diff(own)
         row = np.repeat(np.arange(j - i, dtype=np.uint64), size)
@@ -52,10 +58,15 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             for k in range(n):
                 gram = gram * np.uint32(0x01000193) ^ raw[k:k + m]
             bucket = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-            keys.append((row[:m] << np.uint64(BITS) | bucket)[left[:m] >= n])
+            keys.append((row[:m] << np.uint64(WIDTH) | bucket)[left[:m] >= n])
+        twice = words.row[:-1][words.within(2) & (words.hash[1:] == words.hash[:-1])] if len(words.row) > 1 else words.row[:0]
+        number = np.bincount(twice, minlength=j - i)
+        share = number / np.maximum(words.counts, 1)
+        for k, held in enumerate([number >= c for c in REPEATS] + [share >= c for c in SHARES]):
+            keys.append(np.flatnonzero(held).astype(np.uint64) << np.uint64(WIDTH) | np.uint64((1 << BITS) + k))
         key = np.sort(np.concatenate(keys or [np.zeros(0, np.uint64)]))
         key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-        yield i, j - i, (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        yield i, j - i, (key >> np.uint64(WIDTH)).astype(np.int64), (key & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
 
 def _learn(share: float):
@@ -63,7 +74,7 @@ def _learn(share: float):
     cut = int(share * 2**32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+        counts = np.zeros((2, SIZE), dtype=np.int64)
         names = ["bucket", "bad", "good", "h", "label", "row"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
@@ -71,7 +82,7 @@ def _learn(share: float):
             out = {"h": [], "label": [], "row": []}
             for first, rows, row, bucket in features(batch.column("text")):
                 for y in (0, 1):
-                    counts[y] += np.bincount(bucket[label[first + row] == y], minlength=1 << BITS)
+                    counts[y] += np.bincount(bucket[label[first + row] == y], minlength=SIZE)
                 cuts = np.searchsorted(row, np.arange(rows + 1))
                 for r in range(rows):
                     if h[first + r] < cut:
@@ -111,13 +122,14 @@ class Model:
     ratio: np.ndarray    # log-count ratio of each bucket
     weight: np.ndarray   # of each scaled bucket
     bias: float
+    floor: float         # added to each squared norm
     slope: float         # of the logistic curve over margins
     shift: float
 
     def margins(self, rows: int, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         r = self.ratio[bucket]
-        norm = np.sqrt(np.bincount(row, r * r, rows))
-        return np.bincount(row, self.weight[bucket] * r, rows) / np.maximum(norm, 1e-12) + self.bias
+        norm = np.sqrt(np.bincount(row, r * r, rows) + self.floor)
+        return np.bincount(row, self.weight[bucket] * r, rows) / norm + self.bias
 
     def scores(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
@@ -150,9 +162,10 @@ def fit(bad: np.ndarray, good: np.ndarray, sample: list[tuple[int, np.ndarray]])
     label = np.array([y for y, _ in sample], dtype=np.int64)
     n1, n0 = int(label.sum()), int(len(label) - label.sum())
     if not n1 or not n0:
-        return Model(ratio, np.zeros(len(ratio)), 0.0, 0.0, float(np.log((n1 + 1) / (n0 + 1))) if len(label) else 40.0)
+        return Model(ratio, np.zeros(len(ratio)), 0.0, 1.0, 0.0, float(np.log((n1 + 1) / (n0 + 1))) if len(label) else 40.0)
     rows = [b for _, b in sample]
-    values = [ratio[b] / max(np.linalg.norm(ratio[b]), 1e-12) for b in rows]
+    floor = SHORT * float(np.mean([ratio[b] @ ratio[b] for b in rows])) + 1e-12
+    values = [ratio[b] / np.sqrt(ratio[b] @ ratio[b] + floor) for b in rows]
     y, cost = np.where(label == 1, 1.0, -1.0), COST * len(label) / (2 * np.where(label == 1, n1, n0))
     apart = np.arange(len(label)) % 4 == 0
     if min(label[apart].sum(), (1 - label[apart]).sum(), label[~apart].sum(), (1 - label[~apart]).sum()) == 0:
@@ -163,7 +176,7 @@ def fit(bad: np.ndarray, good: np.ndarray, sample: list[tuple[int, np.ndarray]])
     unseen = np.flatnonzero(apart) if apart.any() else seen
     margin = np.array([w[rows[i]] @ values[i] + w[-1] for i in unseen])
     slope, shift = logistic(margin, label[unseen] == 1)
-    return Model(ratio, w[:-1], float(w[-1]), slope, shift)
+    return Model(ratio, w[:-1], float(w[-1]), floor, slope, shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -182,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     learned = materialise(rows.mapInArrow(_learn(min(1.0, sample / max(known, 1))),
                                           "bucket int, bad long, good long, h long, label int, row binary"), "features")
     table = learned.where("bucket is not null").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
-    bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    bad, good = np.zeros(SIZE), np.zeros(SIZE)
     at = table.column("bucket").to_numpy()
     bad[at], good[at] = table.column("bad").to_numpy(), table.column("good").to_numpy()
     picked = learned.where("bucket is null").orderBy("h", "label", "row").limit(sample).select("label", "row").toArrow()
