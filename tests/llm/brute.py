@@ -98,3 +98,34 @@ def op2_base(text):
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
     return sorted(out)
+
+
+def op8(rows, threshold=0.93):
+    import numpy as np
+
+    good = [i for i, (_, e, lab) in enumerate(rows) if lab is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    n, root = [0] * len(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    groups = {}
+    for i in good:
+        groups.setdefault((rows[i][2], len(rows[i][1])), []).append(i)
+    for members in groups.values():
+        x = np.array([rows[i][1] for i in members], dtype=np.float64)
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        for p, q in zip(a, b):
+            i, j = members[p], members[q]
+            n[i] += 1
+            n[j] += 1
+            root[find(i)] = find(j)
+    least = {}
+    for i, (v, _, _) in enumerate(rows):
+        if v is not None:
+            r = find(i)
+            least[r] = min(v, least.get(r, v))
+    return [(v, n[i], least.get(find(i)), v is not None and least[find(i)] == v) for i, (v, _, _) in enumerate(rows)]
