@@ -6,10 +6,11 @@ n - t + l of both.  Each document picks its own l: a longer prefix reads more po
 candidates by postings / l, and the cheapest sum of both wins.  Two documents are compared at the
 smaller l of the two and become a candidate only with that many shared tokens.
 
-Copies of one set are one node.  Short posting lists give candidate pairs, which are verified on whole
-texts.  Members of a list above ``LIST`` are verified as blocks instead: they are grouped by shared long
-lists, cut by set size and into blocks of about ``BLOCK``, and each task compares two blocks exactly and
-returns a spanning forest of their links, so a family of near copies never becomes a table of its pairs.
+Copies of one set are one node.  Candidates from posting lists up to ``LIST`` are held to a bound on their
+overlap from bucket counts, which drops accidental ones without their texts.  What is left, and stars over
+longer lists, gives families; a family is verified exactly on whole texts in one task, or if it is large in
+pairs of blocks cut by set size.  A task returns a spanning forest of the links it finds, so a family of near
+copies never becomes a table of its pairs, and a text travels once or a few times, not once a pair.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import keyed_texts, ready
+from tokenloom.llm.common import keyed_texts, ready, row_key
 from tokenloom.llm.components import components
 from tokenloom.llm.words import FOLDED, mix, words_of
 from tokenloom.session import materialise
@@ -34,6 +35,7 @@ LIST = 16            # posting lists up to this length give pairs
 BLOCK = 512          # documents of a block
 HELD = 1 << 21       # tokens a task counts before it passes them on
 COLUMNS = 4096       # tokens of one matrix product
+BUCKETS = 64         # of the counts that bound an overlap
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -90,7 +92,7 @@ def _prefixes(n: int, percent: int, frequent):
         known, count = frequent.value
         with np.errstate(over="ignore"):
             for batch in batches:
-                size, f1, f2, level, prefix = [], [], [], [], []
+                size, f1, f2, level, prefix, buckets = [], [], [], [], [], []
                 for own in shingle_sets(batch.column("text"), n):
                     m = len(own)
                     needed = -(-percent * m // 100)
@@ -105,40 +107,49 @@ def _prefixes(n: int, percent: int, frequent):
                     chosen = choose_level(seen[order], m, needed) if m else 0
                     level.append(chosen)
                     prefix.append(own[order[:m - needed + chosen]].view(np.int64))
+                    buckets.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<i4").tobytes())
                 yield pa.record_batch([
                     batch.column("doc"), batch.column("tag"), batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(f1, pa.int64()),
-                    pa.array(f2, pa.int64()), pa.array(level, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc", "tag", "doc_id", "n", "f1", "f2", "level", "prefix"])
+                    pa.array(f2, pa.int64()), pa.array(level, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(buckets, pa.binary())],
+                    names=["doc", "tag", "doc_id", "n", "f1", "f2", "level", "prefix", "buckets"])
     return task
 
 
-def _verify(n: int, percent: int):
+def _bounded(percent: int):
+    """Keeps pairs whose overlap can be large enough: in no bucket do they share more than the smaller count."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                good = []
-                for x, y in zip(shingle_sets(batch.column("text_a"), n), shingle_sets(batch.column("text_b"), n)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, BUCKETS).astype(np.int64)
+                    for c in ("buckets_a", "buckets_b"))
+            both = np.minimum(x, y).sum(axis=1)
+            good = 100 * both >= percent * (x.sum(axis=1) + y.sum(axis=1) - both)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
     return task
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, from products of incidence matrices of some columns each."""
-    size = [len(s) for s in sets]
-    row = np.repeat(np.arange(len(sets)), size)
-    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    shared = np.bincount(token)[token] > 1
-    row, token = row[shared], np.unique(token[shared], return_inverse=True)[1]
+    """Sizes of all intersections, from products of incidence matrices.
+
+    The sets are sorted, so a range of tokens is a slice of each; ranges of about ``HELD`` tokens and
+    products of ``COLUMNS`` tokens bound the memory.
+    """
     out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
-        a, b = np.searchsorted(token, (low, low + COLUMNS))
-        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
-        part[row[a:b], token[a:b] - low] = 1
-        out += part @ part.T
+    parts = 1 + sum(map(len, sets)) // HELD
+    bounds = [np.uint64(k * ((1 << 64) // parts)) for k in range(1, parts)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]).astype(np.int64) for s in sets]
+    for k in range(parts):
+        own = [s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)]
+        row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        token, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)[1:]
+        shared = times[token] > 1
+        row, token = row[shared], np.unique(token[shared], return_inverse=True)[1]
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+            a, b = np.searchsorted(token, (low, low + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            part[row[a:b], token[a:b] - low] = 1
+            out += part @ part.T
     return out
 
 
@@ -158,45 +169,67 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _blocks(n: int, percent: int):
-    def task(group: pa.Table) -> pa.Table:
+KEY = ["family", "s1", "i", "s2", "j"]
+
+
+def _verify(n: int, percent: int):
+    """Spanning forests of the links in each group of ``KEY``; groups come sorted, the last of a batch waits for its rest."""
+    def links(group: pa.Table) -> list[tuple[int, int]]:
+        node = group.column("node").to_numpy()
+        sets = [s for chunk in group.column("text").chunks for s in shingle_sets(chunk, n)]
+        size, both = np.array([len(s) for s in sets]), overlaps(sets)
+        return [(int(node[i]), int(node[j])) for i, j in forest(100 * both >= percent * (size[:, None] + size[None, :] - both))]
+
+    def solve(table: pa.Table, stop: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        key = np.stack([table.column(k).to_numpy() for k in KEY])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        cuts = [0, *cuts.tolist(), *([len(table)] if stop else [])]
+        found = [e for a, b in zip(cuts[:-1], cuts[1:]) for e in links(table.slice(a, b - a))]
+        edges = pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        return edges, table.slice(cuts[-1])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         with np.errstate(over="ignore"):
-            node = group.column("node").to_numpy()
-            sets = [s for chunk in group.column("text").chunks for s in shingle_sets(chunk, n)]
-            both = overlaps(sets)
-            size = np.array([len(s) for s in sets])
-            edges = forest(100 * both >= percent * (size[:, None] + size[None, :] - both))
-            return pa.table({"a": pa.array([node[i] for i, _ in edges], pa.int64()), "b": pa.array([node[j] for _, j in edges], pa.int64())})
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                edges, rest = solve(pa.concat_tables([rest, table]) if rest is not None else table, False)
+                yield edges
+            if rest is not None and len(rest):
+                yield solve(rest, True)[0]
     return task
 
 
-def _long_lists(hot: DataFrame, percent: int) -> DataFrame:
-    """Pairs of blocks that can hold links: ``(family, s1, i, s2, j, node)`` for members of long lists."""
-    least = hot.groupBy("token").agg(F.min("node").alias("b"))
-    family = components(hot.join(least, "token").select(F.col("node").alias("a"), "b"))
+def _tasks(members: DataFrame, percent: int) -> DataFrame:
+    """Tasks ``(family, s1, i, s2, j, node)`` that bring all pairs together that can link.
+
+    A family of up to ``BLOCK`` is one task.  In a larger one, sets that link differ by one step of size at
+    most; each step is cut into blocks and each pair of blocks of a step or of neighbouring steps is a task.
+    """
     step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
-    # Two linked sets differ by one step of size at most.
-    members = materialise(hot.select("node", "n").distinct().join(family, "node")
-                          .select("node", F.col("root").alias("family"), F.floor(F.log("n") / step).alias("s")), "members")
-    cuts = (members.groupBy("family", "s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    cuts = materialise(cuts, "blocks")
-    own = members.join(cuts, ["family", "s"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    counts = members.groupBy("family").agg(F.count("*").alias("size"))
+    sized = materialise(members.join(counts, "family").select(
+        "node", "family", F.when(F.col("size") > BLOCK, F.floor(F.log("n") / step)).cast("bigint").alias("s")), "members")
+    whole = sized.where("s is null").select("family", *[F.lit(0).cast(t).alias(c) for c, t in zip(KEY[1:], ("bigint", "int") * 2)], "node")
+    large = sized.where("s is not null")
+    cuts = materialise(large.groupBy("family", "s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    own = large.join(cuts, ["family", "s"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     above = cuts.select("family", (F.col("s") - 1).alias("s"), F.col("blocks").alias("up"))
     below = cuts.select("family", (F.col("s") + 1).alias("s"), F.col("blocks").alias("down"))
-    own = own.join(above, ["family", "s"], "left").join(below, ["family", "s"], "left").withColumn("s", F.col("s").cast("bigint"))
+    own = own.join(above, ["family", "s"], "left").join(below, ["family", "s"], "left")
     each = lambda n: f"transform(sequence(0, {n} - 1), j -> "
-    return own.select("family", "node", F.explode(F.expr(f"""flatten(array(
+    return whole.union(own.select("family", "node", F.explode(F.expr(f"""flatten(array(
         {each('blocks')} named_struct('s1', s, 'i', least(i, j), 's2', s, 'j', greatest(i, j))),
         if(up is null, array(), {each('up')} named_struct('s1', s, 'i', i, 's2', s + 1, 'j', j))),
         if(down is null, array(), {each('down')} named_struct('s1', s - 1, 'i', j, 's2', s, 'j', i)))))""")).alias("t")
-    ).select("family", "node", "t.*")
+    ).select("family", "t.*", "node"))
 
 
 def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Components of documents linked by ``100 * |A & B| >= percent * |A | B|`` on ``n``-word shingles.
 
-    Returns ``doc_id, n_shingles, component_id`` and the row key ``doc, tag``, a row per row of
-    ``docs``.  A-Z are lower-cased.  ``component_id`` is the least id of the component, null ids left out
+    Returns ``doc_id, n_shingles, component_id``, the row key ``doc, tag`` and ``root``, a number of the
+    component (null for empty texts), a row per row of ``docs``.  A-Z are lower-cased.  ``component_id`` is the least id of the component, null ids left out
     (null if it has no other).  Empty and null texts link with nothing and keep their own id.  Rows that
     repeat an id are documents of their own; other columns are ignored.
     """
@@ -210,9 +243,9 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     order = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[order], top.column("c").to_numpy()[order]))
     sets = materialise(keyed.mapInArrow(_prefixes(n, percent, frequent),
-                                        "doc long, tag int, doc_id long, n int, f1 long, f2 long, level int, prefix array<long>"), "sets")
+                                        "doc long, tag int, doc_id long, n int, f1 long, f2 long, level int, prefix array<long>, buckets binary"), "sets")
     nodes = (sets.where("n > 0").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc", "tag", "n", "level", "prefix")).alias("p")))
+        F.min("doc_id").alias("least"), F.min(F.struct("doc", "tag", "n", "level", "prefix", "buckets")).alias("p")))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "f1", "f2", "least", "p.*"), "nodes")
     postings = nodes.select("node", "n", "level", F.ceil((F.col("n") * percent) / F.lit(100)).cast("int").alias("needed"),
                             F.posexplode("prefix").alias("i", "token")).select(
@@ -228,24 +261,41 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                     & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
              .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
              .agg(F.count("*").alias("matches"), F.min(least_level).alias("level")).where("matches >= level").select("a", "b"))
-    pairs = materialise(pairs, "pairs")
-    blocks = materialise(_long_lists(shared.where(F.col("c") > LIST), percent), "tasks")
-
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(blocks.select("node")).distinct()
-    texts = materialise(nodes.select("node", "doc", "tag").join(used, "node").join(
-        keyed.select("doc", "tag", "text"), ["doc", "tag"])
-        .select("node", "text"), "texts")
-    found = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-             .mapInArrow(_verify(n, percent), "a long, b long"))
-    near = blocks.join(texts, "node").groupBy("family", "s1", "i", "s2", "j").applyInArrow(_blocks(n, percent), "a long, b long")
-    root = components(found.union(near))
+    marks = nodes.select("node", "buckets")
+    # Joined by sorting at every size: what is looked up grows with the corpus.
+    close = (pairs.hint("merge").join(marks.select(F.col("node").alias("a"), F.col("buckets").alias("buckets_a")), "a")
+             .join(marks.select(F.col("node").alias("b"), F.col("buckets").alias("buckets_b")).hint("merge"), "b")
+             .mapInArrow(_bounded(percent), "a long, b long"))
+    hot = materialise(shared.where(F.col("c") > LIST).select("token", "node"), "hot")
+    stars = hot.join(hot.groupBy("token").agg(F.min("node").alias("b")), "token").select(F.col("node").alias("a"), "b")
+    family = components(close.union(stars))
+    members = nodes.select("node", "n", "doc", "tag").join(family.withColumnRenamed("root", "family"), "node")
+    tasks = materialise(_tasks(members.select("node", "n", "family"), percent).join(members.select("node", "doc", "tag"), "node"), "tasks")
+    found = (tasks.hint("merge").join(keyed.select("doc", "tag", "text"), ["doc", "tag"]).select(*KEY, "node", "text")
+             .repartition(*KEY).sortWithinPartitions(*KEY, "node").mapInArrow(_verify(n, percent), "a long, b long"))
+    root = components(found)
 
     placed = nodes.select("node", "f1", "f2", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed, "roots")
     least = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = materialise(placed.join(least, "root").select("f1", "f2", "component_id"), "named")
+    named = materialise(placed.join(least, "root").select("f1", "f2", "root", "component_id"), "named")
     full = sets.where("n > 0").select("doc", "tag", "doc_id", "n", "f1", "f2").join(named, ["f1", "f2"])
-    empty = sets.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "doc", "tag"]
+    empty = sets.where("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("bigint")})
+    columns = ["doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "doc", "tag", "root"]
     return full.select(*columns).union(empty.select(*columns))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` with all their columns, one for each component: that with the least id, null ids last.
+
+    Empty and null texts are in no component and all stay.
+    """
+    groups = similar_groups(docs, n, percent)
+    first = groups.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc", "tag")).alias("p"))
+    keep = first.select("p.doc", "p.tag", F.lit(False).alias("all")).union(
+        groups.where("root is null").select("doc", "tag", F.lit(True)).distinct())
+    keep = keep.toDF("__doc", "__tag", "__all")
+    kept = docs.withColumns(dict(zip(("__doc", "__tag"), row_key()))).join(keep, ["__doc", "__tag"])
+    # Rows that repeat the kept one share its key; one of them stays.
+    again = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy("__all"))
+    return kept.withColumn("__again", again).where("__all or __again = 1").select(*docs.columns)
