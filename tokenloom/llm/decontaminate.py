@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import keyed_texts, ready
+from tokenloom.llm.common import keyed_texts, ready, row_key
 from tokenloom.llm.words import ALNUM, STEP, span, words_of, runs
 from tokenloom.session import materialise
 
@@ -94,15 +94,15 @@ def _scan(sizes: list[int], bitmap, size: int):
                     a, b = max(bounds[r], i - size + 1), min(bounds[r + 1], i + size)
                     hits[words.first + r].append({"token": int(token), "at": int(i - bounds[r]), "left": int(i - a),
                                                   "around": words.hash[a:b].view(np.int64)})
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words), pa.array(hits, pa.list_(hit))], names=["doc_id", "n_words", "hits"])
+            yield pa.record_batch([*[batch.column(c) for c in ("doc", "tag", "doc_id")], pa.array(n_words), pa.array(hits, pa.list_(hit))], names=["doc", "tag", "doc_id", "n_words", "hits"])
     return task
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
     """Finds windows of ``items`` (``item_id, text``) in ``docs`` and the words they cover.
 
-    Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``items``, a row per row of
-    ``docs``; contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``.  Null and empty texts have no
+    Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, the ``items`` and the row key
+    ``doc, tag``, a row per row of ``docs``; contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``.  Null and empty texts have no
     words, items without words no windows; items with a null id are left out; items that repeat an id count
     as one.  Other columns are ignored.
     """
@@ -124,8 +124,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle:
     # A shingle that no document holds rules its window out.
     keys = materialise(ranked.where("p.c > 0").select("window", "p.token", "p.offset", "p.words"), "keys")
     needed = spark.sparkContext.broadcast(_bitmap(keys.select("token").distinct()))
-    scanned = materialise(texts.select("doc_id", "text").mapInArrow(
-        _scan(sizes, needed, size), "doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<long>>>")
+    scanned = materialise(texts.mapInArrow(
+        _scan(sizes, needed, size), "doc long, tag int, doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<long>>>")
         .withColumn("row", F.monotonically_increasing_id()), "finds")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
@@ -142,9 +142,15 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle:
     words = spans.groupBy("row").agg(covered.cast("bigint").alias("n_hit"))
     named = (spans.select("row", "window").distinct().join(owners, "window").select("row", "item_id").distinct()
              .groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items")))
-    joined = scanned.select("row", "doc_id", "n_words").join(words, "row", "left").join(named, "row", "left")
+    joined = scanned.select("row", "doc", "tag", "doc_id", "n_words").join(words, "row", "left").join(named, "row", "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"))
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"), "doc", "tag")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with all their columns that are not contaminated by ``items``."""
+    bad = contaminated(docs, items).where("contaminated").select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    return docs.withColumns(dict(zip(("__doc", "__tag"), row_key()))).join(bad, ["__doc", "__tag"], "left_anti").select(*docs.columns)

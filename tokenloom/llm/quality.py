@@ -225,3 +225,18 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
                                   names=[*names, "score", "predicted"])
 
     return rows.mapInArrow(task, schema)
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` with all their columns whose score reaches ``threshold``."""
+    spark = ready(docs)
+    shared = spark.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = np.full(batch.num_rows, shared.value.bias)
+            for first, n, row, bucket in features(batch.column("text")):
+                margin[first:first + n] = shared.value.margins(n, row, bucket)
+            yield batch.filter(pa.array(shared.value.scores(margin) >= threshold))
+
+    return docs.mapInArrow(task, docs.schema)
