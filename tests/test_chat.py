@@ -40,19 +40,37 @@ def test_chat_limits_first_rule_wins(spark):
         "conversation_too_long"]
 
 
-def test_oversized_conversations_stay_whole_in_turn_form(spark):
-    turns = spark.createDataFrame([(1, 0, U, "x" * 500), (1, 1, A, "y" * 500), (2, 0, U, "z")], "conv_id bigint, turn bigint, role string, text string")
-    small = C.conversations_from_turns(turns, max_chars=300)
-    large = C.oversized_turns(turns, max_chars=300)
-    assert [r.conv_id for r in small.collect()] == [2] and large.count() == 2
+def test_long_conversations_are_gathered(spark):
+    turns = spark.createDataFrame([(1, 0, U, "x" * 500_000), (1, 1, A, "y" * 500_000), (2, 0, U, "z")], "conv_id bigint, turn bigint, role string, text string")
+    assert {r.conv_id: len(r.messages) for r in C.conversations_from_turns(turns).collect()} == {1: 2, 2: 1}
 
 
-@pytest.mark.parametrize("native", [True, False])
-def test_rendering_with_tools_and_masks(spark, native, monkeypatch):
+@pytest.mark.parametrize("merges", [0, 9, 10, 60])
+def test_rendering_decodes_back_with_any_vocabulary(spark, merges):
     from tokenloom.operators import bpe
 
-    if not native:
-        monkeypatch.setattr(bpe, "NATIVE_MERGE_LIMIT", 0)
+    chats_ = C.conversations_from_turns(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    words = bpe.word_counts(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    learned = [m[:3] for m in bpe.bpe_train(words, 267 + merges)] if merges else []
+    valid, _ = C.validate_conversations(C.merge_system_message(chats_)[0], 1)
+    for markers in (True, False):
+        out = C.render_conversations(valid, learned, markers, 10**6)
+        back = {r.conv_id: r for r in bpe.decode_corpus(out, learned).collect()}
+        for r in valid.collect():
+            want = "<|bos|>" + "".join(f"<|{m.role}_start|>{m.content}<|{m.role}_end|>" for m in r.messages)
+            got = back[r.conv_id]
+            assert got.text == want and len(got.ids) == len(got.mask)
+            # Supervised are the replies and their end marks.
+            at = [i for i, t in enumerate(got.ids) if t == 261]
+            assert all(got.mask[i] == 0 and got.mask[i + 1] == 1 for i in at) and got.mask[0] == 0
+
+
+def test_a_null_part_does_not_shift_the_rest(spark):
+    rows = chats(spark, [(U, "ab"), (A, [("text", None), ("text", "cd")])])
+    assert C.render_conversations(rows, markers=False).first().ids == [258, 259, 97, 98, 260, 261, 99, 100, 262]
+
+
+def test_rendering_with_tools_and_masks(spark):
     parts = [("text", "hi "), ("python", "1+1"), ("python_output", "2"), ("text", "")]
     rows = chats(spark, [(S, "be"), (U, "ab"), (A, parts)], [(U, "ab"), (A, "ab")])
     merged, bad = C.merge_system_message(rows)

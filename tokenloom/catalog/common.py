@@ -34,7 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- SQL building blocks -------------------------------------------------
 
 def sql_draw(*parts: str) -> str:
-    return f"('0x'||substr(md5(concat_ws('|',{','.join(parts)})),1,8))::BIGINT"
+    return f"('0x'||substr(md5(concat_ws('|',{','.join(parts)})),1,15))::BIGINT"
+
+
+def sql_unit(*parts: str) -> str:
+    return f"((({sql_draw(*parts)}) >> 8) / {float(1 << 52)!r}::DOUBLE)"
 
 
 SQL_WORD = r"[^()\[\]{}\n\t=:., ]+"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenloom.catalog.common import query, sql_byte_list, sql_draw, table
+from tokenloom.catalog.common import query, sql_byte_list, sql_unit, table
 from tokenloom.functions import tokens as T
 from tokenloom.functions.draws import draw_index
 from tokenloom.operators import bpe, corpus, packing
@@ -163,7 +163,7 @@ def u2(spark, sf):
     return corpus.task_sequence(_tasks(spark, sf))
 
 
-_U = f"({sql_draw(chr(39) + '7' + chr(39), 'event_id')} / 4294967296.0)"
+_U = sql_unit("'7'", "event_id")
 
 
 @query("U3_weighted_mix", f"SELECT event_id, CASE WHEN {_U} < 1.0/1.5 THEN 'calculator' ELSE 'tic-tac-toe' END AS source FROM events")
@@ -211,11 +211,11 @@ def p10(spark, sf):
     return corpus.drop_unparsed(users.join(after, ["conv_id", "turn"], "left"))
 
 
-@query("P11_split_decoded_stream", f"""WITH r AS (SELECT doc_id // 7 AS row_id, string_agg(substr(text, 1 + (doc_id % 5)::BIGINT), '<|bos|>' ORDER BY doc_id) AS text FROM documents GROUP BY 1),
+@query("P11_split_decoded_stream", f"""WITH r AS (SELECT doc_id // 7 AS row_id, string_agg(text, '<|bos|>' ORDER BY doc_id) AS text FROM documents GROUP BY 1),
   p AS (SELECT row_id, string_split(text, '<|bos|>') AS ps FROM r)
   SELECT row_id, (i - 1)::INTEGER AS pos, md5(ps[i + 1]) AS problem_md5 FROM (SELECT row_id, ps, unnest(range(1, len(ps) - 1)) AS i FROM p)""")
 def p11(spark, sf):
-    docs = _docs(spark, sf).withColumn("text", F.expr("substring(text, 1 + doc_id % 5)"))
+    docs = _docs(spark, sf)
     rows = docs.groupBy(F.floor(F.col("doc_id") / 7).alias("row_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), "<|bos|>").alias("text"))
     return corpus.split_decoded_stream(rows).select("row_id", "pos", F.md5("problem").alias("problem_md5"))

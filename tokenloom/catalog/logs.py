@@ -8,7 +8,7 @@ from tokenloom.catalog.common import query, sql_draw, table
 from tokenloom.catalog.scores import GIVEN, SCORES, _CENTERED, _CHOSEN, _GOLD, centered
 from tokenloom.catalog.vocabulary import _GIVEN_SQL, sql_ids
 from tokenloom.functions import text as X
-from tokenloom.functions.draws import draw_u32
+from tokenloom.functions.draws import draw_bits
 from tokenloom.operators import bpe
 from tokenloom.operators import evaluation as E
 from tokenloom.operators import metrics as M
@@ -47,11 +47,11 @@ def w11(spark, sf):
 
 
 _STAGED = """st AS (SELECT event_id, (['base', 'mid', 'sft', 'rl'])[1 + user_id % 4] AS stage, CASE event_type WHEN 'click' THEN 'CORE' WHEN 'view' THEN 'ChatCORE' ELSE event_type END AS metric,
-    printf('%.4f', round(value * 100)::BIGINT / 128.0) AS value FROM events WHERE user_id % 4 > 0 OR event_type = 'click')"""
+    printf('%.4f', round(value * 100)::BIGINT / 128.0) AS value FROM events)"""
 
 
 def staged(spark, sf):
-    e = table(spark, sf, "events").where("user_id % 4 > 0 OR event_type = 'click'")
+    e = table(spark, sf, "events")
     stage = F.get(F.array(*[F.lit(s) for s in M.STAGES]), F.col("user_id") % 4)
     metric = F.when(F.col("event_type") == "click", "CORE").when(F.col("event_type") == "view", "ChatCORE").otherwise(F.col("event_type"))
     value = F.round(F.col("value") * 100).cast("bigint") / 128.0
@@ -103,7 +103,7 @@ _SCORED = f"sd AS (SELECT doc_id, quality AS corr, ({sql_draw(chr(39) + 'score'
 
 
 def scored(spark, sf):
-    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("corr"), ((draw_u32("score", F.col("doc_id")) % 256) / 256.0).alias("score"))
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("corr"), ((draw_bits("score", F.col("doc_id")) % 256) / 256.0).alias("score"))
 
 
 @query("A17_tool_metrics", f"WITH {_SCORED} SELECT round(sum(corr) / (count(*) + 1e-6::DOUBLE), 6) AS tool_correctness, round(sum(score) / (count(*) + 1e-6::DOUBLE), 6) AS tool_score FROM sd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenloom.catalog.common import query, sql_draw, sql_words, table
+from tokenloom.catalog.common import query, sql_draw, sql_unit, sql_words, table
 from tokenloom.catalog.corpus import SQL_PROBLEMS, problems
 from tokenloom.catalog.scores import ITEMS, items
 from tokenloom.catalog.vocabulary import GIVEN, sql_merges
@@ -78,9 +78,9 @@ def f16(spark, sf):
 _CALC = "prompt || '? x? # Answer: \"' || turn || '.5\" '"
 
 
-@query("F17_calc_parse", f"""SELECT conv_id, turn, string_split(prompt, '?')[1] || '?' AS prompt, turn || '.5' AS expected FROM ({SQL_PROBLEMS}) WHERE NOT contains(prompt, '"')""")
+@query("F17_calc_parse", f"""SELECT conv_id, turn, string_split(prompt, '?')[1] || '?' AS prompt, turn || '.5' AS expected FROM ({SQL_PROBLEMS})""")
 def f17(spark, sf):
-    rows = problems(spark, sf).where(~F.contains("prompt", F.lit('"')))
+    rows = problems(spark, sf)
     said = F.concat("prompt", F.lit('? x? # Answer: "'), "turn", F.lit('.5" '))
     return rows.select("conv_id", "turn", X.calc_parse(said).alias("p")).select("conv_id", "turn", "p.prompt", "p.expected")
 
@@ -270,7 +270,7 @@ _Q = "['', '''', '\"']"
 
 
 def _unit(tag: str) -> str:
-    return f"({sql_draw(chr(39) + tag + chr(39), 's')} / 4294967296.0)"
+    return sql_unit(chr(39) + tag + chr(39), "s")
 
 
 def _pick(listing: str, n: int, tag: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenloom.catalog.common import SQL_WORD, query, sql_byte_list, sql_draw, table
 from tokenloom.functions import text as X
 from tokenloom.functions import tokens as T
-from tokenloom.functions.draws import draw_u32
+from tokenloom.functions.draws import draw_bits
 from tokenloom.operators import bpe
 from tokenloom.operators import evaluation as E
 from tokenloom.operators.offsets import dense_index, integer_levels
@@ -29,7 +29,7 @@ def scores(spark, sf):
     p, point = F.col("p"), F.ascii("word")
     token = (F.when(p % 13 == 5, -1).when(p % 17 == 3, 258).when(p % 5 == 0, 267 + point % 4).otherwise(point % 256))
     base = words.select(F.col("doc_id").alias("example_id"), "lang", F.col("source").alias("task"), (p % 4).alias("option_idx"),
-                        F.floor(p / 4).cast("int").alias("pos"), token.cast("int").alias("token"), draw_u32("nll", F.col("doc_id"), p).alias("u"))
+                        F.floor(p / 4).cast("int").alias("pos"), token.cast("int").alias("token"), draw_bits("nll", F.col("doc_id"), p).alias("u"))
     return base.select("*", ((F.col("u") % 8192) / 1024.0).alias("nll"),
                        F.when(F.col("u") % 1000 < 996, F.col("token")).otherwise(F.col("token") + 1).alias("argmax"))
 
@@ -130,7 +130,7 @@ _CENTERED = f"""acc AS (SELECT task, avg(correct) AS accuracy, count(*)::BIGINT
 
 def centered(spark, sf):
     base = table(spark, sf, "documents").select(F.col("source").alias("task")).distinct().withColumn(
-        "baseline_pct", (draw_u32("base", F.col("task")) % 3) * 25.0)
+        "baseline_pct", (draw_bits("base", F.col("task")) % 3) * 25.0)
     return E.centered_accuracy(E.task_accuracy(graded(spark, sf)), base)
 
 
@@ -210,9 +210,9 @@ def j8(spark, sf):
     return E.restrict_to_options(s, items)
 
 
-@query("J7_letter_token_ids", f"""WITH l AS (SELECT DISTINCT substr(text, 1, 1) AS letter FROM documents) SELECT letter, ({sql_byte_list('letter')})[1]::INTEGER AS token FROM l""")
+@query("J7_letter_token_ids", f"""WITH l AS (SELECT DISTINCT unnest(string_split(text, '')) AS letter FROM documents WHERE text <> '') SELECT letter, ({sql_byte_list('letter')})[1]::INTEGER AS token FROM l""")
 def j7(spark, sf):
-    return E.letter_token_ids(table(spark, sf, "documents").select(F.substring("text", 1, 1).alias("letter")), GIVEN)
+    return E.letter_token_ids(table(spark, sf, "documents").where("text <> ''").select(F.explode(F.split("text", "")).alias("letter")).distinct(), GIVEN)
 
 
 _ANS = "nullif(replace(regexp_extract({x}, '#### (-?[0-9.,]+)', 1), ',', ''), '')"
@@ -244,15 +244,15 @@ def j9(spark, sf):
 
 # Items: the sentences of a document are its choices; sources are the tasks.
 ITEMS = """items AS (SELECT source AS task, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, string_split(text, '.') AS ss FROM documents),
-  it AS (SELECT task, idx, substr(ss[1], 1, 40) AS query, [substr(coalesce(ss[2], 'none'), 1, 30), substr(coalesce(ss[3], 'none'), 1, 30)] AS choices, (doc_id % 2)::INTEGER AS gold,
+  it AS (SELECT task, idx, ss[1] AS query, [coalesce(ss[2], 'none'), coalesce(ss[3], 'none')] AS choices, (doc_id % 2)::INTEGER AS gold,
      count(*) OVER (PARTITION BY task) AS n FROM items)"""
 
 
 def items(spark, sf):
     parts = F.split("text", r"\.", -1)
-    short = lambda i, k: F.substring(F.coalesce(F.get("ss", F.lit(i)), F.lit("none")), 1, k)
+    said = lambda i: F.coalesce(F.get("ss", F.lit(i)), F.lit("none"))
     docs = table(spark, sf, "documents").select(F.col("source").alias("task"), "doc_id", parts.alias("ss"))
-    rows = docs.select("task", "doc_id", short(0, 40).alias("query"), F.array(short(1, 30), short(2, 30)).alias("choices"),
+    rows = docs.select("task", "doc_id", said(0).alias("query"), F.array(said(1), said(2)).alias("choices"),
                        (F.col("doc_id") % 2).cast("int").alias("gold"))
     return dense_index(rows, [F.col("doc_id")], integer_levels(F.col("doc_id")), ["task"])
 
@@ -315,14 +315,11 @@ def _lm(spark, sf):
     return _shots(spark, sf).withColumn("prompts", prompts)
 
 
-_PB = sql_byte_list("prompt")
-
-
 @query("F10_continuation_spans", f"""WITH {ITEMS}, {SHOTS}, {_JOINED},
-  mc AS (SELECT task, idx, o, {_MC} || query || ' ' || choices[o + 1] AS prompt FROM (SELECT *, unnest([0, 1]) AS o FROM j)),
-  b AS (SELECT task, idx, o, list_prepend(258, {_PB}) AS ids FROM mc),
-  p AS (SELECT x.task, x.idx, least(len(x.ids), len(y.ids)) AS short, list_position(list_transform(list_zip(x.ids[1:least(len(x.ids), len(y.ids))], y.ids[1:least(len(x.ids), len(y.ids))]), lambda z: z[1] <> z[2]), true) AS d FROM b x JOIN b y ON x.task = y.task AND x.idx = y.idx AND x.o = 0 AND y.o = 1)
-  SELECT task, idx, o::INTEGER AS option_idx, coalesce(d - 1, short)::INTEGER AS span_start, len(ids)::INTEGER AS span_end FROM b JOIN p USING (task, idx)""")
+  h AS MATERIALIZED (SELECT task, idx, strlen({_MC} || query || ' ') + 1 AS head, choices, {sql_byte_list('choices[1]')} AS x, {sql_byte_list('choices[2]')} AS y FROM j),
+  p AS (SELECT *, least(len(x), len(y)) AS short FROM h),
+  d AS (SELECT task, idx, head, choices, head + coalesce(list_position(list_transform(list_zip(x[1:short], y[1:short]), lambda z: z[1] <> z[2]), true) - 1, short) AS s FROM p)
+  SELECT task, idx, o::INTEGER AS option_idx, s::INTEGER AS span_start, (head + strlen(choices[o + 1]))::INTEGER AS span_end FROM (SELECT *, unnest([0, 1]) AS o FROM d)""")
 def f10(spark, sf):
     prompts = X.render_icl_mc(F.col("shots"), F.col("query"), F.col("choices"), F.lit(" "))
     rows = _shots(spark, sf).select("task", "idx", prompts.alias("prompts"))

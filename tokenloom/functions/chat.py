@@ -82,7 +82,8 @@ def without_reply(messages: Column) -> Column:
 # ---------------------------------------------------------------- rendering
 
 _SEGMENT = "struct<pre:string,text:string,mask:string,post:string,pre_mask:string,post_mask:string>"
-_SEPARATOR = "Ĕ"
+# Between segments: a character that no token has (see ``T.MAX_TOKENS``).
+_SEPARATOR = "\U0010ffff"
 
 
 def _segment(pre: str, text: Column, mask: str, post: str, pre_mask: str, post_mask: str) -> Column:
@@ -114,13 +115,13 @@ def segments(messages: Column) -> Column:
 
 def framed_segments(segs: Column) -> Column:
     """All segment texts as one framed token string, so one pass of merging serves them all."""
-    return F.array_join(F.transform(segs, lambda s: T.framed_token_string(s["text"])), _SEPARATOR)
+    return F.array_join(F.transform(segs, lambda s: T.framed_token_string(F.coalesce(s["text"], F.lit("")))), _SEPARATOR)
 
 
 def assemble(segs: Column, merged: Column, markers: bool) -> Column:
     """``STRUCT<tokens, mask>`` strings from segments and their merged texts, begin mark included."""
     def one(seg, body):
-        done = T.finish_token_string(body, seg["text"], markers)
+        done = T.finish_token_string(body, F.coalesce(seg["text"], F.lit("")), markers)
         return F.struct(F.concat(seg["pre"], done, seg["post"]).alias("t"),
                         F.concat(seg["pre_mask"], F.repeat(seg["mask"], F.length(done)), seg["post_mask"]).alias("m"))
 

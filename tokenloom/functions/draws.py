@@ -19,20 +19,20 @@ def digest(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[_part(p).cast("string") for p in parts]))
 
 
-def draw_u32(*parts) -> Column:
-    """Uniform integer in [0, 2^32)."""
-    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("bigint")
+def draw_bits(*parts) -> Column:
+    """Uniform integer in [0, 2^60)."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 def draw_index(n, *parts) -> Column:
     """Uniform integer in [0, n)."""
     size = n if isinstance(n, Column) else F.lit(int(n))
-    return F.pmod(draw_u32(*parts), size.cast("bigint"))
+    return F.pmod(draw_bits(*parts), size.cast("bigint"))
 
 
 def draw_unit(*parts) -> Column:
     """Uniform double in [0, 1)."""
-    return draw_u32(*parts) / F.lit(4294967296.0)
+    return F.shiftright(draw_bits(*parts), 8) / F.lit(float(1 << 52))
 
 
 def pick(options: list[str], *parts) -> Column:

@@ -42,6 +42,8 @@ BRACKET = r"[()\[\]{}]"
 CLOSER = r"[)\]}]"
 
 _SURROGATES = 0x800
+# Tokens a token string can hold; the last characters stay free for separators.
+MAX_TOKENS = 0x10FFF0 - _SURROGATES
 _DOWN, _UP = chr(DOWN_ID), chr(UP_ID)
 # Characters above byte range stand for an unmatched closer and for the word break before it.
 _LOOSE = {")": "Đ", "]": "đ", "}": "Ē"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,8 @@ from pyspark.sql import functions as F
 from tokenloom.functions import tokens as T
 from tokenloom.session import materialise
 
-# Above this many merges a chain of ``replace`` costs more than an Arrow round trip.
-NATIVE_MERGE_LIMIT = 384
-# A vocabulary is model metadata; it is the only thing that is held on the driver.
-MAX_VOCABULARY = 1 << 20
+# Distinct words a task remembers the encoding of before it starts afresh.
+MEMO_WORDS = 500_000
 
 Merge = tuple[int, int, int]
 
@@ -39,8 +38,11 @@ def word_tokens(words: DataFrame) -> DataFrame:
 
 
 def _pair_strings(tok: DataFrame) -> DataFrame:
-    """Adjacent pairs as two-character strings; the look-ahead makes the windows overlap."""
-    pairs = F.regexp_extract_all("tok", F.lit("(?s)(?=(..))"), F.lit(1))
+    """Adjacent pairs as two-character strings: those at even places, then those at odd ones.
+
+    Each match takes whole code points, so tokens above U+FFFF count as one character.
+    """
+    pairs = F.concat(*[F.regexp_extract_all(t, F.lit("(?s).."), F.lit(0)) for t in (F.col("tok"), F.expr("substring(tok, 2)"))])
     long_enough = tok.where(F.length("tok") >= 2)
     return long_enough.select(F.explode(pairs).alias("pair"), "cnt").groupBy("pair").agg(F.sum("cnt").alias("c"))
 
@@ -94,8 +96,8 @@ def bpe_train(words: DataFrame, vocab_size: int, batch: int = 64, rebase_every:
     """
     if vocab_size <= T.FIRST_MERGE_ID:
         raise ValueError(f"vocab_size must be above {T.FIRST_MERGE_ID}")
-    if vocab_size > MAX_VOCABULARY:
-        raise ValueError(f"vocab_size must be at most {MAX_VOCABULARY}")
+    if vocab_size > T.MAX_TOKENS:
+        raise ValueError(f"a token string holds {T.MAX_TOKENS} tokens")
     wanted = vocab_size - T.FIRST_MERGE_ID
     base = materialise(word_tokens(words).where(F.length("tok") >= 2), "words")
     pairs = materialise(_pair_strings(base), "pairs")
@@ -136,10 +138,8 @@ def merges_frame(spark: SparkSession, merges: list[tuple[int, int, int, int]]) -
 
 
 def merge_list(merges: DataFrame) -> list[Merge]:
-    """A stored merge table as a list; its size is bounded by the vocabulary."""
-    rows = merges.select("a", "b", "id").orderBy("id").limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} merges")
+    """A stored merge table as a list; its size is that of the vocabulary, which is model metadata."""
+    rows = merges.select("a", "b", "id").orderBy("id").collect()
     return [(r.a, r.b, r.id) for r in rows]
 
 
@@ -204,32 +204,33 @@ def merge_word(word: str, rank: dict[str, str]) -> str:
 
 
 def merge_udf(spark: SparkSession, merges: list[Merge]):
-    """Arrow function that merges the framed words of token strings, each distinct word once per task."""
+    """Arrow function that merges the framed words of token strings; its word memo lives as long as the task."""
     shared = spark.sparkContext.broadcast(
         {T.token_char(a) + T.token_char(b): T.token_char(i) for a, b, i in merges})
 
     @F.pandas_udf("string")
-    def merge_words(batches: pd.Series) -> pd.Series:
+    def merge_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rank, memo = shared.value, {}
 
         def merged(match):
             word = match.group()
             if word not in memo:
-                if len(memo) > 500_000:
+                if len(memo) >= MEMO_WORDS:
                     memo.clear()
                 memo[word] = merge_word(word, rank)
             return memo[word]
 
         framed = re.compile("(?<=Ā)[^ā]+")
-        return batches.map(lambda s: framed.sub(merged, s), na_action="ignore")
+        for batch in batches:
+            yield batch.map(lambda s: framed.sub(merged, s), na_action="ignore")
 
     return merge_words
 
 
 def with_merged(rows: DataFrame, framed: Column, merges: list[Merge], out: str = "__merged") -> DataFrame:
-    """Adds the framed token string after merging, in the JVM or in Arrow by the number of merges."""
-    if len(merges) <= NATIVE_MERGE_LIMIT:
-        return rows.withColumn(out, T.apply_merges(framed, T.word_merges(merges)))
+    """Adds the framed token string after merging."""
+    if not merges:
+        return rows.withColumn(out, framed)
     merge = merge_udf(rows.sparkSession, merges)
     # Read twice, the framed string stays a projection of its own below the Arrow step;
     # folded into its argument, array functions with lambdas keep Spark from planning it.
@@ -242,8 +243,8 @@ def encode_tokens(docs: DataFrame, merges: list[Merge] = (), markers: bool = Tru
                   out: str = "tokens", prepend: int | None = None, append: int | None = None) -> DataFrame:
     """Adds the encoding of every document as a token string; no shuffle, any vocabulary size.
 
-    Short merge lists stay in generated code.  Long ones go through one Arrow function that
-    gets the merge table as a broadcast (bounded by the vocabulary) and keeps a word memo.
+    Merging is one Arrow function that gets the merge table as a broadcast (bounded by the
+    vocabulary) and keeps a word memo for the task.
     A token string takes 1-3 bytes per token, so it is also the cheap form to store and shuffle.
     """
     merges = list(merges)
@@ -309,22 +310,10 @@ def decode_corpus(rows: DataFrame, merges: list[Merge] = (), ids: str = "ids", o
 
 
 def compression_ratio(docs: DataFrame, group: str, merges: list[Merge], text: str = "text") -> DataFrame:
-    """UTF-8 bytes per token and group, markers off.
-
-    Tokens are summed over counted words; separators are one token each and are what the
-    byte total holds beyond the words, so no document is encoded twice.
-    """
-    words = attach_encodings(word_counts(docs, text, (group,)), merges)
-    word_part = words.groupBy(group).agg(
-        F.sum(F.col("cnt") * F.size("ids")).alias("word_tokens"),
-        F.sum(F.col("cnt") * F.octet_length("word")).alias("word_bytes"))
-    specials = F.size(T.leading_special_ids(F.col(text)))
-    body = F.octet_length(T.strip_leading_specials(F.col(text)))
-    bytes_part = docs.groupBy(group).agg(
-        F.sum(F.octet_length(text)).alias("bytes"), F.sum(body).alias("body"), F.sum(specials).alias("specials"))
-    joined = bytes_part.join(word_part, group, "left").na.fill(0, ["word_tokens", "word_bytes"])
-    tokens = F.col("body") - F.col("word_bytes") + F.col("word_tokens") + F.col("specials")
-    return joined.select(group, "bytes", tokens.alias("tokens"), (F.col("bytes") / tokens).alias("ratio"))
+    """UTF-8 bytes per token and group, markers off: one scan, only sums are shuffled."""
+    coded = encode_tokens(docs.select(group, text), merges, markers=False, text=text, out="__tokens")
+    sums = coded.groupBy(group).agg(F.sum(F.octet_length(text)).alias("bytes"), F.sum(F.length("__tokens")).cast("bigint").alias("tokens"))
+    return sums.select(group, "bytes", "tokens", (F.col("bytes") / F.col("tokens")).alias("ratio"))
 
 
 def compare_tokenizers(ours: DataFrame, baseline: DataFrame, group: str, names=("Ours", "Baseline")) -> DataFrame:

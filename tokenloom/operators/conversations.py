@@ -9,32 +9,17 @@ from tokenloom.functions import chat
 from tokenloom.functions import tokens as T
 from tokenloom.operators import bpe
 
-# A conversation becomes one row, and a row must fit in memory.  Larger ones stay in turn form.
-MAX_ROW_CHARS = 64_000_000
-
-
-def _sized(turns: DataFrame, conv: str, text: str) -> DataFrame:
-    sizes = turns.groupBy(conv).agg((F.sum(F.length(text)) + 64 * F.count("*")).alias("__chars"))
-    return turns.join(sizes, conv)
-
 
 def conversations_from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-                             text: str = "text", max_chars: int = MAX_ROW_CHARS) -> DataFrame:
-    """One ``messages`` array per conversation in turn order.
+                             text: str = "text") -> DataFrame:
+    """One ``messages`` array per conversation in turn order, of any length.
 
-    Sizes come from a partial aggregate first; a conversation beyond ``max_chars`` is not
-    gathered here but kept whole by :func:`oversized_turns`.
+    A conversation is one row, as its readers need it; ``filter_chat_limits`` sets aside long ones with a reason.
     """
-    small = _sized(turns, conv, text).where(F.col("__chars") <= max_chars)
-    rows = small.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, role, text))).alias("t"))
+    rows = turns.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, role, text))).alias("t"))
     return rows.select(conv, F.transform("t", lambda m: chat.message(m[role], m[text])).alias("messages"))
 
 
-def oversized_turns(turns: DataFrame, conv: str = "conv_id", text: str = "text", max_chars: int = MAX_ROW_CHARS) -> DataFrame:
-    """Turns of the conversations that are too large for one row."""
-    return _sized(turns, conv, text).where(F.col("__chars") > max_chars).drop("__chars")
-
-
 def _split_by(rows: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
     judged = rows.withColumn("reason", reason)
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")

@@ -60,17 +60,11 @@ def few_shot_examples(items: DataFrame, k: int, seed: int = 1234, fields: tuple[
 def common_length(seqs: DataFrame, key: str = "example_id", ids: str = "ids", suffix: bool = False, out: str = "common") -> DataFrame:
     """Length of the longest common prefix (or suffix) of all arrays with one key.
 
-    A position is common when every array has it with one value; both tests are plain
-    aggregates, so a key with many arrays is combined before the shuffle.
+    It is that of the least and the greatest array, which are partial aggregates: no token is exploded.
     """
     order = F.reverse(ids) if suffix else F.col(ids)
-    counts = seqs.groupBy(key).agg(F.count("*").alias("__n"), F.min(F.size(ids)).alias("__short"))
-    tokens = seqs.select(key, F.posexplode(order).alias("pos", "tok"))
-    per_pos = tokens.groupBy(key, "pos").agg(F.count("*").alias("c"), F.min("tok").alias("lo"), F.max("tok").alias("hi"))
-    broken = (per_pos.join(counts.select(key, "__n"), key).where((F.col("c") < F.col("__n")) | (F.col("lo") != F.col("hi")))
-              .groupBy(key).agg(F.min("pos").alias("__first")))
-    joined = counts.join(broken, key, "left")
-    return joined.select(key, F.least(F.coalesce("__first", "__short"), "__short").cast("int").alias(out))
+    ends = seqs.groupBy(key).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    return ends.select(key, common_length_of(F.array("__lo", "__hi")).alias(out))
 
 
 def common_length_of(arrays: Column, suffix: bool = False) -> Column:

@@ -11,17 +11,18 @@ from tokenloom.session import materialise
 from tokenloom.sources import shards
 
 
-def frequent_pairs(docs: DataFrame, cap: int = 10_000, n: int = 100) -> DataFrame:
-    """The ``n`` most frequent byte pairs of a corpus: crop, split, count words, count pairs."""
-    counted = bpe.word_counts(corpus.crop_documents(docs, cap))
+def frequent_pairs(docs: DataFrame, n: int = 100, cap: int | None = None) -> DataFrame:
+    """The ``n`` most frequent byte pairs of a corpus: split whole texts (or ``cap`` characters of each), count words, count pairs."""
+    counted = bpe.word_counts(docs if cap is None else corpus.crop_documents(docs, cap))
     return bpe.pair_counts(counted).orderBy(F.desc("c"), "a", "b").limit(n)
 
 
-def train_tokenizer(docs: DataFrame, vocab_size: int, out: str, max_chars: int = 2_000_000_000, cap: int = 10_000,
+def train_tokenizer(docs: DataFrame, vocab_size: int, out: str, max_chars: int | None = None, cap: int | None = None,
                     markers: bool = True) -> list[tuple[int, int, int, int]]:
-    """Crop, keep a character budget, count words, learn merges, store tokenizer and byte table."""
+    """Count words, learn merges, store tokenizer and byte table; crop and character budget only if asked for."""
     spark = docs.sparkSession
-    kept = corpus.char_budget(corpus.crop_documents(docs, cap), max_chars)
+    kept = docs if cap is None else corpus.crop_documents(docs, cap)
+    kept = kept if max_chars is None else corpus.char_budget(kept, max_chars)
     merges = bpe.bpe_train(bpe.word_counts(kept), vocab_size)
     shards.save_tokenizer(spark, merges, out, markers=markers)
     shards.write_token_bytes(bpe.vocab_table(spark, [m[:3] for m in merges]), f"{out}/token_bytes")

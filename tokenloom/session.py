@@ -29,7 +29,9 @@ def build_session(app: str = "tokenloom", master: str | None = None, **conf) ->
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:

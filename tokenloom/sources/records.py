@@ -128,6 +128,6 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 
 def write_verified_puzzles(puzzles: DataFrame, path: str) -> None:
-    """``puzzle_id, puzzle, solution``; equal puzzles collapse to one, spread over 256 folders."""
-    unique = puzzles.dropDuplicates(["puzzle_id"]).withColumn("prefix", F.substring("puzzle_id", 1, 2))
+    """``puzzle_id, puzzle, solution``; puzzles that are equal in all their content collapse to one; the id is a label. 256 folders."""
+    unique = puzzles.dropDuplicates(["puzzle", "solution"]).withColumn("prefix", F.substring("puzzle_id", 1, 2))
     unique.write.mode("overwrite").partitionBy("prefix").json(path)
