@@ -29,7 +29,7 @@ def test_running_minimum_in_groups(spark):
     rng = random.Random(1)
     rows = [(g, s, rng.random()) for g in (0, 1, 2) for s in range(0, 5000, 37)]
     df = spark.createDataFrame(rows, "run bigint, step bigint, v double")
-    got = running_value(df, F.col("v"), [F.col("step")], integer_levels(F.col("step"), 2, 64), "min", ["run"], "best", "before")
+    got = running_value(df, F.col("v"), [F.col("step")], integer_levels(F.col("step"), 16), "min", ["run"], "best", "before")
     best = {}
     want = {}
     for g, s, v in sorted(rows):
@@ -150,5 +150,22 @@ def test_weights_and_caps(spark):
 
 def test_dense_index_of_a_hot_group(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("k"))
-    got = dense_index(rows, [F.col("k")], integer_levels(F.col("k"), 2, 32), ["g"]).where("g = 'hot'").collect()
+    got = dense_index(rows, [F.col("k")], integer_levels(F.col("k"), 32), ["g"]).where("g = 'hot'").collect()
     assert {r.k: r.idx for r in got} == {3 * i: i for i in range(1000)}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_offsets_of_null_sparse_and_mixed_keys(spark, partitions):
+    rng = random.Random(9)
+    keys = [None] + list(range(300)) + [rng.randrange(-2**63, 2**63) for _ in range(300)] + [2**63 - 1, -2**63]
+    rows = [(k, rng.randrange(50)) for k in keys]
+    df = spark.createDataFrame(rows, "k bigint, n int").repartition(partitions)
+    got = {r.k: (r.start, r.end) for r in global_offsets(df, F.col("n"), [F.col("k")], integer_levels(F.col("k"), 64)).collect()}
+    at, want = 0, {}
+    for k, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        want[k] = (at, at + n)
+        at += n
+    assert got == want
+    grouped = spark.createDataFrame([(g, k) for g in (None, "a") for k in (3, 1, None)], "g string, k bigint")
+    assert sorted((str(r.g), str(r.k), r.idx) for r in dense_index(grouped, [F.col("k")], integer_levels(F.col("k")), ["g"]).collect()) == sorted(
+        (str(g), str(k), i) for g in (None, "a") for i, k in enumerate((None, 1, 3)))

@@ -2,29 +2,48 @@
 
 Rows are grouped into small buckets that follow the order, bucket results are combined
 level by level, and every row adds the value of all buckets before it.  A window only
-ever sees the rows of one bucket or the buckets of one parent, so no task holds the
-whole table.
+ever sees the rows of one bucket or the buckets of one parent.  Buckets of a number are cut at
+its quantiles, so they hold about equal shares of the rows whatever the keys are: dense, sparse
+or hashes.  Null keys and null groups count like any other; nulls come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FANOUT = 1024
+BUCKETS = 4096   # of the rows, cut at quantiles
+PARENTS = 64     # buckets of one parent
 
 
-def integer_levels(key: Column, depth: int = 3, fanout: int = FANOUT) -> list[Column]:
-    """Buckets of a unique integer key: ``key div fanout``, ``div fanout^2``, ...
+@dataclass
+class KeyLevels:
+    """Quantile buckets of a number, to be cut where the rows are known."""
+
+    key: Column
+    buckets: int = BUCKETS
+
+    def add(self, df: DataFrame, fine: str, coarse: str) -> DataFrame:
+        """Adds bucket and parent.  Quantiles come from a sketch of the key alone; equal keys share a bucket."""
+        keyed = df.withColumn("__key", self.key.cast("double"))
+        inner = [k / self.buckets for k in range(1, self.buckets)]
+        cuts = sorted(set(keyed.select("__key").approxQuantile("__key", inner, 0.5 / self.buckets)))
+        splits = [-float("inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
+        if len(splits) == 2:
+            splits.insert(1, 0.0)
+        known = keyed.withColumn("__known", F.coalesce("__key", F.lit(0.0)))
+        cut = Bucketizer(splits=splits, inputCol="__known", outputCol="__cut").transform(known)
+        number = F.when(F.col("__key").isNull(), -1).otherwise(F.col("__cut").cast("int"))
+        return cut.withColumn(fine, number).withColumn(coarse, F.floor(F.col(fine) / PARENTS).cast("int")).drop("__key", "__known", "__cut")
 
-    ``fanout`` is a power of two, so buckets are shifts: exact for all 64-bit keys.  With
-    three levels a window has at most 1024 rows for keys up to 2^40.
-    """
-    bits = fanout.bit_length() - 1
-    return [F.shiftright(key.cast("bigint"), bits * (i + 1)) for i in range(depth)]
+
+def integer_levels(key: Column, buckets: int = BUCKETS) -> KeyLevels:
+    """Buckets of a numeric key of any distribution."""
+    return KeyLevels(key, buckets)
 
 
 def floor_div(value: Column, width: int) -> Column:
@@ -46,56 +65,65 @@ def _join(acc: Column, other: Column, how: str) -> Column:
     return F.least(acc, other) if how == "min" else F.greatest(acc, other)
 
 
-def running_value(df: DataFrame, value: Column, order: Sequence[Column], levels: Sequence[Column],
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equal in all columns, nulls equal to each other."""
+    out = F.lit(True)
+    for x, y in zip(left, right):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
+def running_value(df: DataFrame, value: Column, order: Sequence[Column], levels: Sequence[Column] | KeyLevels,
                   how: str = "sum", group: Sequence[str] = (), out: str = "running",
                   before: str | None = None) -> DataFrame:
     """Inclusive running ``sum``, ``min`` or ``max`` of ``value`` in ``order`` inside each ``group``.
 
-    ``levels`` are bucket expressions from fine to coarse; each must never decrease along
-    ``order`` and each coarser one must follow from the finer one.  ``before`` names a
+    ``levels`` are quantile buckets or bucket expressions from fine to coarse; each must never decrease along
+    ``order``, nulls first, and each coarser one must follow from the finer one.  ``before`` names a
     column for the value up to, not including, the row.
     """
     combine = _COMBINE[how]
     group = list(group)
-    names = [f"__l{i}" for i in range(len(levels))]
-    keyed = df.select("*", *[c.alias(n) for n, c in zip(names, levels)], value.alias("__v"))
+    if isinstance(levels, KeyLevels):
+        names = ["__l0", "__l1"]
+        keyed = levels.add(df, *names).withColumn("__v", value)
+    else:
+        names = [f"__l{i}" for i in range(len(levels))]
+        keyed = df.select("*", *[c.alias(n) for n, c in zip(names, levels)], value.alias("__v"))
 
     # Bucket totals, fine to coarse, each with the combined value of its earlier siblings.
-    # The null filter is the one the joins below imply; stated here it is the same in every
-    # branch, so Spark computes the fine totals once and reuses the exchange.
-    present = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
-    keyed = keyed.where(present)
     totals = keyed.groupBy(*group, *names).agg(combine("__v").alias("__v"))
     starts = None
     for depth in range(len(names)):
         parent = group + names[depth + 1:]
-        here = names[depth]
-        window = Window.partitionBy(*(parent or [F.lit(0)])).orderBy(here).rowsBetween(
-            Window.unboundedPreceding, -1)
-        level = totals.select(*group, *names[depth:], combine("__v").over(window).alias(f"__s{depth}"))
+        window = Window.partitionBy(*(parent or [F.lit(0)])).orderBy(names[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        at = group + names[depth:]
+        mine = [f"__{depth}_{i}" for i in range(len(at))]
+        level = totals.select(*[F.col(c).alias(m) for c, m in zip(at, mine)], combine("__v").over(window).alias(f"__s{depth}"))
         if starts is None:
-            starts = level.withColumnRenamed("__s0", "__start")
+            starts = totals.select(*group, *names).join(level, _same(at, mine)).withColumnRenamed("__s0", "__start").drop(*mine)
         else:
-            starts = starts.join(level, group + names[depth:]).withColumn(
-                "__start", _join(F.col("__start"), F.col(f"__s{depth}"), how)).drop(f"__s{depth}")
+            starts = starts.join(level, _same(at, mine)).withColumn(
+                "__start", _join(F.col("__start"), F.col(f"__s{depth}"), how)).drop(f"__s{depth}", *mine)
         if depth + 1 < len(names):
             totals = totals.groupBy(*group, *names[depth + 1:]).agg(combine("__v").alias("__v"))
 
     fine = group + [names[0]]
-    starts = starts.select(*fine, "__start")
+    mine = [f"__f{i}" for i in range(len(fine))]
+    starts = starts.select(*[F.col(c).alias(m) for c, m in zip(fine, mine)], "__start")
     ordered = Window.partitionBy(*fine).orderBy(*order)
     local = keyed.withColumn("__local", combine("__v").over(
         ordered.rowsBetween(Window.unboundedPreceding, 0)))
     if before:
         local = local.withColumn("__before", combine("__v").over(
             ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    joined = local.join(starts, fine).withColumn(out, _join(F.col("__local"), F.col("__start"), how))
+    joined = local.join(starts, _same(fine, mine)).withColumn(out, _join(F.col("__local"), F.col("__start"), how))
     if before:
         joined = joined.withColumn(before, _join(F.col("__before"), F.col("__start"), how))
-    return joined.drop(*names, "__v", "__local", "__start", "__before")
+    return joined.drop(*names, *mine, "__v", "__local", "__start", "__before")
 
 
-def global_offsets(df: DataFrame, n: Column, order: Sequence[Column], levels: Sequence[Column],
+def global_offsets(df: DataFrame, n: Column, order: Sequence[Column], levels: Sequence[Column] | KeyLevels,
                    group: Sequence[str] = ()) -> DataFrame:
     """Adds ``start`` and ``end`` (BIGINT) of a length in a total order."""
     sized = df.withColumn("__n", n.cast("bigint"))
@@ -103,7 +131,7 @@ def global_offsets(df: DataFrame, n: Column, order: Sequence[Column], levels: Se
     return out.withColumn("start", F.col("end") - F.col("__n")).drop("__n")
 
 
-def dense_index(df: DataFrame, order: Sequence[Column], levels: Sequence[Column],
+def dense_index(df: DataFrame, order: Sequence[Column], levels: Sequence[Column] | KeyLevels,
                 group: Sequence[str] = (), out: str = "idx") -> DataFrame:
     """Adds a dense 0-based BIGINT position in ``order`` inside each ``group``."""
     counted = running_value(df, F.lit(1).cast("bigint"), order, levels, "sum", group, out=out)
