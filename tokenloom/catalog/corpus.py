@@ -97,7 +97,8 @@ def p1(spark, sf):
   SELECT doc_id, md5(text) AS text_md5, e::BIGINT AS running FROM r WHERE e - length(text) <= 1000000""")
 def p2(spark, sf):
     kept = corpus.char_budget(corpus.crop_documents(_docs(spark, sf)), 1_000_000)
-    return kept.select("doc_id", F.md5("text").alias("text_md5"), F.col("end").alias("running"))
+    sized = kept.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+    return global_offsets(sized, F.col("n"), [F.col("doc_id")], integer_levels(F.col("doc_id"))).select("doc_id", "text_md5", F.col("end").alias("running"))
 
 
 @query("W4_global_offsets", """SELECT doc_id, (sum(length(text)) OVER (ORDER BY doc_id) - length(text))::BIGINT AS start,

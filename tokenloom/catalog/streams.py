@@ -36,7 +36,7 @@ def t1(spark, sf):
 
 @query("T2_stream_word_counts", sql_words("SELECT word, count(*)::BIGINT AS cnt FROM words GROUP BY word"))
 def t2(spark, sf):
-    return S.latest_result(spark, _run(spark, S.stream_word_counts(_docs(spark, sf)), "complete"))
+    return S.latest_result(spark, _run(spark, S.stream_word_counts(_docs(spark, sf)), "update"), "word")
 
 
 LANES = 16

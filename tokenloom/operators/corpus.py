@@ -24,11 +24,13 @@ def crop_documents(docs: DataFrame, cap: int = 10_000, text: str = "text") -> Da
 def char_budget(docs: DataFrame, max_chars: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents in key order until the total exceeds ``max_chars``; the crossing document stays.
 
-    Offsets come from the lengths alone; the text joins in afterwards.
+    The cut-off key comes from the lengths alone; the text is filtered by it where it is read, never shuffled.
+    Null keys come first, and documents that share the cut-off key all stay.
     """
     sized = docs.select(key, F.length(text).alias("n"))
-    kept = global_offsets(sized, F.col("n"), [F.col(key)], integer_levels(F.col(key)))
-    return docs.join(kept.where(F.col("start") <= max_chars).select(key, "end"), key)
+    kept = global_offsets(sized, F.coalesce("n", F.lit(0)), [F.col(key)], integer_levels(F.col(key))).where(F.col("start") <= max_chars)
+    last = kept.agg(F.max(key)).first()[0]
+    return docs.where(F.col(key).isNull() if last is None else F.col(key).isNull() | (F.col(key) <= F.lit(last)))
 
 
 def slice_task(task: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -110,11 +112,10 @@ def multi_epoch(rows: DataFrame, epochs: int, seed: int, id_col: str) -> DataFra
     key = digest(seed, F.col("epoch"), F.col(id_col))
     keyed = repeated.withColumn("__k", key)
     local = dense_index(keyed, [F.col("__k"), F.col(id_col)], digest_levels(F.col("__k")), ["epoch"], out="pos")
-    sizes = repeated.groupBy("epoch").agg(F.count("*").alias("__n"))
-    joined = local.join(sizes, "epoch")
-    return (joined.withColumn("step", F.col("epoch") * F.col("__n") + F.col("pos"))
-            .withColumn("is_last", (F.col("epoch") == epochs - 1) & (F.col("pos") == F.col("__n") - 1))
-            .drop("__k", "__n"))
+    n = rows.count()   # the same in each epoch, so no join on the epoch
+    return (local.withColumn("step", (F.col("epoch") * F.lit(n).cast("bigint") + F.col("pos")))
+            .withColumn("is_last", (F.col("epoch") == epochs - 1) & (F.col("pos") == n - 1))
+            .drop("__k"))
 
 
 # ---------------------------------------------------------------- unions
@@ -132,11 +133,11 @@ def mixture(tasks: Sequence[DataFrame], seed: int = 42) -> DataFrame:
 def task_sequence(tasks: Sequence[DataFrame]) -> DataFrame:
     """Tasks one after the other; each must have a dense ``idx``."""
     rows = _tagged(tasks)
-    sizes = rows.groupBy("task_idx").agg(F.count("*").alias("n"))
-    # One row per listed task: as small as the call.
-    before = Window.orderBy("task_idx").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("task_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
-    return rows.join(starts, "task_idx").withColumn("idx", F.col("__o") + F.col("local_idx")).drop("__o")
+    # One number per listed task, as small as the call: rows are not shuffled on the task.
+    sizes = {r["task_idx"]: r["n"] for r in rows.groupBy("task_idx").agg(F.count("*").alias("n")).collect()}
+    starts = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(tasks))]
+    start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("task_idx"))
+    return rows.withColumn("idx", start + F.col("local_idx"))
 
 
 def weighted_source(weights: dict[str, float], *ids: Column, seed: int = 0) -> Column:

@@ -39,6 +39,11 @@ def few_shot_indices(idx: Column, n: Column, k: int, seed: int = 1234) -> Column
     return F.transform(drawn, lambda p: F.when(p >= idx, p + 1).otherwise(p))
 
 
+def _few(sizes: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Broadcast if a count shows a row per task to be few; otherwise joined by shuffle."""
+    return F.broadcast(sizes) if sizes.count() <= rows else sizes
+
+
 def few_shot_examples(items: DataFrame, k: int, seed: int = 1234, fields: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``shots``, an array of ``fields`` of k other items of the same task.
 
@@ -46,7 +51,7 @@ def few_shot_examples(items: DataFrame, k: int, seed: int = 1234, fields: tuple[
     equi-join on (task, idx); each item gathers k rows.
     """
     sizes = items.groupBy("task").agg(F.count("*").alias("__n"))
-    drawn = items.join(sizes, "task").select(
+    drawn = items.join(_few(sizes), "task").select(
         "task", "idx", F.posexplode(few_shot_indices(F.col("idx"), F.col("__n"), k, seed)).alias("at", "pick"))
     source = items.select("task", F.col("idx").alias("pick"), F.struct(*fields).alias("shot"))
     shots = (drawn.join(source, ["task", "pick"]).groupBy("task", "idx")

@@ -49,11 +49,12 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     query.awaitTermination()
 
 
-def latest_result(spark: SparkSession, out: str) -> DataFrame:
-    """Last batch written in complete mode."""
+def latest_result(spark: SparkSession, out: str, *key: str) -> DataFrame:
+    """Last value of every key from batches written in update mode: a batch holds only the keys it changed."""
     rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch").alias("b")).first().b
-    return rows.where(F.col("batch") == last).drop("batch")
+    rest = [c for c in rows.columns if c not in key and c != "batch"]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*key, "last.*")
 
 
 # ---------------------------------------------------------------- packing
