@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -64,6 +64,9 @@ def lane_of(key: str, lanes: int):
     return F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
 
 
+PACK_ROWS = 1024   # documents joined at once
+
+
 class _Packer(StatefulProcessor):
     """Leftover tokens of one lane, always fewer than one row."""
 
@@ -75,8 +78,10 @@ class _Packer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept, row = self.state.get() if self.state.exists() else ("", 0)
-        for frame in rows:
-            joined = kept + "".join(frame["tokens"])
+        # One lane's share of a micro-batch, which maxFilesPerTrigger bounds, in key order.
+        arrived = sorted(x for frame in rows for x in zip(frame["key"], frame["tokens"]))
+        for at in range(0, len(arrived), PACK_ROWS):
+            joined = kept + "".join(t for _, t in arrived[at:at + PACK_ROWS])
             full = len(joined) // self.width
             cut = [joined[r * self.width:(r + 1) * self.width] for r in range(full)]
             kept = joined[full * self.width:]
@@ -89,12 +94,13 @@ class _Packer(StatefulProcessor):
         pass
 
 
-def stream_packer(coded: DataFrame, T_len: int, lanes: int = 64, key: str = "doc_id", vocab_size: int = 0) -> DataFrame:
+def stream_packer(coded: DataFrame, T_len: int, lanes: int = 64, key: str = "doc_id", vocab_size: int = 0,
+                  lane: Column | None = None) -> DataFrame:
     """Rows of T + 1 ids per lane from a stream of ``key, tokens`` (token strings); leftovers wait in state.
 
-    Rows of one lane keep the order in which its documents arrived.
+    Documents of one lane keep the order of their micro-batches, and inside one that of ``key``.
     """
-    laned = coded.select(lane_of(key, lanes).alias("lane"), "tokens")
+    laned = coded.select((lane_of(key, lanes) if lane is None else lane).cast("int").alias("lane"), F.col(key).alias("key"), "tokens")
     rows = laned.groupBy("lane").transformWithStateInPandas(
         _Packer(T_len + 1), outputStructType="lane int, row bigint, tokens string", outputMode="Append", timeMode="None")
     return rows.select("lane", "row", T.token_string_ids(F.col("tokens"), vocab_size).alias("ids"))
@@ -110,27 +116,52 @@ def problem_stream(spark: SparkSession, rate: int, make: Callable[[DataFrame, st
 
 # ---------------------------------------------------------------- metrics
 
-class _Smoother(StatefulProcessor):
-    """Average, best value and time of one run; steps must arrive in order."""
+class _InOrder(StatefulProcessor):
+    """Folds dense positions in order, frame by frame; what arrives early waits in map state, what comes twice is left out."""
+
+    def waiting(self, handle: StatefulProcessorHandle, value: str) -> None:
+        self.early = handle.getMapState("early", "pos bigint", value)
+
+    def ready(self, frame: pd.DataFrame, names: list[str], due: int) -> Iterator[tuple]:
+        """``(position, values)`` from position ``due`` on, as far as they have come."""
+        for pos, *values in sorted(zip(*(frame[n].tolist() for n in names)), key=lambda r: r[0]):
+            if pos > due:
+                self.early.updateValue((int(pos),), tuple(values))
+            if pos != due:
+                continue
+            while values is not None:
+                yield due, tuple(values)
+                due += 1
+                held = self.early.containsKey((due,))
+                values = tuple(self.early.getValue((due,))) if held else None
+                if held:
+                    self.early.removeKey((due,))
+
+
+class _Smoother(_InOrder):
+    """Average, best value and time of one run."""
 
     def __init__(self, beta: float):
         self.beta = beta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "smooth double, seen bigint, best double, last_us bigint, total_us bigint")
+        self.waiting(handle, "value double, us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         smooth, seen, best, last, total = self.state.get() if self.state.exists() else (0.0, 0, None, None, 0)
-        frame = pd.concat(list(rows)).sort_values("step")
-        out = []
-        for step, value, us in zip(frame["step"], frame["value"], frame["us"]):
-            smooth = self.beta * smooth + (1 - self.beta) * value
-            best = value if best is None else min(best, value)
-            total += int(us - last) if step > 1 else 0
-            seen, last = seen + 1, int(us)
-            out.append((key[0], step, smooth / (1 - self.beta ** seen), best, total))
-        self.state.update((float(smooth), int(seen), float(best), last, int(total)))
-        yield pd.DataFrame(out, columns=["run", "step", "debiased", "best", "total_us"])
+        for frame in rows:
+            out = []
+            for step, (value, us) in self.ready(frame, ["step", "value", "us"], seen):
+                smooth = self.beta * smooth + (1 - self.beta) * value
+                best = value if best is None else min(best, value)
+                total += int(us - last) if step > 1 else 0
+                seen, last = seen + 1, int(us)
+                out.append((key[0], step, smooth / (1 - self.beta ** seen), best, total))
+            if out:
+                yield pd.DataFrame(out, columns=["run", "step", "debiased", "best", "total_us"])
+        if seen:
+            self.state.update((float(smooth), int(seen), float(best), last, int(total)))
 
     def close(self) -> None:
         pass
@@ -139,8 +170,8 @@ class _Smoother(StatefulProcessor):
 def stream_metrics(log: DataFrame, beta: float = 0.9) -> DataFrame:
     """Smoothed and best value and time so far from a stream of ``run, step, value, ts``.
 
-    One run is one training job that logs step by step; a micro-batch holds the steps since
-    the last one.  The batch twins are ``ema_debiased``, ``running_best`` and ``throughput_eta``.
+    Steps are dense from 0 in a run and may arrive in any order; a step is given out when all before
+    it have come.  The batch twins are ``ema_debiased``, ``running_best`` and ``throughput_eta``.
     """
     rows = log.select("run", "step", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return rows.groupBy("run").transformWithStateInPandas(
@@ -161,25 +192,29 @@ def split_complete(raw: bytes) -> tuple[str, bytes]:
     return raw.decode("utf-8", errors="replace"), b""
 
 
-class _Speaker(StatefulProcessor):
-    """Bytes of a session that do not end a character yet."""
+class _Speaker(_InOrder):
+    """Bytes of a session that do not end a character yet, and the position that is due."""
 
     def __init__(self, table: dict[int, bytes]):
         self.table = table
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pending", "raw binary")
+        self.state = handle.getValueState("pending", "raw binary, due bigint")
+        self.waiting(handle, "token bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending = bytes(self.state.get()[0]) if self.state.exists() else b""
-        frame = pd.concat(list(rows)).sort_values("pos")
-        out = []
-        for pos, token in zip(frame["pos"], frame["token"]):
-            text, pending = split_complete(pending + self.table.get(int(token), b""))
-            if text:
-                out.append((key[0], pos, text))
-        self.state.update((pending,))
-        yield pd.DataFrame(out, columns=["session", "pos", "text"])
+        raw, due = self.state.get() if self.state.exists() else (b"", 0)
+        pending = bytes(raw)
+        for frame in rows:
+            out = []
+            for pos, (token,) in self.ready(frame, ["pos", "token"], due):
+                due = pos + 1
+                text, pending = split_complete(pending + self.table.get(int(token), b""))
+                if text:
+                    out.append((key[0], pos, text))
+            if out:
+                yield pd.DataFrame(out, columns=["session", "pos", "text"])
+        self.state.update((pending, int(due)))
 
     def close(self) -> None:
         pass
