@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     gold = materialise(gold, "labels")
     known = gold.count()
     texts = keyed_texts(docs).where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    rows = texts.join(gold, "doc_id").select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(2**32)).alias("h"))
+    # Sorted and shuffled at every size: labels grow with the corpus.
+    rows = texts.join(gold.hint("merge"), "doc_id").select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(2**32)).alias("h"))
     learned = materialise(rows.mapInArrow(_learn(min(1.0, sample / max(known, 1))),
                                           "bucket int, bad long, good long, h long, label int, row binary"), "features")
     table = learned.where("bucket is not null").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
