@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom import registry
-from tokenloom.functions import expressions, games
+from tokenloom.functions import expressions, games, text as X
 from tokenloom.functions import tokens as T
 from tokenloom.operators import bpe, evaluation as E, metrics as M, synthesis
 from tokenloom.plans.pretraining import packed_corpus, score_report, train_tokenizer
@@ -83,6 +83,9 @@ def test_report_and_csv(spark):
     section = spark.createDataFrame([("Base Loss", 1, "loss", "0.5", "float"), ("Base Loss", 2, "n", "12345", "int"), ("Base Loss", 3, "m", "999", "int")],
                                     "section string, pos int, key string, value string, kind string")
     assert M.section_text(section).first().text == "## Base Loss\n- loss: 0.5000\n- n: 12,345\n- m: 999\n"
+    timed = M.section_text(section.withColumn("ts", F.expr("timestamp'2024-03-01 10:20:30'")), ts="ts")
+    assert timed.first().text.startswith("## Base Loss\ntimestamp: 2024-03-01 10:20:30\n\n- loss")
+    assert str(timed.select(X.report_timestamp(F.col("text"), "timestamp").alias("t")).first().t) == "2024-03-01 10:20:30"
 
 
 def test_generators_are_repeatable_and_valid(spark):

@@ -12,10 +12,14 @@ PARTS = "array<struct<type:string,text:string>>"
 
 # ---------------------------------------------------------------- prompts
 
+# The wording of a multiple choice prompt.
+CHOICE_HEAD = "Multiple Choice question: "
+CHOICE_TAIL = "\nRespond only with the letter of the correct answer."
+
+
 def render_mc(question: Column, letters: Column, choices: Column) -> Column:
     options = F.array_join(F.zip_with(letters, choices, lambda l, c: F.concat(F.lit("- "), c, F.lit("="), l, F.lit("\n"))), "")
-    return F.concat(F.lit("Multiple Choice question: "), question, F.lit("\n"), options,
-                    F.lit("\nRespond only with the letter of the correct answer."))
+    return F.concat(F.lit(CHOICE_HEAD), question, F.lit("\n"), options, F.lit(CHOICE_TAIL))
 
 
 def strip(text: Column) -> Column:
@@ -73,6 +77,7 @@ def tool_parts(answer: Column) -> Column:
     return F.concat(head, F.flatten(rest)).cast(PARTS)
 
 
+# Fixed value: the fenced block a program stands in.
 FENCE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
 
 
@@ -163,12 +168,17 @@ def game_parse(text: Column) -> Column:
     return F.struct(F.when(ok, prompt).alias("prompt"), F.when(ok, rest).alias("expected"))
 
 
+# The marks a game answer is searched for.
+TOOL_MARKS = ["<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>"]
+BOARD_MARKS = [["board["], ["print(board)", "print_board"]]
+
+
 def game_score(expected: Column, predicted: Column) -> Column:
     """``STRUCT<score, corr>``: tool marks 0.4, board commands 0.4, length ratio 0.2; correct above 0.7."""
     has = lambda *words: F.greatest(*[F.contains(predicted, F.lit(w)).cast("int") for w in words]) if len(words) > 1 \
         else F.contains(predicted, F.lit(words[0])).cast("int")
-    structure = (has("<|python_start|>") + has("<|python_end|>") + has("<|output_start|>") + has("<|output_end|>")) / F.lit(4.0)
-    logic = (has("board[") + has("print(board)", "print_board")) / F.lit(2.0)
+    share = lambda marks: sum((has(*m) for m in marks[1:]), has(*marks[0])) / F.lit(float(len(marks)))
+    structure, logic = share([[m] for m in TOOL_MARKS]), share(BOARD_MARKS)
     a, b = F.length(predicted), F.length(expected)
     ratio = F.least(a, b) / F.greatest(a, b, F.lit(1))
     score = structure * 0.4 + logic * 0.4 + ratio * 0.2

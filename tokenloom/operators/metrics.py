@@ -120,11 +120,13 @@ def report_lines(pivot: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def section_text(entries: DataFrame, section: str = "section") -> DataFrame:
+def section_text(entries: DataFrame, section: str = "section", ts: str | None = None) -> DataFrame:
     """Markdown of a report section from ``pos, key, value, kind`` rows: ``- key: value`` lines.
 
-    A section lists some dozens of entries."""
+    ``ts`` names the time of an entry; the latest one of a section is written below its title, where
+    ``report_timestamp`` finds it.  A section lists some dozens of entries."""
     line = F.concat(F.lit("- "), F.col("key"), F.lit(": "), format_metric(F.col("value"), F.col("kind")))
-    rows = entries.groupBy(section).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
-    return rows.select(section, F.concat(F.lit("## "), F.col(section), F.lit("\n"),
+    latest = F.lit("") if ts is None else F.concat(F.lit("timestamp: "), F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss"), F.lit("\n\n"))
+    rows = entries.groupBy(section).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"), latest.alias("at"))
+    return rows.select(section, F.concat(F.lit("## "), F.col(section), F.lit("\n"), F.col("at"),
                                          F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))

@@ -65,14 +65,14 @@ SPLITS = {
 
 def load_question_answer(rows: DataFrame, kind: str, split: str = "test", subset: str = "main") -> DataFrame:
     """Word problems (``question, answer``), code tasks (``prompt, canonical_solution, entry_point, test``)
-    or chats (``messages``) as conversations."""
+    or chats (``messages``, those that keep the rules of a chat set) as conversations."""
     allowed = SPLITS.get(kind)
     if allowed is None:
         raise ValueError(f"kind must be one of {sorted(SPLITS)}")
     if split not in allowed["split"] or subset not in allowed.get("subset", [subset]):
         raise ValueError(f"{kind} offers {allowed}")
     if kind == "chat":
-        return rows
+        return rows.where(chat.validation_reason(F.col("messages")).isNull())
     if kind == "word_problems":
         messages = F.array(chat.message("user", F.col("question")), chat.message("assistant", parts=text.tool_parts(F.col("answer"))))
         return rows.withColumn("messages", messages)
