@@ -31,9 +31,11 @@ from tokenloom.session import materialise
 FREQUENT = 1 << 18   # frequent tokens that the order knows; a fixed size, others count as rare
 LEVELS = 8           # prefixes a document chooses from
 VERIFY = 8.0         # cost of a candidate in postings
-LIST = 16            # posting lists up to this length give pairs
+LIST = 64            # posting lists up to this length give pairs
 BLOCK = 512          # documents of a block
-HELD = 1 << 21       # tokens a task counts before it passes them on
+HELD = 1 << 22       # tokens a task counts before it passes them on; the more, the fewer frequent ones it misses
+PART = 1 << 19       # tokens compared at once
+ROWS = 64            # rows of a matrix judged at once
 COLUMNS = 4096       # tokens of one matrix product
 BUCKETS = 64         # of the counts that bound an overlap
 
@@ -130,11 +132,11 @@ def _bounded(percent: int):
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, from products of incidence matrices.
 
-    The sets are sorted, so a range of tokens is a slice of each; ranges of about ``HELD`` tokens and
+    The sets are sorted, so a range of tokens is a slice of each; ranges of about ``PART`` tokens and
     products of ``COLUMNS`` tokens bound the memory.
     """
     out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    parts = 1 + sum(map(len, sets)) // HELD
+    parts = 1 + sum(map(len, sets)) // PART
     bounds = [np.uint64(k * ((1 << 64) // parts)) for k in range(1, parts)]
     cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]).astype(np.int64) for s in sets]
     for k in range(parts):
@@ -177,8 +179,12 @@ def _verify(n: int, percent: int):
     def links(group: pa.Table) -> list[tuple[int, int]]:
         node = group.column("node").to_numpy()
         sets = [s for chunk in group.column("text").chunks for s in shingle_sets(chunk, n)]
-        size, both = np.array([len(s) for s in sets]), overlaps(sets)
-        return [(int(node[i]), int(node[j])) for i, j in forest(100 * both >= percent * (size[:, None] + size[None, :] - both))]
+        size, both = np.array([len(s) for s in sets], dtype=np.int64), overlaps(sets)
+        linked = np.empty(both.shape, dtype=bool)
+        for r in range(0, len(sets), ROWS):
+            own = both[r:r + ROWS].astype(np.int64)
+            linked[r:r + ROWS] = 100 * own >= percent * (size[r:r + ROWS, None] + size - own)
+        return [(int(node[i]), int(node[j])) for i, j in forest(linked)]
 
     def solve(table: pa.Table, stop: bool) -> tuple[pa.RecordBatch, pa.Table]:
         key = np.stack([table.column(k).to_numpy() for k in KEY])
@@ -251,7 +257,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                             F.posexplode("prefix").alias("i", "token")).select(
         "token", "node", "n", "level", F.greatest(F.lit(1), F.col("i") - F.col("n") + F.col("needed") + 1).alias("at"))
     lists = materialise(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-    shared = materialise(postings.join(lists, "token"), "postings")
+    shared = materialise(postings.join(lists.hint("merge"), "token"), "postings")
 
     cold = shared.where(F.col("c") <= LIST)
     left, right = (cold.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "level", "at")]) for side in "ab")
