@@ -210,6 +210,15 @@ def test_packing(spark, docs, pairs):
     assert used <= least + 2
 
 
+def test_packing_of_long_runs(spark):
+    import public_tokenizers
+    from tokenloom.llm.packing import pack_documents
+
+    path, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    odd = [(1, " " * 1_500_000), (2, "a" + "\n" * 1_500_000 + "b"), (3, "x" + "\u3000" * 131_071 + "y"), (4, "z" * 65_536 + "\t " * 65_536)]
+    check_packing(pack_documents(spark.createDataFrame(odd, "doc_id long, text string"), path, ranks).collect(), odd)
+
+
 def test_plan_fits():
     from tokenloom.llm.packing import fit, patterns, plan
 
