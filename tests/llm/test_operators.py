@@ -302,6 +302,34 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_lose_no_link(spark):
+    from tokenloom.llm import embeddings
+
+    rng = np.random.default_rng(11)
+    x, z = rng.standard_normal((2, 1200, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (x * z).sum(axis=1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * z   # pairs just above the threshold, in a label of 16 blocks
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate([*x, *y])], "vec_id long, embedding array<float>, label int")
+    want = sort(brute.op8([tuple(r) for r in table.collect()]))
+    assert sum(r[1] for r in want) >= 2400
+    assert rows(embeddings.near_duplicates(table, bucket=32)) == want
+
+
+def test_bound_is_certain():
+    from tokenloom.llm.embeddings import links
+
+    for n in (1, 2, 3, 64, 700):
+        rng = np.random.default_rng(n)
+        base = rng.standard_normal((60, n))
+        v = np.repeat(base, 10, 0) + rng.standard_normal((600, n)) * 0.27
+        unit = v / np.linalg.norm(v, axis=1)[:, None]
+        at = np.arange(600)
+        found = {(a, b) for p, q in links(v, at, at, 0.93) for a, b in zip(p.tolist(), q.tolist())}
+        assert found >= {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(unit @ unit.T >= 0.93 + 1e-9)))}
+
+
 def test_estimate_is_unbiased():
     from tokenloom.llm.embeddings import bounds, codes
 

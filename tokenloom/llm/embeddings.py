@@ -2,15 +2,13 @@
 
 A unit vector is rotated by a random orthogonal matrix and kept as its signs, with the inner product of the
 vector and its code as a correction factor.  The product of a rotated query with a code, divided by the factor,
-is an unbiased estimate of the cosine, and its error is bounded with high confidence by the factor and the
-number of dimensions.  A pair whose upper bound stays below the threshold is dropped; all others are recomputed
-exactly in double precision.
-
-Vectors meet in buckets of code bits, several tables of them, so that two vectors at the threshold miss all
-buckets with probability ``MISS`` at most.  How many bits and tables there are follows from the number of
-vectors of a label; a bucket that is still large is cut into blocks.  A pair counts in the first table in
-which it meets.  Equal vectors are one vector with a number of copies, and a task returns link counts and a
-spanning forest, never pairs.
+is an unbiased estimate of the cosine, and its error is bounded by the factor and the number of dimensions.  For
+pairs at or above the threshold the bound is certain (``certain``), so a pair whose upper bound stays below the
+threshold has no link; all others are recomputed exactly in double precision.
+
+All vectors of a label meet: a label is cut into blocks, and a task compares two of them.  Pairs grow with the
+square of a label, and a vector travels as often as its label has blocks.  Equal vectors are one vector with a
+number of copies, and a task returns link counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -29,10 +27,10 @@ from tokenloom.llm.components import components
 from tokenloom.session import materialise
 
 THRESHOLD = 0.93
-CONFIDENCE = 4.0   # standard errors of the bound
-BUCKET = 2048      # vectors a bucket is meant to hold, and of a block at most about
-MISS = 0.005       # probability that a pair at the threshold shares no bucket
+BUCKET = 2048      # vectors of a block; of a large label a sixteenth, up to
+LARGEST = 8        # so many times that
 QUERIES = 256      # rows of one product
+ROUNDING = 1e-3    # more than single precision can be off
 
 
 @lru_cache(maxsize=8)
@@ -42,35 +40,6 @@ def rotation(dimensions: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-@lru_cache(maxsize=32)
-def directions(dimensions: int, bits: int) -> np.ndarray:
-    """Hyperplanes of the tables' bits: the rotation's first, then those of further rotations."""
-    parts, have, k = [rotation(dimensions)], dimensions, 0
-    while have < bits:
-        k += 1
-        random = np.random.Generator(np.random.PCG64([dimensions, k]))
-        parts.append(np.linalg.qr(random.standard_normal((dimensions, dimensions)))[0])
-        have += dimensions
-    return np.concatenate(parts, axis=1)[:, :bits]
-
-
-def _vectors(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.asarray(v, dtype=np.float64) for v in batch.column("embedding").to_pylist()]
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket of each vector in each table."""
-    for batch in batches:
-        out = []
-        for v, bits, tables in zip(_vectors(batch), batch.column("bits").to_pylist(), batch.column("tables").to_pylist()):
-            if not bits:
-                out.append([0] * tables)
-                continue
-            signs = (v @ directions(len(v), bits * tables) > 0).reshape(tables, bits)
-            out.append((signs @ (1 << np.arange(bits, dtype=np.int64))).tolist())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
-
-
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotated vectors, their codes as +-1, and the correction factors."""
     turned = (unit @ rotation(unit.shape[1])).astype(np.float32)
@@ -85,14 +54,25 @@ def bounds(turned: np.ndarray, signs: np.ndarray, factor: np.ndarray, confidence
     return estimate, confidence * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(n - 1, 1))
 
 
-def links(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, confidence: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def certain(dimensions: int, threshold: float) -> float:
+    """The confidence with which ``bounds`` loses no pair of cosine ``threshold`` or more.
+
+    A vector is ``f`` times its code and ``sqrt(1 - f^2)`` times a unit vector across it; so the product of a query
+    and the code, divided by ``f``, is less than a cosine ``s`` by ``sqrt(1 - f^2) / f * sqrt(1 - s^2)`` at most
+    (Cauchy and Schwarz), and that is largest at the threshold.
+    """
+    return math.sqrt(max(dimensions - 1, 1)) * math.sqrt(max(0.0, 1 - max(threshold, 0.0) ** 2))
+
+
+def links(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs ``left x right`` of one block or two with an exact cosine of ``threshold`` or more, some queries at a time."""
+    confidence = certain(vectors.shape[1], threshold)
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     turned, signs, factor = codes(vectors / norm[:, None])
     for a in range(0, len(left), QUERIES):
         i = left[a:a + QUERIES]
         estimate, width = bounds(turned[i], signs[right], factor[right], confidence)
-        x, y = np.nonzero(estimate + width >= threshold)
+        x, y = np.nonzero(estimate + width >= threshold - ROUNDING)
         x, y = i[x], right[y]
         for b in range(0, len(x), 1 << 16):
             p, q = x[b:b + (1 << 16)], y[b:b + (1 << 16)]
@@ -100,24 +80,20 @@ def links(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: f
             yield p[exact >= threshold], q[exact >= threshold]
 
 
-TASK = ["label", "size", "table", "key", "i", "j"]
+TASK = ["label", "size", "i", "j"]
 
 
-def _compare(threshold: float, confidence: float):
+def _compare(threshold: float):
     def task(group: pa.Table) -> pa.Table:
-        node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
-        copies, table = group.column("copies").to_numpy(), group.column("table")[0].as_py()
-        vectors = np.array(group.column("embedding").to_pylist(), dtype=np.float64)
-        keys = np.array(group.column("keys").to_pylist(), dtype=np.int64)[:, :table]
+        node, side, copies = (group.column(c).to_numpy() for c in ("node", "side", "copies"))
+        vectors = np.concatenate([c.flatten().to_numpy() for c in group.column("embedding").chunks]).reshape(len(node), -1)
         same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         count, root = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
-        for p, q in links(vectors, left, right, threshold, confidence):
+        for p, q in links(vectors, left, right, threshold):
             if same:
                 p, q = p[p < q], q[p < q]
-            new = ~(keys[p] == keys[q]).any(axis=1)
-            p, q = p[new], q[new]
             np.add.at(count, p, copies[q])
             np.add.at(count, q, copies[p])
             while True:   # both ends of each link to the lesser root, and roots to their roots
@@ -133,8 +109,7 @@ def _compare(threshold: float, confidence: float):
     return task
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, miss: float = MISS,
-                    confidence: float = CONFIDENCE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """Links vectors (``vec_id, embedding, label``) of one label with a cosine of ``threshold`` or more.
 
     Returns ``vec_id, n_links, component_id, kept``, a row per row of ``vectors``.  Null labels, and vectors that
@@ -151,22 +126,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
     nodes = (rows.where("good").groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
              .withColumn("size", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()))
     nodes = materialise(nodes, "nodes")
-    agree = 1 - math.acos(threshold) / math.pi   # probability that one bit is equal at the threshold
-    sizes = nodes.groupBy("label", "size").agg(F.count("*").alias("n"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / bucket))).cast("int")
-    sizes = sizes.withColumn("bits", bits).withColumn("tables", F.when(F.col("bits") == 0, 1).otherwise(
-        F.ceil(math.log(miss) / F.log(1 - F.pow(F.lit(agree), F.col("bits"))))).cast("int")).drop("n")
-    known = nodes.join(sizes, ["label", "size"]).select("node", "label", "size", "copies", "embedding", "bits", "tables")
-    schema = "node long, label string, size int, copies long, embedding array<double>, bits int, tables int, keys array<long>"
-    keyed = materialise(known.mapInArrow(_keys, schema), "keys")
-    places = keyed.select("node", "label", "size", "copies", "embedding", "keys", F.posexplode("keys").alias("table", "key"))
-    cuts = materialise(places.groupBy("label", "size", "table", "key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"),
-                                                                           F.count("*").alias("n")).where("n > 1").drop("n"), "blocks")
-    own = places.join(cuts, ["label", "size", "table", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    tasks = own.select("label", "size", "table", "key", "node", "copies", "embedding", "keys", F.explode(F.expr(
+    sizes = nodes.groupBy("label", "size").agg(F.count("*").alias("n")).where("n > 1")
+    block = F.greatest(F.lit(bucket), F.least(F.lit(LARGEST * bucket), F.ceil(F.col("n") / 16)))
+    cuts = materialise(sizes.select("label", "size", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "blocks")
+    own = nodes.join(cuts, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tasks = own.select("label", "size", "node", "copies", "embedding", F.explode(F.expr(
         "transform(sequence(0, blocks - 1), o -> named_struct('i', least(own, o), 'j', greatest(own, o), 'side', if(own <= o, 0, 1)))")).alias("t"))
-    found = materialise(tasks.select("label", "size", "table", "key", "t.*", "node", "copies", "embedding", "keys")
-                        .groupBy(*TASK).applyInArrow(_compare(threshold, confidence), "node long, n long, root long"), "links")
+    found = materialise(tasks.select("label", "size", "t.*", "node", "copies", "embedding")
+                        .groupBy(*TASK).applyInArrow(_compare(threshold), "node long, n long, root long"), "links")
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # A forest's own roots are in ``found`` as well: each has a link.
