@@ -302,6 +302,14 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_row_key_tells_texts_of_one_id_apart(spark):
+    from pyspark.sql import functions as F
+    from tokenloom.llm.common import keyed_texts
+
+    one = spark.range(400_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert keyed_texts(one).select("doc", "tag").distinct().count() == 400_000
+
+
 def test_embeddings_lose_no_link(spark):
     from tokenloom.llm import embeddings
 

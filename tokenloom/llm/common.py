@@ -24,12 +24,12 @@ def ready(df: DataFrame) -> SparkSession:
 def row_key() -> tuple[Column, Column]:
     """A key of rows with ``doc_id`` and ``text`` that any later scan of the same rows yields again.
 
-    First the id (a fixed value for null), then 32 bits of a hash of the text, which tell apart rows that
+    First the id (a fixed value for null), then a 64-bit hash of the text, which tells apart rows that
     repeat an id.  Rows that are equal in both share a key and so a result.  A key made of partition and
     row numbers would change when a scan is split otherwise after executors were lost.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63) + 1)), F.shiftright(F.xxhash64(text), 32).cast("int")
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63) + 1)), F.xxhash64(text)
 
 
 def keyed_texts(docs: DataFrame, *more: Column) -> DataFrame:

@@ -125,7 +125,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle:
     keys = materialise(ranked.where("p.c > 0").select("window", "p.token", "p.offset", "p.words"), "keys")
     needed = spark.sparkContext.broadcast(_bitmap(keys.select("token").distinct()))
     scanned = materialise(texts.mapInArrow(
-        _scan(sizes, needed, size), "doc long, tag int, doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<long>>>")
+        _scan(sizes, needed, size), "doc long, tag long, doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<long>>>")
         .withColumn("row", F.monotonically_increasing_id()), "finds")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)

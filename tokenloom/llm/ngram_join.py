@@ -249,7 +249,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     order = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[order], top.column("c").to_numpy()[order]))
     sets = materialise(keyed.mapInArrow(_prefixes(n, percent, frequent),
-                                        "doc long, tag int, doc_id long, n int, f1 long, f2 long, level int, prefix array<long>, buckets binary"), "sets")
+                                        "doc long, tag long, doc_id long, n int, f1 long, f2 long, level int, prefix array<long>, buckets binary"), "sets")
     nodes = (sets.where("n > 0").groupBy("f1", "f2").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc", "tag", "n", "level", "prefix", "buckets")).alias("p")))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "f1", "f2", "least", "p.*"), "nodes")

@@ -32,7 +32,7 @@ WINDOW = 35   # words of a repeat
 PREFIX = 8    # words of a group's prefix
 GROUP = 4096  # different segments of one group in a task's memory
 
-SEGMENTS = "doc long, tag int, key long, seg long, at int, n int"
+SEGMENTS = "doc long, tag long, key long, seg long, at int, n int"
 
 
 def segments(words, window: int, prefix: int) -> tuple[np.ndarray, ...]:
