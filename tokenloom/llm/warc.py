@@ -29,6 +29,7 @@ from tokenloom.session import materialise, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 8 << 20     # bytes of one range
+READERS = 100_000   # reading tasks at most; beyond that a task takes several ranges
 READ = 1 << 18      # bytes of one read
 HEADER = 1 << 16    # decoded bytes in which a record's header has to end
 LEVEL = 3           # gzip level
@@ -219,9 +220,10 @@ def read_archives(archives: DataFrame, folder: str, split: int = SPLIT) -> DataF
     ready(archives)
     ranges = archives.where("size > 0").select("path", "size", F.explode(F.expr(f"sequence(0L, size - 1, {split}L)")).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end"))
-    # A range each, whatever the number of archives: the rows are tiny, the work is not.
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
-    return ranges.mapInArrow(_reader(uri_of(folder)), RECORDS)
+    # The rows are tiny, the work is not: a given number of partitions, which adaptive execution leaves as it is,
+    # and dealt in turn, since few keys of a hash would share some of them.
+    tasks = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
+    return ranges.repartition(min(int(tasks), READERS)).mapInArrow(_reader(uri_of(folder)), RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 0, split: int = SPLIT) -> DataFrame:
