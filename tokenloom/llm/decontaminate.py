@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import keyed_texts, ready, row_key
@@ -25,6 +25,7 @@ WINDOW = 13
 SHINGLE = 3
 FILTER_BITS = 22          # of the bitmap that a scan tests first: 512 KB, however many items there are
 BROADCAST_ROWS = 50_000   # windows up to this number (about 10 MB) are broadcast, more are joined by shuffle
+FINDS = 20_000            # finds of one Arrow batch: about 5 MB, however many a text has
 
 
 def _windows(size: int, shingle: int):
@@ -79,22 +80,33 @@ def _count(sizes: list[int], bitmap):
     return task
 
 
+SCANNED = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+                     ("token", pa.int64()), ("at", pa.int64()), ("left", pa.int64()), ("around", pa.list_(pa.int64()))])
+
+
 def _scan(sizes: list[int], bitmap, size: int):
-    """For each document its words and its finds, each with the words that any window over it can reach."""
-    hit = pa.struct([("token", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("around", pa.list_(pa.int64()))])
+    """A row for each document with its words, and one for each find with the words that any window over it can reach."""
+    def batch_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.record_batch([columns.get(f.name, pa.nulls(n, f.type)) for f in SCANNED], schema=SCANNED)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, hits = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+            n_words, rows = np.zeros(batch.num_rows, np.int64), batch.column("row").to_numpy()
             for words in words_of(batch.column("text"), ALNUM):
                 bounds = np.searchsorted(words.row, np.arange(words.rows + 1))
                 n_words[words.first:words.first + words.rows] = np.diff(bounds)
-                for i, token in zip(*_found(words, sizes, bitmap.value)):
+                place, token = _found(words, sizes, bitmap.value)
+                for k in range(0, len(place), FINDS):
+                    i = place[k:k + FINDS]
                     r = words.row[i]
-                    a, b = max(bounds[r], i - size + 1), min(bounds[r + 1], i + size)
-                    hits[words.first + r].append({"token": int(token), "at": int(i - bounds[r]), "left": int(i - a),
-                                                  "around": words.hash[a:b].view(np.int64)})
-            yield pa.record_batch([*[batch.column(c) for c in ("doc", "tag", "doc_id")], pa.array(n_words), pa.array(hits, pa.list_(hit))], names=["doc", "tag", "doc_id", "n_words", "hits"])
+                    a, b = np.maximum(bounds[r], i - size + 1), np.minimum(bounds[r + 1], i + size)
+                    ends = np.append(0, np.cumsum(b - a))
+                    within = np.arange(ends[-1]) + np.repeat(a - ends[:-1], b - a)
+                    yield batch_of(row=pa.array(rows[words.first + r]), token=pa.array(token[k:k + FINDS]), at=pa.array(i - bounds[r]),
+                                   left=pa.array(i - a), around=pa.ListArray.from_arrays(
+                                       pa.array(ends.astype(np.int32)), pa.array(words.hash[within].view(np.int64))))
+            yield batch_of(**{c: batch.column(c) for c in ("row", "doc", "tag", "doc_id")}, n_words=pa.array(n_words))
     return task
 
 
@@ -103,13 +115,13 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle:
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, the ``items`` and the row key
     ``doc, tag``, a row per row of ``docs``; contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``.  Null and empty texts have no
-    words, items without words no windows; items with a null id are left out; items that repeat an id count
-    as one.  Other columns are ignored.
+    words, items without words no windows.  The words of an item with a null id are hit as those of others, but it is
+    in no list of items; items that repeat an id count as one.  Other columns are ignored.
     """
     spark = ready(docs)
     texts = keyed_texts(docs)
     given = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    windows = materialise(given.where("item_id is not null").mapInArrow(
+    windows = materialise(given.mapInArrow(
         _windows(size, shingle), "item_id string, words array<long>, shingles array<long>"), "windows")
     # Equal windows of several items are looked for once.
     distinct = materialise(windows.groupBy("words").agg(F.first("shingles").alias("shingles"))
@@ -124,25 +136,23 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle:
     # A shingle that no document holds rules its window out.
     keys = materialise(ranked.where("p.c > 0").select("window", "p.token", "p.offset", "p.words"), "keys")
     needed = spark.sparkContext.broadcast(_bitmap(keys.select("token").distinct()))
-    scanned = materialise(texts.mapInArrow(
-        _scan(sizes, needed, size), "doc long, tag long, doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<long>>>")
-        .withColumn("row", F.monotonically_increasing_id()), "finds")
+    scanned = materialise(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _scan(sizes, needed, size), "row long, doc long, tag long, doc_id long, n_words long, token long, at long, left long, around array<long>"), "finds")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    hits = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*")
+    hits = scanned.where("token is not null").select("row", "token", "at", "left", "around")
     n, first = F.size("words"), F.col("left") - F.col("offset")
     spans = materialise(
         hits.join(keys, "token").where((first >= 0) & (first + n <= F.size("around")))
         .where(F.slice("around", first + 1, n) == F.col("words"))
         .select("row", "window", (F.col("at") - F.col("offset")).alias("a"), (F.col("at") - F.col("offset") + n).alias("b")), "spans")
-    covered = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("a", "b"))), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("to")),
-        lambda acc, x: F.struct((acc["sum"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["to"], x["a"]))).alias("sum"),
-                                F.greatest(acc["to"], x["b"]).alias("to")))["sum"]
-    words = spans.groupBy("row").agg(covered.cast("bigint").alias("n_hit"))
-    named = (spans.select("row", "window").distinct().join(owners, "window").select("row", "item_id").distinct()
+    # Words of a span beyond the end of all before it; spans of a row are sorted by a window, not held in one array.
+    before = F.coalesce(F.max("b").over(Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = (spans.select("row", "a", "b").distinct().select("row", F.greatest(F.lit(0), F.col("b") - F.greatest(before, "a")).alias("new"))
+             .groupBy("row").agg(F.sum("new").cast("bigint").alias("n_hit")))
+    named = (spans.select("row", "window").distinct().join(owners.where("item_id is not null"), "window").select("row", "item_id").distinct()
              .groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items")))
-    joined = scanned.select("row", "doc", "tag", "doc_id", "n_words").join(words, "row", "left").join(named, "row", "left")
+    joined = scanned.where("n_words is not null").select("row", "doc", "tag", "doc_id", "n_words").join(words, "row", "left").join(named, "row", "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("bigint").alias("n_items"),
