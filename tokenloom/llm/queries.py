@@ -143,3 +143,84 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.embeddings import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.divergence import audit_sources
+
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM rows),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sources AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM rows) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS MATERIALIZED (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.n + l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v) AS q
+  FROM sources s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source AS s, y.source AS t, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+  ON z.lang = a.lang AND z.s = a.source AND z.t = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.licenses import NOTICES, PHRASES, scan_licenses, template_table
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), template_table(spark, PHRASES, NOTICES))
+
+
+def _license_sql() -> str:
+    from tokenloom.llm.licenses import NOTICES, PERCENT, PHRASES, WORD
+
+    given = [(t, k, 100, "true") for t, k in PHRASES] + [(t, k, PERCENT, "false") for t, k in NOTICES]
+    values = ", ".join(f"({i}, '{t}', '{k}', {n}, {phrase})" for i, (t, k, n, phrase) in enumerate(given))
+    step = max(len(t.split(" ")) for t, *_ in given)
+    return f"""
+WITH t(template, text, label, percent, phrase) AS (VALUES {values}),
+parts AS (SELECT template, label, percent, phrase, string_split(text, ' ') AS w FROM t),
+sets AS MATERIALIZED (SELECT DISTINCT template, label, percent, phrase, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS token FROM parts),
+sizes AS (SELECT template, count(*) AS m FROM sets GROUP BY template),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+g AS (SELECT r, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS token FROM d),
+held AS MATERIALIZED (SELECT r, pos, token, pos // {step} AS half FROM g WHERE token IN (SELECT token FROM sets)),
+blocks AS (SELECT r, half AS block, token FROM held UNION SELECT r, half - 1, token FROM held WHERE half > 0),
+found AS (SELECT r, label, count(*) / max(m) AS score FROM blocks JOIN sets USING (token) JOIN sizes USING (template)
+  WHERE NOT phrase GROUP BY r, block, template, label HAVING 100 * count(*) >= max(percent * m)),
+places AS (SELECT r, label, i FROM (SELECT r, d.w AS w, p.w AS p, label, unnest(range(0, len(d.w) - len(p.w) + 1)) AS i FROM d, parts p
+  WHERE phrase AND contains(array_to_string(d.w, ' '), array_to_string(p.w, ' '))) WHERE list_slice(w, i + 1, i + len(p)) = p),
+every AS (SELECT r, label, NULL AS i, score FROM found UNION ALL SELECT r, label, i, 1.0::DOUBLE FROM places),
+per AS (SELECT r, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (i IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM every GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN per USING (r)
+"""
+
+
+ORACLE["op12_license_scan"] = _license_sql()
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tokenloom.llm.alignment import compare_tokenizers
+
+    return compare_tokenizers(_table(spark, sf_dir, "documents"), *[public_tokenizers.path(f) for f in (
+        "byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")])
