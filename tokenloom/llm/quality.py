@@ -3,12 +3,14 @@
 Features are indicators of byte n-grams in hashed buckets, and of word pairs that repeat a word, by number
 and by share of the words.  Each is scaled by the log-count ratio of the two
 classes, counted over all labelled training rows; a linear hinge-loss model is fitted to the scaled,
-length-normalised rows by dual coordinate descent, on a bounded sample of them.  A logistic curve fitted
-to margins of sample rows that the model did not see turns a margin into a score.
+length-normalised rows by dual coordinate descent, on a sample of them that is bounded in rows and in features.
+A logistic curve fitted to margins of sample rows that the model did not see turns a margin into a score.
+The sample goes to one task, which holds it as one flat array; only counts and weights reach the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,8 @@ SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)   # of its words, at least
 SIZE = (1 << BITS) + len(REPEATS) + len(SHARES)
 WIDTH = BITS + 1   # bits of a bucket's number
 SHORT = 0.2        # of the mean squared norm, added to each: short texts lean to the bias
-SAMPLE = 8192      # labelled rows the hinge-loss model is fitted to, at most
+SAMPLE = 8192      # labelled rows the hinge-loss model is fitted to, at most,
+HELD = 1 << 24     # and features of these rows: 64 MB
 EPOCHS = 8
 COST = 1.0
 SMOOTHING = 1.0
@@ -100,21 +103,41 @@ def _learn(share: float):
     return task
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int) -> np.ndarray:
-    """Weights of the L1-loss support vector machine by dual coordinate descent; the last weight is the bias."""
-    w, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    diagonal = np.array([float(v @ v) + 1.0 for v in values])
+@dataclass
+class Sample:
+    """Rows of distinct buckets as one flat array; values are looked up in the ratios when they are needed."""
+
+    label: np.ndarray    # of each row, 0 or 1
+    bounds: np.ndarray   # where rows begin in ``bucket``, and the end
+    bucket: np.ndarray   # int32
+
+    def row(self, i: int) -> np.ndarray:
+        return self.bucket[self.bounds[i]:self.bounds[i + 1]]
+
+
+def descend(sample: Sample, rows: np.ndarray, ratio: np.ndarray, norm: np.ndarray, cost: np.ndarray, epochs: int) -> np.ndarray:
+    """Weights of the L1-loss support vector machine by dual coordinate descent; the last weight is the bias.
+
+    Row ``i`` has the value ``ratio[b] / norm[i]`` in each of its buckets ``b``.
+    """
+    w, alpha, bias = np.zeros(len(ratio)), np.zeros(len(norm)), 0.0
+    y, diagonal = np.where(sample.label == 1, 1.0, -1.0), np.zeros(len(norm))
+    for i in rows:
+        value = ratio[sample.row(i)] / norm[i]
+        diagonal[i] = float(value @ value) + 1.0
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + w[size]) - 1
+        for i in rows[order.permutation(len(rows))]:
+            own = sample.row(i)
+            value = ratio[own] / norm[i]
+            gradient = y[i] * (w[own] @ value + bias) - 1
             new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
-                w[size] += step
+                w[own] += step * value
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, bias)
 
 
 @dataclass
@@ -152,38 +175,63 @@ def logistic(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def fit(bad: np.ndarray, good: np.ndarray, sample: list[tuple[int, np.ndarray]]) -> Model:
-    """The model from the counts of all training rows and a sample of ``(label, buckets)``.
+def log_count_ratio(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    p, q = SMOOTHING + good, SMOOTHING + bad
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
+def fit(ratio: np.ndarray, sample: Sample) -> Model:
+    """The model from the ratios of all training rows and a sample of them.
 
     With one class only, or none, every text gets the share of label 1 (1 without labels).
     """
-    p, q = SMOOTHING + good, SMOOTHING + bad
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    label = np.array([y for y, _ in sample], dtype=np.int64)
+    label = sample.label
     n1, n0 = int(label.sum()), int(len(label) - label.sum())
     if not n1 or not n0:
         return Model(ratio, np.zeros(len(ratio)), 0.0, 1.0, 0.0, float(np.log((n1 + 1) / (n0 + 1))) if len(label) else 40.0)
-    rows = [b for _, b in sample]
-    floor = SHORT * float(np.mean([ratio[b] @ ratio[b] for b in rows])) + 1e-12
-    values = [ratio[b] / np.sqrt(ratio[b] @ ratio[b] + floor) for b in rows]
-    y, cost = np.where(label == 1, 1.0, -1.0), COST * len(label) / (2 * np.where(label == 1, n1, n0))
+    square = np.array([float(ratio[b] @ ratio[b]) for b in map(sample.row, range(len(label)))])
+    floor = SHORT * float(square.mean()) + 1e-12
+    norm = np.sqrt(square + floor)
+    cost = COST * len(label) / (2 * np.where(label == 1, n1, n0))
     apart = np.arange(len(label)) % 4 == 0
     if min(label[apart].sum(), (1 - label[apart]).sum(), label[~apart].sum(), (1 - label[~apart]).sum()) == 0:
         apart = np.zeros(len(label), dtype=bool)
     seen = np.flatnonzero(~apart)
-    pick = lambda x, at: [x[i] for i in at]
-    w = descend(pick(rows, seen), pick(values, seen), y[seen], cost[seen], len(ratio), EPOCHS)
+    w = descend(sample, seen, ratio, norm, cost, EPOCHS)
     unseen = np.flatnonzero(apart) if apart.any() else seen
-    margin = np.array([w[rows[i]] @ values[i] + w[-1] for i in unseen])
+    margin = np.array([w[sample.row(i)] @ ratio[sample.row(i)] / norm[i] + w[-1] for i in unseen])
     slope, shift = logistic(margin, label[unseen] == 1)
     return Model(ratio, w[:-1], float(w[-1]), floor, slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def _fit(ratio, held: int):
+    """The model of the sample rows that come, in their order, as long as they have ``held`` features at most."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, sizes, parts, n = [], [], [], 0
+        for batch in batches:
+            for y, b in zip(batch.column("label").to_pylist(), batch.column("row")):
+                own = np.frombuffer(b.as_buffer(), dtype="<i4").copy()
+                n += len(own)
+                if n > held:
+                    break
+                label.append(y)
+                sizes.append(len(own))
+                parts.append(own)
+            if n > held:
+                break
+        bucket = np.concatenate(parts or [np.zeros(0, np.int32)])
+        del parts
+        model = fit(ratio.value, Sample(np.array(label, dtype=np.int64), np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int64), bucket))
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+    return task
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = HELD) -> Model:
     """Learns ``quality`` from rows outside the held-out fold.
 
     Labels that are neither 0 nor 1 are left out; of several labels of an id the more frequent holds, 0 on a
-    tie.  All labelled rows are counted; the hinge-loss model sees at most about ``sample`` of them, picked by hash.
+    tie.  All labelled rows are counted; the hinge-loss model sees at most ``sample`` of them, picked by hash, and
+    of these the first that have ``held`` features together.
     """
     ready(docs)
     gold = (labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id").cast("bigint")))
@@ -199,9 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bad, good = np.zeros(SIZE), np.zeros(SIZE)
     at = table.column("bucket").to_numpy()
     bad[at], good[at] = table.column("bad").to_numpy(), table.column("good").to_numpy()
-    picked = learned.where("bucket is null").orderBy("h", "label", "row").limit(sample).select("label", "row").toArrow()
-    pairs = [(y, np.frombuffer(b, dtype="<u4").astype(np.int64)) for y, b in zip(picked.column("label").to_pylist(), picked.column("row").to_pylist())]
-    return fit(bad, good, pairs)
+    ratio = docs.sparkSession.sparkContext.broadcast(log_count_ratio(bad, good))
+    picked = learned.where("bucket is null").orderBy("h", "label", "row").limit(sample).select("label", "row").coalesce(1)
+    return pickle.loads(picked.mapInArrow(_fit(ratio, held), "model binary").first()["model"])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
