@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from tokenloom.session import materialise, ship_package
 
-#: Rows of one Arrow batch.  Texts can be long, so batches are kept short.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch.  Texts can be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ready(df: DataFrame) -> SparkSession:
-    """The session of ``df``, with this package on the Python workers and short Arrow batches."""
+    """The session of ``df``, with this package on the Python workers and short Arrow batches.
+
+    The two settings stay: a DataFrame is planned when it is run, long after its operator has returned.
+    """
     spark = df.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tokenloom.session import materialise
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number and hash of the edges; equal marks mean that a step changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges and their mark, number and hash, taken from the same job; equal marks mean that nothing changed.
+
+    A task that is repeated after an executor was lost may be counted twice.  Then marks differ that should not, and
+    another round is made.
+    """
+    seen = Observation()
+    stored = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return stored, (seen.get["n"], seen.get["h"])
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -23,24 +29,28 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _both(edges: DataFrame, *ends: tuple) -> DataFrame:
+    """A row ``(u, v)`` for each pair of columns, in one pass over the edges."""
+    return edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ends])).alias("e")).select("e.*")
+
+
+def _round(now: DataFrame) -> DataFrame:
+    """All larger neighbours of a node point to its least neighbour, then all smaller ones."""
+    large = _star(_both(now, ("a", "b"), ("b", "a"))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _both(_star(large), ("v", "m"), ("u", "m")).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for all nodes of the undirected edges ``(a, b)``; root is the least node.
 
-    One round points all larger neighbours of a node to its least neighbour, then all smaller ones.
     Rounds grow with the logarithm of the longest path.  Nothing is collected but two figures.
     """
-    now = materialise(
-        edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _stored(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct())
     for _ in range(rounds):
         if not mark[0]:
             break
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        large = _star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        nxt = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select("u", "m"))
-        now = materialise(nxt.where("a <> b").distinct(), "edges")
-        last, mark = mark, _mark(now)
+        last = mark
+        now, mark = _stored(_round(now))
         if mark == last:
             break
     else:
