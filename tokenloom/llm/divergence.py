@@ -158,14 +158,16 @@ class _Counter:
         return pa.record_batch([lang, source, term, pa.array(n), pa.array(documents)], names=["lang", "source", "term", "n", "documents"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = _Counter()
-    for batch in batches:
-        counter.add(batch)
-        if counter.held >= HELD:
-            yield from counter.counted()
-    yield from counter.counted()
-    yield counter.groups()
+def _count(held: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter()
+        for batch in batches:
+            counter.add(batch)
+            if counter.held >= held:
+                yield from counter.counted()
+        yield from counter.counted()
+        yield counter.groups()
+    return task
 
 
 def term_counts(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
@@ -177,7 +179,7 @@ def term_counts(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     ready(docs)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(text("text"), text("lang"), text("source")).mapInArrow(
-        _count, "lang string, source string, term string, n long, documents long")
+        _count(HELD), "lang string, source string, term string, n long, documents long")
     # One shuffle for sums by source and by language; the rows of groups are spread by source.
     key = F.when(F.col("term") == "", F.col("source"))
     sums = (rows.withColumn("key", key).repartition("lang", "term", "key").groupBy("lang", "term", "key", "source")
@@ -210,39 +212,41 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _pairs(group: pa.Table) -> pa.Table:
+def _pairs(tile: int):
     """What the terms of a block add to the distance of every two sources of two tiles."""
-    group = group.combine_chunks()
-    s, whole, x = (group.column(c).to_numpy() for c in ("s", "whole", "x"))
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    head = x == 0
-    source, where = np.unique(s[head], return_index=True)
-    whole = whole[head][where]
-    term = group.column("term").filter(pa.array(~head)).combine_chunks().dictionary_encode()
-    term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
-    m = len(term.dictionary)
-    none = shares(np.ones_like(whole), whole)
-    p = np.repeat(none[:, None], m, axis=1)
-    at = np.searchsorted(source, s[~head])
-    p[at, term.indices.to_numpy()] = shares(x[~head] + 1, whole[at])
-    left, right = np.flatnonzero(source // TILE == i), np.flatnonzero(source // TILE == j)
-    a, b, value = [], [], []
-
-    def add(k, l, found):
-        a.append(k)
-        b.append(l)
-        value.append(found)
-
-    for k in left:
-        add(np.full(len(right), source[k]), source[right],
-            distances(p[k], p[right]).sum(axis=1) - m * distances(none[k], none[right]))
-        if i != j:
-            add(source[right], np.full(len(right), source[k]),
-                distances(p[right], p[k]).sum(axis=1) - m * distances(none[right], none[k]))
-    a, b, value = (np.concatenate(x) for x in (a, b, value))
-    apart = a != b
-    return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * int(apart.sum()), pa.string()),
-                     "a": a[apart], "b": b[apart], "value": value[apart]})
+    def task(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        s, whole, x = (group.column(c).to_numpy() for c in ("s", "whole", "x"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        head = x == 0
+        source, where = np.unique(s[head], return_index=True)
+        whole = whole[head][where]
+        term = group.column("term").filter(pa.array(~head)).combine_chunks().dictionary_encode()
+        term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
+        m = len(term.dictionary)
+        none = shares(np.ones_like(whole), whole)
+        p = np.repeat(none[:, None], m, axis=1)
+        at = np.searchsorted(source, s[~head])
+        p[at, term.indices.to_numpy()] = shares(x[~head] + 1, whole[at])
+        left, right = np.flatnonzero(source // tile == i), np.flatnonzero(source // tile == j)
+        a, b, value = [], [], []
+
+        def add(k, l, found):
+            a.append(k)
+            b.append(l)
+            value.append(found)
+
+        for k in left:
+            add(np.full(len(right), source[k]), source[right],
+                distances(p[k], p[right]).sum(axis=1) - m * distances(none[k], none[right]))
+            if i != j:
+                add(source[right], np.full(len(right), source[k]),
+                    distances(p[right], p[k]).sum(axis=1) - m * distances(none[right], none[k]))
+        a, b, value = (np.concatenate(x) for x in (a, b, value))
+        apart = a != b
+        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * int(apart.sum()), pa.string()),
+                         "a": a[apart], "b": b[apart], "value": value[apart]})
+    return task
 
 
 def audit_sources(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANKS) -> DataFrame:
@@ -281,7 +285,7 @@ def audit_sources(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANK
     tasks = heads.union(cells).select("lang", "block", "s", "whole", "term", "x", F.explode(F.expr(
         f"transform(sequence(0L, (sources - 1) div {TILE}), o -> named_struct('i', least(s div {TILE}, o), 'j', greatest(s div {TILE}, o)))")).alias("t"))
     sums = (tasks.select("lang", "block", "t.i", "t.j", "s", "whole", "term", "x").groupBy("lang", "block", "i", "j")
-            .applyInArrow(_pairs, "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("more")))
+            .applyInArrow(_pairs(TILE), "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("more")))
     one, other = (groups.select("lang", F.col("s").alias(k), F.col("source").alias(name), share(F.lit(1).cast("bigint"), F.col("whole")).alias(f"none_{k}"),
                                 *more) for k, name, more in (("a", "source", ["kept"]), ("b", "item", [])))
     none = F.call_function("div", (F.col("none_a") - F.col("none_b")) * (F.col("none_a") - F.col("none_b")), F.col("none_b"))
