@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import re
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions import merging as M
 from tokenloom.functions import tokens as T
 from tokenloom.session import materialise
 
-# Distinct words a task remembers the encoding of before it starts afresh.
-MEMO_WORDS = 500_000
+# Pairs and tokens of chains that a round of training brings to the driver, at most.
+PAIRS, CHAINS = 1 << 16, 1 << 20
 
 Merge = tuple[int, int, int]
 
@@ -65,69 +69,148 @@ def top_pair(pairs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- training
 
-def _accept(ranked: list[tuple[int, int, int]], complete: bool) -> list[tuple[int, int, int]]:
-    """The head of a ranked pair list that one-merge-at-a-time training would take unchanged.
+def _rewrite(table: M.MergeTable, first: bool):
+    """Words after merging, and what that changes in the pair counts: rows ``tok, cnt`` and rows ``pair, c``.
 
-    Merging (a, b) alters only pairs (x, a) and (b, y), and any new pair is at most as
-    frequent as the altered one it came from.  So pairs up to the first altered one keep
-    count and rank, except those that tie with it, because a new pair might tie too.
+    The first pass, which merges nothing, counts the pairs of all words.
     """
-    taken: list[tuple[int, int, int]] = []
-    for a, b, c in ranked:
-        if taken and (any(b == p or a == q for p, q, _ in taken) or a == b or taken[0][0] == taken[0][1]):
-            boundary = c
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cnt = batch.column("cnt").to_numpy()
+            tok, bounds = M.code_points(batch.column("tok"))
+            new, ends = M.merge_words(tok, bounds, table)
+            if first:
+                pair, c = M.pair_sums(tok, bounds, cnt)
+            else:
+                changed = np.diff(bounds) != np.diff(ends)
+                parts = [M.pair_sums(t[np.repeat(changed, np.diff(e))], np.append(0, np.cumsum(np.diff(e)[changed])), sign * cnt[changed])
+                         for t, e, sign in ((tok, bounds, -1), (new, ends, 1))]
+                pair, c = M.summed(*(np.concatenate(x) for x in zip(*parts)))
+                pair, c = pair[c != 0], c[c != 0]
+            left = np.diff(ends) >= 2
+            words = M.strings(new[np.repeat(left, np.diff(ends))], np.append(0, np.cumsum(np.diff(ends)[left]))).cast(pa.string())
+            n, k = int(left.sum()), len(pair)
+            yield pa.record_batch({
+                "tok": pa.concat_arrays([words, pa.nulls(k, pa.string())]), "cnt": pa.concat_arrays([pa.array(cnt[left]), pa.nulls(k, pa.int64())]),
+                "pair": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pair)]), "c": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c)])})
+    return task
+
+
+def _chains(pairs: np.ndarray):
+    """Runs of tokens in which all neighbours are one of ``pairs``, with the sums of their words' counts."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok, bounds = M.code_points(batch.column("tok"))
+            word = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            code = tok[:-1] << M.SHIFT | tok[1:]
+            linked = (word[1:] == word[:-1]) & (pairs[np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)] == code)
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8)))
+            start, end = edge[::2], edge[1::2] + 1
+            size = end - start
+            ends = np.append(0, np.cumsum(size))
+            found = M.strings(tok[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], ends).dictionary_encode()
+            weight = np.zeros(len(found.dictionary), dtype=np.int64)
+            np.add.at(weight, found.indices.to_numpy(), batch.column("cnt").to_numpy()[word[start]])
+            yield pa.record_batch({"chain": found.dictionary.cast(pa.string()), "cnt": pa.array(weight)})
+    return task
+
+
+def learn_from_chains(chains: list[tuple[str, int]], floor: int, first_id: int, wanted: int) -> list[tuple[int, int, int, int]]:
+    """Merges one at a time, as long as the best pair is more frequent than ``floor``; the first merge always.
+
+    ``chains`` hold every occurrence of the pairs above ``floor``.  A merge of (a, b) makes pairs (x, ab) and (ab, y)
+    that are at most as frequent as the (x, a) and (b, y) they came from.  So a pair above ``floor`` stands in a chain
+    with all its occurrences, however many merges went before.
+    """
+    toks, count, where = [list(s) for s, _ in chains], defaultdict(int), defaultdict(set)
+    for i, (own, (_, n)) in enumerate(zip(toks, chains)):
+        for x, y in zip(own, own[1:]):
+            count[x + y] += n
+            where[x + y].add(i)
+    heap = [(-n, pair) for pair, n in count.items()]
+    heapq.heapify(heap)
+    found: list[tuple[int, int, int, int]] = []
+    while heap and len(found) < wanted:
+        n, pair = heapq.heappop(heap)
+        if count.get(pair) != -n:
+            continue   # an entry from before the count changed
+        if -n <= floor and found:
             break
-        taken.append((a, b, c))
-    else:
-        if complete:
-            return taken
-        boundary = ranked[-1][2]
-    return [taken[0]] + [t for t in taken[1:] if t[2] > boundary]
-
-
-def bpe_train(words: DataFrame, vocab_size: int, batch: int = 64, rebase_every: int = 64) -> list[tuple[int, int, int, int]]:
+        new = T.token_char(first_id + len(found))
+        found.append((T.char_token(pair[0]), T.char_token(pair[1]), first_id + len(found), -n))
+        change: dict[str, int] = defaultdict(int)
+        for i in where.pop(pair):
+            own, n = toks[i], chains[i][1]
+            for x, y in zip(own, own[1:]):
+                change[x + y] -= n
+            out, k = [], 0
+            while k < len(own):
+                if k + 1 < len(own) and own[k] + own[k + 1] == pair:
+                    out.append(new)
+                    k += 2
+                else:
+                    out.append(own[k])
+                    k += 1
+            toks[i] = out
+            for x, y in zip(out, out[1:]):
+                change[x + y] += n
+                where[x + y].add(i)
+        for p, d in change.items():
+            if d:
+                count[p] += d
+                if count[p] > 0:
+                    heapq.heappush(heap, (-count[p], p))
+        del count[pair]
+    return found
+
+
+def bpe_train(words: DataFrame, vocab_size: int, batch: int = 256, rebase_every: int = 8) -> list[tuple[int, int, int, int]]:
     """Learn merges as ``(a, b, id, count)``; ties go to the smallest pair, counts are exact.
 
-    The pair table is counted once and then kept up to date: a round fetches the ``batch``
-    best pairs, takes as many merges as are certain (see ``_accept``), and recounts only the
-    words that hold one of them.  The pair table is stored in the shared folder after every
-    round and the rewritten words after every ``rebase_every`` merges, so lineage stays short
-    and a lost executor costs one round.  Words that became one token drop out.
+    A round looks at the ``batch`` best pairs and brings the chains of tokens that hang together by them, counted over
+    all words, to the driver.  These hold all occurrences of every pair that can come up before the counts fall to
+    that of the last pair fetched, so the round learns all merges down to there, often hundreds (see
+    ``learn_from_chains``).  Then one pass merges the words and yields the change of the pair table: the pairs of the
+    words that changed.  The table is a base and such changes, folded after every ``rebase_every`` rounds.
+
+    What reaches the driver is bounded: by ``PAIRS`` pairs, and chains of ``CHAINS`` tokens.  Beyond that a round takes fewer
+    pairs; it takes more where the chains leave room.  Words, changes and chains are written to the shared folder, so
+    lineage stays short and a lost executor costs a round at most.  Words that became one token drop out.
     """
     if vocab_size <= T.FIRST_MERGE_ID:
         raise ValueError(f"vocab_size must be above {T.FIRST_MERGE_ID}")
     if vocab_size > T.MAX_TOKENS:
         raise ValueError(f"a token string holds {T.MAX_TOKENS} tokens")
-    wanted = vocab_size - T.FIRST_MERGE_ID
-    base = materialise(word_tokens(words).where(F.length("tok") >= 2), "words")
-    pairs = materialise(_pair_strings(base), "pairs")
-    found: list[tuple[int, int, int, int]] = []
-    pending: list[Merge] = []
+    schema, found, tables = "tok string, cnt long, pair long, c long", [], []
+    current = word_tokens(words).where(F.length("tok") >= 2)
+    learned: list[tuple[int, int, int, int]] = []
     while True:
-        named = pairs.select(_char_id(F.substring("pair", 1, 1)).alias("a"), _char_id(F.substring("pair", 2, 1)).alias("b"), "c")
-        top = [tuple(r) for r in named.orderBy(F.desc("c"), "a", "b").limit(batch).collect()]
+        table = M.MergeTable.of(m[:3] for m in learned)
+        stored = materialise(current.mapInArrow(_rewrite(table, not tables), schema), "words")
+        tables.append(stored.where("pair is not null").select("pair", "c"))
+        base = current = stored.where("tok is not null").select("tok", "cnt")
+        pairs = reduce(DataFrame.union, tables).groupBy("pair").agg(F.sum("c").alias("c")).where("c > 0")
+        if len(tables) > rebase_every:
+            pairs = materialise(pairs, "pairs")
+            tables = [pairs]
+        top = [tuple(r) for r in pairs.orderBy(F.desc("c"), "pair").limit(batch).collect()]
         if not top:
             return found
-        now = []
-        for a, b, c in _accept(top, complete=len(top) < batch)[: wanted - len(found)]:
-            found.append((a, b, T.FIRST_MERGE_ID + len(found), c))
-            now.append(found[-1][:3])
-        if len(found) >= wanted:
+        complete = len(top) < batch
+        while True:
+            size = Observation()
+            codes = np.array(sorted(p for p, _ in top), dtype=np.int64)
+            chains = base.mapInArrow(_chains(codes), "chain string, cnt long").groupBy("chain").agg(F.sum("cnt").alias("cnt"))
+            chains = materialise(chains.observe(size, F.sum(F.length("chain")).alias("n")), "chains")
+            if size.get["n"] <= CHAINS or len(top) == 1:
+                break
+            top, complete = top[:len(top) // 2], False
+        learned = learn_from_chains([tuple(r) for r in chains.collect()], 0 if complete else top[-1][1],
+                                    T.FIRST_MERGE_ID + len(found), vocab_size - T.FIRST_MERGE_ID - len(found))
+        found += learned
+        if len(found) >= vocab_size - T.FIRST_MERGE_ID:
             return found
-        current = base.select(T.apply_merges(F.col("tok"), pending).alias("tok"), "cnt")
-        hit = F.lit(False)
-        for a, b, _ in now:
-            hit = hit | F.contains("tok", F.lit(T.token_char(a) + T.token_char(b)))
-        # Old form with negative, new form with positive weight, from one pass over the words.
-        both = F.array(F.struct(F.col("tok"), (-F.col("cnt")).alias("cnt")),
-                       F.struct(T.apply_merges(F.col("tok"), now).alias("tok"), F.col("cnt")))
-        change = _pair_strings(current.where(hit).select(F.inline(both)))
-        updated = pairs.unionByName(change).groupBy("pair").agg(F.sum("c").alias("c")).where("c > 0")
-        pairs = materialise(updated, "pairs")
-        pending += now
-        if len(pending) >= rebase_every:
-            rewritten = base.select(T.apply_merges(F.col("tok"), pending).alias("tok"), "cnt")
-            base, pending = materialise(rewritten.where(F.length("tok") >= 2), "words"), []
+        batch = min(PAIRS, 2 * batch if 4 * size.get["n"] <= CHAINS else max(len(top), 2))
 
 
 MERGE_SCHEMA = "a int, b int, id int, c bigint"
@@ -204,25 +287,13 @@ def merge_word(word: str, rank: dict[str, str]) -> str:
 
 
 def merge_udf(spark: SparkSession, merges: list[Merge]):
-    """Arrow function that merges the framed words of token strings; its word memo lives as long as the task."""
-    shared = spark.sparkContext.broadcast(
-        {T.token_char(a) + T.token_char(b): T.token_char(i) for a, b, i in merges})
-
-    @F.pandas_udf("string")
-    def merge_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rank, memo = shared.value, {}
-
-        def merged(match):
-            word = match.group()
-            if word not in memo:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                memo[word] = merge_word(word, rank)
-            return memo[word]
-
-        framed = re.compile("(?<=Ā)[^ā]+")
+    """Arrow function that merges the framed words of token strings, a batch at a time (``merging.merge_framed``)."""
+    shared = spark.sparkContext.broadcast(M.MergeTable.of(merges))
+
+    @F.arrow_udf("string")
+    def merge_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda s: framed.sub(merged, s), na_action="ignore")
+            yield M.merge_framed(batch, shared.value)
 
     return merge_words
 
@@ -244,7 +315,7 @@ def encode_tokens(docs: DataFrame, merges: list[Merge] = (), markers: bool = Tru
     """Adds the encoding of every document as a token string; no shuffle, any vocabulary size.
 
     Merging is one Arrow function that gets the merge table as a broadcast (bounded by the
-    vocabulary) and keeps a word memo for the task.
+    vocabulary) and merges each distinct word of a batch once.
     A token string takes 1-3 bytes per token, so it is also the cheap form to store and shuffle.
     """
     merges = list(merges)
