@@ -15,10 +15,8 @@ from tokenloom.operators.offsets import dense_index, integer_levels, running_val
 
 
 def number_steps(log: DataFrame, ts: str = "ts", tie: str = "event_id", run: str = "run") -> DataFrame:
-    """Adds a dense ``step`` per run in time order; buckets are minutes inside days."""
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    levels = [F.floor(seconds / 60), F.floor(seconds / 86_400)]
-    return dense_index(log, [F.col(ts), F.col(tie)], levels, [run], out="step")
+    """Adds a dense ``step`` per run in time order."""
+    return dense_index(log, [F.col(ts), F.col(tie)], group=[run], out="step")
 
 
 def ema_debiased(log: DataFrame, beta: float = 0.9, value: str = "value", run: str = "run") -> DataFrame:

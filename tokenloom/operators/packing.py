@@ -2,47 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.tokens import IGNORED_TARGET, token_string_ids
-from tokenloom.operators.offsets import floor_div, global_offsets, integer_levels
+from tokenloom.operators.offsets import Ranges, floor_div, global_offsets
+from tokenloom.session import materialise
+
+OUT = 4 << 20   # tokens of rows after which an Arrow batch is passed on
+
+
+def _cut(width: int):
+    """Rows of ``width`` tokens as far as a run of neighbouring documents holds them, and the fragments at its ends."""
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        row, at, part = zip(*out) if out else ((), (), ())
+        return pa.record_batch({"row_id": pa.array(row, pa.int64()), "at": pa.array(at, pa.int32()), "part": pa.array(part, pa.string()),
+                                "whole": pa.array([len(p) == width for p in part], pa.bool_())})
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begin, end, out = [], 0, None, []   # parts of the open row, the stream's number of its first token, and of the next
+        for batch in batches:
+            for start, tokens in zip(batch.column("start").to_numpy(), batch.column("tokens")):
+                start, text = int(start), tokens.as_py()
+                if start != end:
+                    if held:
+                        out.append((begin // width, begin % width, "".join(held)))
+                    held, begin, end = [], start, start
+                i, room = 0, width - end % width
+                while len(text) - i >= room:
+                    held.append(text[i:i + room])
+                    out.append((begin // width, begin % width, "".join(held)))
+                    i, end = i + room, end + room
+                    held, begin, room = [], end, width
+                if i < len(text):
+                    held.append(text[i:])
+                    end += len(text) - i
+                if len(out) * width >= OUT:
+                    yield batch_of(out)
+                    out = []
+        if held:
+            out.append((begin // width, begin % width, "".join(held)))
+        yield batch_of(out)
+    return task
 
 
 def cut_stream(docs: DataFrame, width: int, key: str = "doc_id", tokens: str = "tokens",
-               order: Sequence[Column] | None = None, levels: Sequence[Column] | None = None,
+               order: Sequence[Column] | None = None, levels: Ranges | None = None,
                size: str | None = None) -> DataFrame:
     """Concatenate documents in key order and cut every ``width`` tokens: ``row_id, tokens``.
 
-    Documents are token strings.  Each is cut into the rows it overlaps, never into single
-    tokens, and a row gathers at most ``width`` tokens; the incomplete tail is held back.
-    Lengths are read first and tokens second, so store encoded documents before packing;
-    with a stored length column ``size`` the first pass does not touch the tokens.
+    Documents are token strings.  They are stored in order with the place of each in the stream; a task that reads
+    neighbouring documents cuts the rows that lie within them, and only the fragments at its two ends are exchanged.
+    The incomplete tail is held back.  Null texts have no tokens.  Encoded documents should be stored
+    before packing, as the ranges are found from a sample; a stored length column is ``size``.
     """
     order = order or [F.col(key)]
-    levels = levels or integer_levels(F.col(key))
     n = F.col(size) if size else F.length(tokens)
-    placed = global_offsets(docs, n, order, levels).where(F.col("end") > F.col("start"))
-    first_row = floor_div(F.col("start"), width)
-    room = (F.lit(width) - F.col("start") % width).cast("int")
-    # The rest behind the first cut falls into whole rows, which one regular expression yields.
-    rest = F.regexp_extract_all(F.substring(tokens, room + 1, F.length(tokens)), F.lit("(?s).{1,%d}" % width), F.lit(0))
-    pieces = F.concat(F.array(F.substring(tokens, F.lit(1), room)), rest)
-    cut = placed.select(first_row.alias("row"), "start", F.posexplode(pieces).alias("i", "part"))
-    at = F.when(F.col("i") == 0, F.col("start") % width).otherwise(0).cast("int")
-    rows = cut.select((F.col("row") + F.col("i")).alias("row_id"), at.alias("at"), "part").groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    kept = docs.where(n > 0)
+    placed = global_offsets(kept, n, order, levels).select("start", F.col(tokens).alias("tokens"))
+    pieces = materialise(placed.mapInArrow(_cut(width), "row_id long, at int, part string, whole boolean"), "pieces")
+    edges = pieces.where("not whole").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["part"]), "")
-    return rows.select("row_id", joined.alias("tokens")).where(F.length("tokens") == width)
+    ends = edges.select("row_id", joined.alias("tokens")).where(F.length("tokens") == width)
+    return pieces.where("whole").select("row_id", F.col("part").alias("tokens")).union(ends)
 
 
 def cut_arrays(docs: DataFrame, width: int, key: str = "doc_id", ids: str = "ids",
-               order: Sequence[Column] | None = None, levels: Sequence[Column] | None = None) -> DataFrame:
+               order: Sequence[Column] | None = None, levels: Ranges | None = None) -> DataFrame:
     """The same for tokens that come as arrays: ``row_id, ids``."""
     order = order or [F.col(key)]
-    levels = levels or integer_levels(F.col(key))
     placed = global_offsets(docs, F.size(ids), order, levels).where(F.col("end") > F.col("start"))
     w = F.lit(width).cast("bigint")
 
