@@ -21,13 +21,17 @@ def _docs(spark, sf):
     return S.corpus_stream(spark, sf, DOCS, glob="documents.parquet")
 
 
-def _run(spark, stream, mode="append"):
+def _run(spark, stream, mode="append", out=None):
+    """Runs to the end of what is there; a second run with the same ``out`` goes on from the first."""
     spark.conf.set(*_ROCKS)
-    out = scratch_path(spark, "stream")
+    out = out or scratch_path(spark, "stream")
     S.run_to_table(stream, out, out + "-checkpoint", mode)
     return out
 
 
+FILES = 1 << 20   # of an arrival: all of them are one micro-batch
+
+
 @query("T1_corpus_stream", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def t1(spark, sf):
     out = _run(spark, _docs(spark, sf).select("doc_id", F.md5("text").alias("text_md5")))
@@ -40,14 +44,15 @@ def t2(spark, sf):
 
 
 LANES = 16
-@query("T3_stream_packer", f"""WITH l AS (SELECT (doc_id % {LANES})::INTEGER AS lane, flatten(list(list_prepend(258, {sql_byte_list('text')}) ORDER BY doc_id)) AS ids FROM documents GROUP BY 1)
-  SELECT lane, (len(ids) // 513)::BIGINT AS n_rows, md5(list_aggregate(ids[1:len(ids) // 513 * 513], 'string_agg', ',')) AS ids_md5 FROM l WHERE len(ids) >= 513""")
+@query("T3_stream_packer", f"""WITH t AS (SELECT (doc_id % {LANES})::INTEGER AS lane, doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS p
+    FROM (SELECT doc_id, list_prepend(258, {sql_byte_list('text')}) AS ids FROM documents)),
+  s AS (SELECT lane, t, row_number() OVER (PARTITION BY lane ORDER BY doc_id, p) - 1 AS g FROM t)
+  SELECT lane, (g // 513)::BIGINT AS row, md5(string_agg(t, ',' ORDER BY g)) AS ids_md5 FROM s GROUP BY lane, g // 513 HAVING count(*) = 513""")
 def t3(spark, sf):
-    """Every lane's rows, put together again, are its documents in order."""
+    """Every row of a lane is the next 513 tokens of its documents in order."""
     coded = bpe.encode_tokens(_docs(spark, sf).select("doc_id", "text"), markers=False, prepend=T.BOS_ID)
     rows = spark.read.parquet(_run(spark, S.stream_packer(coded, 512, LANES, lane=F.col("doc_id") % LANES)))
-    lanes = rows.groupBy("lane").agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.struct("row", "ids"))).alias("r"))
-    return lanes.select("lane", "n_rows", F.md5(T.ids_text(F.flatten(F.transform("r", lambda x: x["ids"])))).alias("ids_md5"))
+    return rows.select("lane", "row", F.md5(T.ids_text(F.col("ids"))).alias("ids_md5"))
 
 
 @query("T4_resume", "SELECT doc_id, length(text) AS chars FROM documents")
@@ -75,28 +80,28 @@ def t5(spark, sf):
   SELECT s.run, s.step::BIGINT AS step, round(list_reduce(list_prepend(0.0::DOUBLE, vs[1:s.step + 1]), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x) / (1 - pow(0.9::DOUBLE, s.step + 1)), 6) AS debiased,
    min(value) OVER (PARTITION BY s.run ORDER BY s.step) AS best, (sum(CASE WHEN d.step > 1 THEN dt ELSE 0 END) OVER (PARTITION BY s.run ORDER BY s.step))::BIGINT AS total_us FROM s JOIN d ON d.run = s.run AND d.step = s.step""")
 def t7(spark, sf):
-    base = scratch_path(spark, "log")
+    base, out = scratch_path(spark, "log"), None
     rows = log(spark, sf)
-    # Three arrivals, each a micro-batch; some steps come early and wait for those before them.
+    # Three arrivals, each a micro-batch of many files; some steps come early and wait for those before them.
     early = (F.col("step") % 10 == 7) & (F.col("step") < 60)
     for when in (early | (F.col("step") < 20), ~early & F.col("step").between(20, 39), ~early & (F.col("step") >= 40)):
-        rows.where(when).coalesce(1).write.mode("append").parquet(base)
-    stream = S.corpus_stream(spark, base, rows.schema, files_per_batch=1)
-    out = spark.read.parquet(_run(spark, S.stream_metrics(stream)))
+        rows.where(when).write.mode("append").parquet(base)
+        out = _run(spark, S.stream_metrics(S.corpus_stream(spark, base, rows.schema, files_per_batch=FILES)), out=out)
+    out = spark.read.parquet(out)
     return out.select("run", "step", F.round("debiased", 6).alias("debiased"), "best", "total_us")
 
 
 @query("T8_incremental_detokenize", "SELECT conv_id * 1000 + turn AS session, text FROM conversations")
 def t8(spark, sf):
-    base = scratch_path(spark, "tokens")
+    base, out = scratch_path(spark, "tokens"), None
     chats = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("session"), T.text_byte_ids(F.col("text")).alias("ids"))
     toks = chats.select("session", F.posexplode("ids").alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
     # Two arrivals per session, cut in the middle of the text and often of a character.
     late = F.col("pos") == 280
-    toks.where((F.col("pos") < 301) & ~late).coalesce(1).write.mode("append").parquet(f"{base}/a")
-    toks.where((F.col("pos") >= 301) | late).coalesce(1).write.mode("append").parquet(f"{base}/b")
-    stream = spark.readStream.schema(toks.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(base)
-    said = spark.read.parquet(_run(spark, S.incremental_detokenize(stream)))
+    for when in ((F.col("pos") < 301) & ~late, (F.col("pos") >= 301) | late):
+        toks.where(when).write.mode("append").parquet(base)
+        out = _run(spark, S.incremental_detokenize(S.corpus_stream(spark, base, toks.schema, files_per_batch=FILES)), out=out)
+    said = spark.read.parquet(out)
     return said.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
 
 

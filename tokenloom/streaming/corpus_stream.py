@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import json
 import sys
 from collections.abc import Callable, Iterator
 
@@ -65,23 +68,62 @@ def lane_of(key: str, lanes: int):
 
 
 PACK_ROWS = 1024   # documents joined at once
+PIECE = 64         # documents of a sorted run that are held at once
+APART = "\U0010ffff"   # no token
 
 
 class _Packer(StatefulProcessor):
-    """Leftover tokens of one lane, always fewer than one row."""
+    """Leftover tokens of one lane, always fewer than one row.
+
+    A lane's share of a micro-batch is put in key order by an external sort: each Arrow frame is a sorted run in map
+    state, in pieces, and the runs are merged with one piece of each in memory.
+    """
 
     def __init__(self, width: int):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("leftover", "tokens string, row bigint")
+        self.pieces = handle.getMapState("runs", "run int, piece int", "keys string, tokens string")
+
+    @staticmethod
+    def _sorted(frame: pd.DataFrame) -> list[tuple]:
+        """Documents in key order, null keys first, null tokens as none."""
+        rows = ((None if k is None or k != k else k, t or "") for k, t in zip(frame["key"].tolist(), frame["tokens"]))
+        return sorted(rows, key=_Packer._place)
+
+    @staticmethod
+    def _place(row: tuple) -> tuple:
+        return (row[0] is not None, row[0] if row[0] is not None else 0, row[1])
+
+    def _store(self, run: int, rows: list[tuple]) -> None:
+        for piece in range(0, len(rows), PIECE):
+            keys, tokens = zip(*rows[piece:piece + PIECE])
+            self.pieces.updateValue((run, piece // PIECE), (json.dumps(keys), APART.join(tokens)))
+
+    def _read(self, run: int) -> Iterator[tuple]:
+        piece = 0
+        while self.pieces.containsKey((run, piece)):
+            keys, tokens = self.pieces.getValue((run, piece))
+            self.pieces.removeKey((run, piece))
+            yield from zip(json.loads(keys), tokens.split(APART))
+            piece += 1
+
+    def _in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        held, runs = None, 0
+        for frame in frames:
+            if held is not None:
+                self._store(runs, held)
+                runs += 1
+            held = self._sorted(frame)
+        # The last frame, often the only one, needs no store.
+        return heapq.merge(*[self._read(r) for r in range(runs)], held or [], key=self._place)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept, row = self.state.get() if self.state.exists() else ("", 0)
-        # One lane's share of a micro-batch, which maxFilesPerTrigger bounds, in key order.
-        arrived = sorted(x for frame in rows for x in zip(frame["key"], frame["tokens"]))
-        for at in range(0, len(arrived), PACK_ROWS):
-            joined = kept + "".join(t for _, t in arrived[at:at + PACK_ROWS])
+        arrived = self._in_order(rows)
+        while some := list(itertools.islice(arrived, PACK_ROWS)):
+            joined = kept + "".join(t for _, t in some)
             full = len(joined) // self.width
             cut = [joined[r * self.width:(r + 1) * self.width] for r in range(full)]
             kept = joined[full * self.width:]
