@@ -169,3 +169,30 @@ def test_offsets_of_null_sparse_and_mixed_keys(spark, partitions):
     grouped = spark.createDataFrame([(g, k) for g in (None, "a") for k in (3, 1, None)], "g string, k bigint")
     assert sorted((str(r.g), str(r.k), r.idx) for r in dense_index(grouped, [F.col("k")], integer_levels(F.col("k")), ["g"]).collect()) == sorted(
         (str(g), str(k), i) for g in (None, "a") for i, k in enumerate((None, 1, 3)))
+
+
+def test_strided_scan_reads_no_other_row_group(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "groups")
+    rows = spark.range(100).select("id", F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
+    rows.write.option("parquet.block.row.count.limit", 10).parquet(path)
+    file = next((tmp_path / "groups").glob("part-*.parquet"))
+    wanted = [i for i in range(100) if i // 10 % 3 == 1]
+    data, meta = bytearray(file.read_bytes()), pq.ParquetFile(file).metadata
+    assert meta.num_row_groups == 10
+    for g in range(10):
+        if g % 3 != 1:   # the bytes of the groups that are left out are spoilt
+            for c in range(2):
+                column = meta.row_group(g).column(c)
+                at = column.dictionary_page_offset or column.data_page_offset
+                data[at:at + column.total_compressed_size] = b"\xff" * column.total_compressed_size
+    file.write_bytes(bytes(data))
+    (tmp_path / "groups" / f".{file.name}.crc").unlink(missing_ok=True)
+    got = shards.strided_scan(spark, path, 1, 3, 10, ("text", "id"))
+    assert got.columns == ["text", "id"] and sorted(r.id for r in got.collect()) == wanted
+    # Row groups that hold parts of several groups of rows.
+    assert sorted(r.id for r in shards.strided_scan(spark, path, 1, 3, 10, ("id",)).collect()) == wanted
+    whole = str(tmp_path / "whole")
+    rows.write.parquet(whole)
+    assert sorted(r.id for r in shards.strided_scan(spark, whole, 2, 4, 7, ("id",)).collect()) == [i for i in range(100) if i // 7 % 4 == 2]
