@@ -444,3 +444,118 @@ def test_empty_tables(spark, docs):
     assert quality.score_documents(none, quality.train(none, labels)).count() == 0
     assert sharding.shard_rows(none, sharding.shard_tree(8)).count() == 0
     assert packing.pack_documents(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_quality_equals_a_plain_version():
+    """Ratios by dictionaries, dual coordinate descent on dense rows, the logistic curve by bisection of its gradient."""
+    import pyarrow as pa
+    from tokenloom.llm import quality as Q
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["good", "fine", "the", "the the"] if y else ["bad", "spam", "spam spam", "the"]) for _ in range(rng.randrange(1, 30)))
+             for y in (i % 3 != 0 for i in range(60))] + ["", "x"]
+    label = np.array([int(i % 3 != 0) for i in range(60)] + [1, 0])
+    sets = [[] for _ in texts]
+    for first, _, row, bucket in Q.features(pa.array(texts)):
+        for r, b in zip(row, bucket):
+            sets[first + r].append(int(b))
+    counts = [[0] * Q.SIZE, [0] * Q.SIZE]
+    for y, own in zip(label, sets):
+        for b in own:
+            counts[y][b] += 1
+    totals = [sum(c + Q.SMOOTHING for c in counts[y]) for y in (0, 1)]
+    ratio = np.array([np.log((g + Q.SMOOTHING) / totals[1]) - np.log((b + Q.SMOOTHING) / totals[0]) for b, g in zip(*counts)])
+    assert np.allclose(ratio, Q.log_count_ratio(np.array(counts[0], float), np.array(counts[1], float)), atol=1e-12)
+    floor = Q.SHORT * sum(sum(ratio[b] ** 2 for b in own) for own in sets) / len(sets) + 1e-12
+    dense = np.zeros((len(sets), Q.SIZE + 1))
+    for i, own in enumerate(sets):
+        dense[i, own] = ratio[own] / np.sqrt(sum(ratio[b] ** 2 for b in own) + floor)
+    dense[:, -1] = 1
+    n1, n0, seen = label.sum(), (1 - label).sum(), [i for i in range(len(sets)) if i % 4]
+    w, alpha, order = np.zeros(Q.SIZE + 1), np.zeros(len(sets)), np.random.Generator(np.random.PCG64(7))
+    for _ in range(Q.EPOCHS):
+        for k in order.permutation(len(seen)):
+            i = seen[k]
+            y, most = (1 if label[i] else -1), Q.COST * len(sets) / (2 * (n1 if label[i] else n0))
+            new = min(max(alpha[i] - (y * (w @ dense[i]) - 1) / (dense[i] @ dense[i]), 0), most)
+            w, alpha[i] = w + (new - alpha[i]) * y * dense[i], new
+    sample = Q.Sample(label, np.append(0, np.cumsum([len(s) for s in sets])), np.array([b for s in sets for b in s], dtype=np.int32))
+    model = Q.fit(ratio, sample)
+    assert np.allclose(model.weight, w[:-1], atol=1e-9) and abs(model.bias - w[-1]) < 1e-9 and abs(model.floor - floor) < 1e-9
+    margins = dense @ w
+    held = [i for i in range(len(sets)) if i % 4 == 0]
+    target = np.where(label[held] == 1, (label[held].sum() + 1) / (label[held].sum() + 2), 1 / ((1 - label[held]).sum() + 2))
+    p = 1 / (1 + np.exp(-(model.slope * margins[held] + model.shift)))
+    assert model.slope == 0 or (abs(((p - target) * margins[held]).sum()) < 1e-5 and abs((p - target).sum()) < 1e-5)
+    for first, n, row, bucket in Q.features(pa.array(texts)):
+        assert np.allclose(model.margins(n, row, bucket), margins[first:first + n], atol=1e-9)
+
+
+def test_quality_sample_is_bounded_by_features(spark):
+    from tokenloom.llm.quality import train
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    whole, few, none = train(docs, labels), train(docs, labels, held=20_000), train(docs, labels, held=10)
+    assert np.array_equal(whole.ratio, few.ratio) and not np.array_equal(whole.weight, few.weight) and few.weight.any() and not none.weight.any()
+
+
+def test_decontaminate_with_null_ids_and_a_very_long_text(spark):
+    from tokenloom.llm.decontaminate import contaminated
+
+    items = [(None, "the the the the the the the the the the the the the"), (None, "some other words here"), (4, "one more item of words")]
+    docs = [(1, "the " * 60_000), (2, "some other words here"), (3, "one more item of words some other words here"), (4, "the the")]
+    got = rows(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+               .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+    none, four = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"4").hexdigest()
+    assert got == [(1, 60_000, 60_000, 0, none, True), (2, 4, 4, 0, none, True), (3, 9, 9, 1, four, True), (4, 2, 0, 0, none, False)]
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tokenloom.llm.warc import read_archives, write_archives
+
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefghij", k=3000))) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    archives = write_archives(pages, str(tmp_path / "one"))
+    back = read_archives(archives, str(tmp_path / "one"), 20_000).withColumn("task", F.spark_partition_id())
+    ranges = archives.agg(F.sum(F.ceil(F.col("size") / 20_000))).first()[0]
+    assert archives.count() == 1 and ranges > 10 and back.rdd.getNumPartitions() == ranges
+    read = back.groupBy("task").count().collect()
+    assert len(read) > ranges // 2 and sum(r["count"] for r in read) == 300
+
+
+def plain_place(key, tree, path=""):
+    import math
+    import struct
+
+    import xxhash
+
+    def weight(t):
+        return sum(map(weight, t.values())) if isinstance(t, dict) else t
+
+    if not isinstance(tree, dict):
+        raise ValueError(path)
+    best = None
+    for i, (name, sub) in enumerate(tree.items()):
+        if not weight(sub):
+            continue
+        h = xxhash.xxh64_intdigest(f"{path}/{name}".encode(), 42)
+        h = h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        drawn = -math.log(((h >> 12) + 0.5) / 2**52) / weight(sub)
+        if best is None or drawn < best[0]:
+            best = (drawn, name, sub)
+    return plain_place(key, best[2], f"{path}/{best[1]}") if isinstance(best[2], dict) else int(best[1])
+
+
+def test_shards_equal_a_plain_version(spark):
+    """The draws of the tree, with the hash computed outside Spark."""
+    from pyspark.sql import functions as F
+    from tokenloom.llm import sharding
+
+    heavy = sharding.shard_tree(8)
+    heavy["region1"]["rack0"][5], heavy["region0"]["rack1"][2] = 3.0, 0.0
+    table = spark.createDataFrame([(i,) for i in [None, -3, 2**62, *range(400)]], "id long")
+    for tree in (sharding.shard_tree(9), heavy):
+        got = {r.id: r.s for r in table.select("id", sharding.place(F.col("id"), tree).alias("s")).collect()}
+        assert got == {i: plain_place(i, tree) for i in got}
