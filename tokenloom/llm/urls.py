@@ -3,8 +3,9 @@
 A listed URL is a host and the start of a path; it fits the host, its subdomains and all paths that
 start so.  A page can only be listed under the ends of its host with as many labels as some listed host
 and under the starts of its path as long as some listed path.  Each such candidate is tested in one block
-of the Bloom filter (four words, one bit in each), which costs one look-up in a broadcast table of fixed
-size; what passes is joined by host and path, so a false positive finds no partner.
+of the Bloom filter (four words, one bit in each).  The filter has a block for 16 listed URLs, so it stays selective
+however long the list is; it is broadcast up to ``BLOCKS`` blocks, and beyond that candidates are dealt by block and
+joined.  What passes is joined by host and path, so a false positive finds no partner.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import ascii_lower
 from tokenloom.session import materialise
 
-BLOCKS = 1 << 14  # blocks of the filter at most: 16,384 rows of 40 bytes, which is what is broadcast
+LISTED = 16       # URLs of one block of the filter, with 256 bits
+BLOCKS = 1 << 18  # blocks that are broadcast, at most: 262,144 rows of 40 bytes, for 4 million URLs
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,7 +57,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     # Different label counts and path lengths: as many as a host or path has, not as many as rules.
     labels = [r[0] for r in listed.select(F.size(F.split("host", r"\."))).distinct().collect()]
     lengths = [r[0] for r in listed.select(F.length("path")).distinct().collect()]
-    blocks = max(1, min(BLOCKS, 1 << max(0, (listed.count() // 16)).bit_length()))
+    blocks = 1 << (listed.count() // LISTED).bit_length()
     host, path = host_and_path(F.col("url"))
     rows = materialise(pages.select("page_id", host.alias("host"), path.alias("path"))
                        .withColumn("row", F.monotonically_increasing_id()), "pages")
@@ -67,8 +69,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         for k in labels for n in lengths])
     tried = rows.select("row", F.explode(F.filter(candidates, lambda c: c.isNotNull())).alias("c")).select("row", "c.*")
     block, *bit = _bits(F.col("host"), F.col("path"), blocks)
-    tested = tried.withColumns({"block": block} | {f"b{i}": b for i, b in enumerate(bit)}).join(
-        F.broadcast(bloom_blocks(listed, blocks)), "block")
+    bloom = bloom_blocks(listed, blocks)
+    bloom = F.broadcast(bloom) if blocks <= BLOCKS else bloom.hint("merge")
+    tested = tried.withColumns({"block": block} | {f"b{i}": b for i, b in enumerate(bit)}).join(bloom, "block")
     for i in range(4):
         tested = tested.where(F.expr(f"shiftright(w{i}, b{i}) & 1L") == 1)
     rule = F.concat("host", "path")
