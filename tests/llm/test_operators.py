@@ -559,3 +559,34 @@ def test_shards_equal_a_plain_version(spark):
     for tree in (sharding.shard_tree(9), heavy):
         got = {r.id: r.s for r in table.select("id", sharding.place(F.col("id"), tree).alias("s")).collect()}
         assert got == {i: plain_place(i, tree) for i in got}
+
+
+def test_jaccard_blocks_are_bounded_by_shingles(docs, pairs, monkeypatch):
+    from tokenloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "SHINGLES", 700)
+    got = ngram_join.similar_groups(docs, 3, 90).select("doc_id", "n_shingles", "component_id")
+    assert rows(got) == sort(brute.op6(pairs, 3, 90))
+
+
+def test_long_url_lists_need_no_broadcast(spark, monkeypatch):
+    from tokenloom.llm import urls
+
+    rng = random.Random(12)
+    hosts = [f"h{i}.{rng.choice(['com', 'net'])}" for i in range(300)]
+    rules = spark.createDataFrame([(h, rng.choice(["/", "/a", "/b/"]), rng.choice(["allow", "block"])) for h in hosts], "host string, path string, verdict string")
+    listed = {(r.host, r.path): r.verdict for r in rules.collect()}
+    data = [(i, f"http://{rng.choice(['', 'w.', 'x.y.'])}h{rng.randrange(600)}.{rng.choice(['com', 'net'])}{rng.choice(['/', '/a/x', '/b/c'])}") for i in range(2000)]
+    pages = spark.createDataFrame(data, "page_id long, url string")
+
+    def want(url):
+        host, path = url[7:url.index("/", 7)], url[url.index("/", 7):]
+        fits = [(h, p) for h, p in ((".".join(host.split(".")[-2:]), path[:n]) for n in (1, 2, 3)) if (h, p) in listed]
+        best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+        return host, path, best and best[0] + best[1], listed[best] if best else "allow"
+
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(urls, "BLOCKS", most)
+        assert rows(urls.filter_urls(pages, rules)) == sort([(i, *want(u)) for i, u in data])
+    assert urls.filter_urls(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
+    assert urls.filter_urls(pages.limit(0), rules).count() == 0

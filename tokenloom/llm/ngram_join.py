@@ -32,7 +32,8 @@ FREQUENT = 1 << 18   # frequent tokens that the order knows; a fixed size, other
 LEVELS = 8           # prefixes a document chooses from
 VERIFY = 8.0         # cost of a candidate in postings
 LIST = 64            # posting lists up to this length give pairs
-BLOCK = 512          # documents of a block
+BLOCK = 512          # documents of a block, and
+SHINGLES = 1 << 20   # shingles of its texts together, unless one alone has more
 HELD = 1 << 22       # tokens a task counts before it passes them on; the more, the fewer frequent ones it misses
 PART = 1 << 19       # tokens compared at once
 ROWS = 64            # rows of a matrix judged at once
@@ -209,16 +210,17 @@ def _verify(n: int, percent: int):
 def _tasks(members: DataFrame, percent: int) -> DataFrame:
     """Tasks ``(family, s1, i, s2, j, node)`` that bring all pairs together that can link.
 
-    A family of up to ``BLOCK`` is one task.  In a larger one, sets that link differ by one step of size at
+    A family of up to ``BLOCK`` documents and ``SHINGLES`` shingles is one task.  In a larger one, sets that link differ by one step of size at
     most; each step is cut into blocks and each pair of blocks of a step or of neighbouring steps is a task.
     """
     step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
-    counts = members.groupBy("family").agg(F.count("*").alias("size"))
+    counts = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     sized = materialise(members.join(counts, "family").select(
-        "node", "family", F.when(F.col("size") > BLOCK, F.floor(F.log("n") / step)).cast("bigint").alias("s")), "members")
+        "node", "family", "n", F.when((F.col("size") > BLOCK) | ((F.col("size") > 1) & (F.col("shingles") > SHINGLES)), F.floor(F.log("n") / step)).cast("bigint").alias("s")), "members")
     whole = sized.where("s is null").select("family", *[F.lit(0).cast(t).alias(c) for c, t in zip(KEY[1:], ("bigint", "int") * 2)], "node")
     large = sized.where("s is not null")
-    cuts = materialise(large.groupBy("family", "s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    need = F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)))
+    cuts = materialise(large.groupBy("family", "s").agg(need.cast("int").alias("blocks")), "blocks")
     own = large.join(cuts, ["family", "s"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     above = cuts.select("family", (F.col("s") - 1).alias("s"), F.col("blocks").alias("up"))
     below = cuts.select("family", (F.col("s") + 1).alias("s"), F.col("blocks").alias("down"))
