@@ -196,3 +196,60 @@ def test_strided_scan_reads_no_other_row_group(spark, tmp_path):
     whole = str(tmp_path / "whole")
     rows.write.parquet(whole)
     assert sorted(r.id for r in shards.strided_scan(spark, whole, 2, 4, 7, ("id",)).collect()) == [i for i in range(100) if i // 7 % 4 == 2]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 1 << 16])
+def test_walk_by_stretches(spark, monkeypatch, stretch):
+    from tokenloom.operators import corpus as C
+
+    monkeypatch.setattr(C, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    for n in (0, 1, 40):
+        jump = {i: i + rng.randint(1, 6) for i in range(n) if rng.random() > 0.02}
+        want, at = {0}, 0
+        while at in jump:
+            at = jump[at]
+            want.add(at)
+        table = spark.createDataFrame(list(jump.items()), "block long, next long")
+        assert sorted(r.start for r in C._reached(table).collect()) == sorted(want)
+
+
+def test_stream_rows_across_many_tasks(spark):
+    """Rows that lie over several documents and tasks, null and empty texts, ties; every width once."""
+    from tokenloom.operators.packing import cut_stream
+
+    rng = random.Random(3)
+    data = [(rng.randrange(60) if i % 17 else None, "".join(rng.choices("abcdefgĀ\U0001f600", k=rng.choice([0, 1, 5, 40])))) for i in range(200)]
+    data = [(k, t, i) for i, (k, t) in enumerate(data)] + [(5, None, 900)]
+    docs = spark.createDataFrame(data, "doc_id long, tokens string, tie long").repartition(9)
+    whole = "".join(t or "" for _, t, _ in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[2])))
+    for width in (1, 7, 300):
+        rows = cut_stream(docs, width, order=[F.col("doc_id"), F.col("tie")], levels=integer_levels(F.col("doc_id"), 6)).collect()
+        assert {r.row_id: r.tokens for r in rows} == {i: whole[i * width:(i + 1) * width] for i in range(len(whole) // width)}
+        assert len(rows) == len(whole) // width
+    assert cut_stream(docs.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("how", ["sum", "min", "max"])
+def test_running_values_of_groups_over_tasks(spark, how):
+    rng = random.Random(how)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([None, rng.randint(-9, 9)])) for k in range(300)]
+    for kind in ("bigint", "double"):
+        df = spark.createDataFrame([(g, k, None if v is None else (float(v) if kind == "double" else v)) for g, k, v in rows], f"g string, k long, v {kind}").repartition(5)
+        got = {(r.g, r.k): (r.running, r.up) for r in running_value(df, F.col("v"), [F.col("k")], integer_levels(F.col("k"), 11), how, ["g"], before="up").collect()}
+        for g in ("a", "b", None):
+            seen = []
+            for _, k, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+                fold = lambda x: (sum(x) if how == "sum" else min(x) if how == "min" else max(x)) if x else (0 if how == "sum" else None)
+                before = fold(seen)
+                seen += [v] if v is not None else []
+                assert got[g, k] == (fold(seen), before)
+
+
+def test_running_minimum_of_times(spark):
+    from datetime import datetime, timedelta
+
+    times = [datetime(2024, 1, 1) + timedelta(seconds=s) for s in (50, 70, 20, 90)]
+    df = spark.createDataFrame(list(enumerate(times)), "k long, t timestamp")
+    got = [r.running for r in running_value(df, F.col("t"), [F.col("k")], how="min").orderBy("k").collect()]
+    assert got == [times[0], times[0], times[2], times[2]]

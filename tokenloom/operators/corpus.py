@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from tokenloom.functions import tokens as T
 from tokenloom.operators.offsets import dense_index, digest_levels, global_offsets, integer_levels
 from tokenloom.session import materialise
 
+STRETCH = 1 << 16   # neighbouring blocks of a shard cut that one task walks
+
 
 # ---------------------------------------------------------------- crops, budgets, slices
 
@@ -190,12 +193,63 @@ def _next_starts(spans: DataFrame, limit: int, n_blocks: int, total: int, group_
     return found.where("kind = 0").select(F.col("from").alias("block"), (F.col("close") + 1).alias("next"))
 
 
+def _walk(start: int, jump: dict[int, int]) -> list[int]:
+    """Blocks that a walk from ``start`` comes to, as long as they have a jump here."""
+    seen = []
+    while start in jump:
+        start = jump[start]
+        seen.append(start)
+    return seen
+
+
+def _leaving(group: pa.Table) -> pa.Table:
+    """Where a walk from each block of a stretch first comes to a block without a jump in it."""
+    jump = dict(zip(group.column("block").to_pylist(), group.column("next").to_pylist()))
+    last: dict[int, int] = {}
+    for block in sorted(jump, reverse=True):   # jumps go forward, so the later blocks are known
+        last[block] = last.get(jump[block], jump[block])
+    return pa.table({"block": pa.array(list(last), pa.int64()), "next": pa.array(list(last.values()), pa.int64())})
+
+
+def _within(group: pa.Table) -> pa.Table:
+    """All blocks of a stretch that walks come to from the ones it is entered at."""
+    jump, entered = {}, []
+    for block, following in zip(group.column("block").to_pylist(), group.column("next").to_pylist()):
+        if following is None:
+            entered.append(block)
+        else:
+            jump[block] = following
+    return pa.table({"start": pa.array([x for e in entered for x in _walk(e, jump)], pa.int64())})
+
+
+def _reached(jump: DataFrame) -> DataFrame:
+    """``start``: the blocks that jumps ``block, next`` come to from block 0, and 0.
+
+    A stretch of ``STRETCH`` blocks is walked in one task.  From stretch to stretch the walk is found by doubling the
+    jumps out of them, so it takes log2(stretches) joins, none if there is one.
+    """
+    stretch = F.expr(f"block div {STRETCH}")
+    schema = "block long, next long"
+    out = jump.withColumn("stretch", stretch).groupBy("stretch").applyInArrow(_leaving, schema)
+    # A jump that stays within its stretch ends the walk.
+    out = materialise(out.where(F.expr(f"block div {STRETCH} <> next div {STRETCH}")), "jump")
+    entered = jump.sparkSession.range(1).select(F.col("id").alias("start"))
+    while not out.isEmpty():
+        step = entered.join(out.withColumnRenamed("block", "start"), "start").select(F.col("next").alias("start"))
+        entered = entered.unionByName(step).distinct()
+        out = materialise(out.select("block", F.col("next").alias("mid")).join(
+            out.select(F.col("block").alias("mid"), "next"), "mid").select("block", "next"), "jump")
+    entered = materialise(entered, "entered")
+    marks = entered.select(F.col("start").alias("block"), F.lit(None).cast("bigint").alias("next"))
+    inner = jump.select("block", "next").unionByName(marks).withColumn("stretch", stretch).groupBy("stretch").applyInArrow(_within, "start long")
+    return entered.unionByName(inner).distinct()
+
+
 def greedy_shards(blocks: DataFrame, limit: int, group_rows: int) -> DataFrame:
     """``block, shard, closed`` for a block table (``block`` dense from 0, ``chars``, ``docs``).
 
     A shard closes at the first block end with at least ``limit`` characters since its start.
-    The cut is a chain of jumps ``start -> next start``; the reached starts are found by
-    doubling the jumps, so a cut into n shards takes about log2(n) joins instead of n steps.
+    The cut is a chain of jumps ``start -> next start``, walked by stretches (see ``_reached``).
     """
     spans = materialise(global_offsets(blocks, F.col("chars"), [F.col("block")], integer_levels(F.col("block")))
                         .withColumn("full", F.col("docs") == group_rows), "spans")
@@ -211,15 +265,7 @@ def greedy_shards(blocks: DataFrame, limit: int, group_rows: int) -> DataFrame:
     jump = jump.unionByName(alias_of.join(jump.withColumnRenamed("block", "carrier"), "carrier").select("block", "next"))
     # A partial block cannot close a shard, so only jumps over full blocks count.
     jump = materialise(jump.where(F.col("next").isNotNull() & (F.col("next") - 1 <= last_full)), "jump")
-    reached = spans.sparkSession.range(1).select(F.col("id").alias("start"))
-    while True:
-        if jump.isEmpty():
-            break
-        step = reached.join(jump.withColumnRenamed("block", "start"), "start").select(F.col("next").alias("start"))
-        reached = reached.unionByName(step).distinct()
-        double = jump.select("block", F.col("next").alias("mid")).join(
-            jump.select(F.col("block").alias("mid"), "next"), "mid").select("block", "next")
-        jump = materialise(double, "jump")
+    reached = _reached(jump)
     grown = materialise(reached, "starts")
     starts = grown.where(F.col("start") < facts.n)
     numbered = dense_index(starts, [F.col("start")], integer_levels(F.col("start")), out="shard")
