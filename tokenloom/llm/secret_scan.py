@@ -1,6 +1,6 @@
 """Secret scan with corpus-wide ownership.
 
-Texts are scanned once for candidates of four kinds; the values are hashed and the hashes counted over the
+Texts are scanned for candidates of four kinds, once for each and again only where there are some; the values are hashed and the hashes counted over the
 whole corpus by distinct repositories and distinct owners.  A value that many owners hold is a copied
 example; one that stays with few and looks random is live.  Candidates of the three base kinds are always
 reported; long mixed runs (``owned``) only if they are live.
@@ -34,6 +34,12 @@ def looks_random(value: Column) -> Column:
             & ~F.lower(value).rlike("example|placeholder|changeme|dummy|sample"))
 
 
+def _may_hold(name: str, text: Column) -> Column:
+    if name == "assign":
+        return F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    return F.contains(text, F.lit("AKIA")) if name == "access" else F.lit(True)
+
+
 def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """One row per document, without its text: per kind the lengths between matches, and the matches."""
     rows = keyed_texts(docs, owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
@@ -43,10 +49,8 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         parts = [F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"),
                  F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m)).alias("size"),
                  F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")]
-        zipped = F.arrays_zip(*parts)
-        if name == "access":
-            zipped = F.when(F.contains(text, F.lit("AKIA")), zipped)
-        found.append(zipped.alias(name))
+        # Three passes only over a text that one pass, or a cheaper look, does not rule out.
+        found.append(F.when(_may_hold(name, text) & text.rlike(pattern), F.arrays_zip(*parts)).alias(name))
     return rows.select("doc", "tag", "doc_id", "owner", "repository", *found)
 
 
@@ -103,7 +107,9 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
 def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every reported place of every text replaced by ``mark``; ``n_chars`` follows if it is there.
 
-    All rows and columns stay.  Overlapping places are one.
+    All rows and columns stay.  Overlapping places are one.  What the base kinds find goes whether it is live or a copied
+    example: an example has the form of a key and teaches to write keys into texts.  Ownership decides on the
+    fourth kind, whose long mixed runs are masked only where they are live.
     """
     places = (scan_secrets(docs).where("size(places) > 0").groupBy("doc", "tag")
               .agg(F.first("places").alias("places")))
