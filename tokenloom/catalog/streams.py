@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.catalog.common import query, sql_byte_list, sql_words, table
 from tokenloom.catalog.logs import LOG, log
+from tokenloom.catalog.vocabulary import sql_ids
 from tokenloom.functions import tokens as T
 from tokenloom.operators import bpe
 from tokenloom.registry import default_generators
@@ -107,15 +108,24 @@ def t8(spark, sf):
 
 # ---------------------------------------------------------------- nesting
 
-@query("W12_nesting_coordinates", sql_words(""", m AS (SELECT doc_id, regexp_replace(mtext, '[\\x{F0001}]', '', 'g') AS t, mtext FROM marked),
-  w AS (SELECT doc_id, count(*) AS words FROM words GROUP BY 1)
-  SELECT d.doc_id, coalesce(w.words, 0)::BIGINT AS downs FROM documents d LEFT JOIN w USING (doc_id)""".replace("\\\\", "\\")))
+_DIMS = range(8)
+_WALK = "OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"
+
+
+@query("W12_nesting_coordinates", sql_words(f""",
+  framed AS (SELECT doc_id, translate(regexp_replace(mtext, '([^()\\[\\]{{}}\\n\\t=:., \\x{{F0001}}]+)', chr(984256) || '\\1' || chr(984257), 'g'),
+     chr(983042)||chr(983043)||chr(983044)||chr(983041), ')]}}') AS f FROM marked),
+  enc AS (SELECT doc_id, {sql_ids("rtrim(f, chr(984257))")} AS ids FROM framed),
+  t AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM enc),
+  p AS (SELECT *, (7 + sum(CASE id WHEN 256 THEN 1 WHEN 257 THEN 7 ELSE 0 END) {_WALK}) % 8 AS pt FROM t),
+  b AS (SELECT *, coalesce(lag(pt) OVER (PARTITION BY doc_id ORDER BY i), 7) AS was, {", ".join(f"sum((pt = {d})::INTEGER) {_WALK} AS n{d}" for d in _DIMS)} FROM p),
+  c AS (SELECT doc_id, i, id, {", ".join(f"(n{d} - max(CASE WHEN id = 257 AND was = {d} THEN n{d} - (pt = {d})::INTEGER ELSE 0 END) {_WALK})::INTEGER AS c{d}" for d in _DIMS)} FROM b),
+  j AS (SELECT doc_id, count(*) FILTER (id = 256) AS downs, md5(string_agg(concat_ws(' ', {", ".join(f"c{d}" for d in _DIMS)}), ';' ORDER BY i)) AS coords_md5 FROM c GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(downs, 0)::BIGINT AS downs, coalesce(coords_md5, md5('')) AS coords_md5 FROM documents d LEFT JOIN j USING (doc_id)""".replace("\\\\", "\\")))
 def w12(spark, sf):
     from tokenloom.operators.nesting import nesting_coordinates
 
     docs = bpe.spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     coords = nesting_coordinates(bpe.encode_corpus(docs), limit=1 << 30)
-    # Each DOWN enters the dimension after the resting one; its first coordinate after it is 1.
-    entered = F.aggregate(F.arrays_zip("ids", "coords"), F.lit(0).cast("bigint"),
-                          lambda n, x: n + F.when((x["ids"] == T.DOWN_ID) & (F.get(x["coords"], 0) == 1), 1).otherwise(0))
-    return coords.select("doc_id", entered.alias("downs"))
+    downs = F.size(F.filter("ids", lambda t: t == T.DOWN_ID)).cast("bigint")
+    return coords.select("doc_id", downs.alias("downs"), F.md5(F.array_join(F.transform("coords", lambda c: F.array_join(c.cast("array<string>"), " ")), ";")).alias("coords_md5"))
