@@ -70,6 +70,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending, each once.  The values come as a few ascending runs, which a stable sort only merges."""
+    values = np.sort(values, kind="stable")
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
+
+
 def merge_words(tokens: np.ndarray, bounds: np.ndarray, table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
     """All words merged: in each the earliest learned pair first, its places from the left, until none is left.
 
@@ -105,7 +111,7 @@ def merge_words(tokens: np.ndarray, bounds: np.ndarray, table: MergeTable) -> tu
         now = at - np.arange(len(at))   # where the new tokens stand after their right halves went
         tok, word, rank = tok[keep], word[keep], rank[keep]
         # Only pairs with a new token changed.
-        left = np.unique(np.concatenate([now, now[now > 0] - 1]))
+        left = distinct(np.concatenate([now, now[now > 0] - 1]))
         rank[left] = NONE
         left = left[left + 1 < len(tok)]
         left = left[word[left] == word[left + 1]]
@@ -130,7 +136,7 @@ def merge_framed(framed: pa.Array, table: MergeTable) -> pa.Array:
     # A word goes on to the end of its frame; what is framed once more inside it is no word of its own.
     own = np.append(True, start[1:] >= np.maximum.accumulate(end)[:-1])[:len(start)] & (end > start)
     start, end = start[own], end[own]
-    cuts = np.unique(np.concatenate([start, end, bounds]))
+    cuts = distinct(np.concatenate([start, end, bounds]))
     pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data.tobytes()))
     is_word = np.isin(cuts[:-1], start, assume_unique=True)
     words = pieces.filter(pa.array(is_word)).dictionary_encode()
