@@ -238,7 +238,16 @@ def test_common_ends():
             left, right = common_ends(a, b)
             both = sorted(set(a) & set(b))
             assert [a[i] for i in left] == both and [b[j] for j in right] == both
-    assert common_ends([], []) == ([], [])
+    assert [len(x) for x in common_ends([], [])] == [0, 0]
+
+
+def test_places_of_pairs():
+    from tokenloom.llm.alignment import PairTable
+
+    rng = np.random.default_rng(2)
+    for n, high in ((1, 1), (500, 9), (200_000, 40_000)):
+        pairs = np.unique(rng.integers(0, high, n) << 32 | rng.integers(0, 20_000, n))
+        assert (PairTable(pairs).places(pairs) == np.arange(len(pairs))).all()
 
 
 def test_all_pairs_are_known_beforehand():

@@ -2,8 +2,8 @@
 
 Both tokenizers cut the same bytes, so a token is a range of them.  The ends of both are ascending arrays, and where
 they hold the same number both tokens end.  Most tokens stand one to one, so equal stretches lie on a diagonal: at
-the current shift between the two indices, runs of 1, 2, 4, ... ends are compared at once, and a run that is equal is
-jumped.  Where it breaks, the smaller end moves on until both are equal again: an irregular group, after which the
+the current shift between the two indices, stretches of 4, 8, 16, ... ends are compared at once, and one that is equal is
+jumped.  Behind its break the smaller end moves on until both are equal again: an irregular group, after which the
 shift is another.
 
 Two tokens that end together are bytes of which one ends the other.  So the pairs that can occur follow from the two
@@ -13,6 +13,7 @@ of pair counts, whatever the corpus, and its size is checked before it is broadc
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -31,6 +32,7 @@ from tokenloom.session import materialise
 PAIRS = 4 << 20      # pairs that the vocabularies allow, at most: 64 MB of ids and counts
 OUT = 8 << 20        # bytes of links after which an Arrow batch is passed on
 TABLE = 1 << 21      # links counted at once
+PROBE = 4            # ends of the first stretch that is compared along a diagonal
 
 
 def byte_level() -> dict[str, int]:
@@ -82,46 +84,65 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Indices of the ends that both ascending lists hold, by skipping along diagonals.
+def common_runs(a: list[int], b: list[int]) -> list[int]:
+    """Runs ``i, j, k`` of ends that both ascending lists hold one to one, one after the other, by skipping along diagonals.
 
     Both lists end with the same number.
     """
-    left, right, i, j, n, m = [], [], 0, 0, len(a), len(b)
+    runs, i, j, n, m = [], 0, 0, len(a), len(b)
     while i < n and j < m:
-        # One to one: runs of ends at this shift, each twice as long as the one before.
-        k = 1
-        while a[i:i + k] == b[j:j + k] and i < n and j < m:
-            k = min(k, n - i, m - j)
-            left.extend(range(i, i + k))
-            right.extend(range(j, j + k))
-            i, j, k = i + k, j + k, 2 * k
-        # A run that broke: the equal part of it, by halves.
-        while k > 1:
-            k //= 2
-            if i + k <= n and j + k <= m and a[i:i + k] == b[j:j + k]:
-                left.extend(range(i, i + k))
-                right.extend(range(j, j + k))
-                i, j = i + k, j + k
+        # One to one: stretches of ends at this shift, each twice as long as the one before.
+        x, y, k = i, j, PROBE
+        while x + k <= n and y + k <= m and a[x:x + k] == b[y:y + k]:
+            x, y, k = x + k, y + k, 2 * k
+        # The stretch that broke, up to its break.
+        while x < n and y < m and a[x] == b[y]:
+            x, y = x + 1, y + 1
+        if x > i:
+            runs += (i, j, x - i)
         # An irregular group: its tokens up to the next end that both have.
-        while i < n and j < m and a[i] != b[j]:
-            if a[i] < b[j]:
-                i += 1
+        while x < n and y < m and a[x] != b[y]:
+            if a[x] < b[y]:
+                x += 1
             else:
-                j += 1
-    return left, right
+                y += 1
+        i, j = x, y
+    return runs
 
 
-def group_text(a: list[str], b: list[str], left: list[int], right: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group, which ends at the given indices."""
-    parts, i, j = [], 0, 0
-    for x, y in zip(left, right):
-        if x == i and y == j:
-            parts.append(f"{a[i]}|{b[j]}")
-        else:
-            parts.append(f"{','.join(a[i:x + 1])}|{','.join(b[j:y + 1])}")
-        i, j = x + 1, y + 1
-    return ";".join(parts)
+def common_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the ends that both ascending lists hold."""
+    i, j, k = np.array(common_runs(a, b), dtype=np.int64).reshape(-1, 3).T
+    within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return np.repeat(i, k) + within, np.repeat(j, k) + within
+
+
+def group_text(a: list[str], b: list[str], left: np.ndarray, right: np.ndarray, linked: list[str]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group, which ends at the given indices; ``linked`` are their last pairs as text."""
+    i, j = np.append(-1, left[:-1]) + 1, np.append(-1, right[:-1]) + 1   # where groups begin
+    odd = np.flatnonzero((i != left) | (j != right))
+    for g, p, q, r, s in zip(*(x.tolist() for x in (odd, i[odd], left[odd] + 1, j[odd], right[odd] + 1))):
+        linked[g] = f"{','.join(a[p:q])}|{','.join(b[r:s])}"
+    return ";".join(linked)
+
+
+class PairTable:
+    """Places of pairs in their ascending table: one look at a hash slot, and a search for the few that share one."""
+
+    BITS = 21
+
+    def __init__(self, pairs: np.ndarray):
+        self.pairs, self.slots = pairs, np.zeros(1 << self.BITS, dtype=np.int32)
+        self.slots[self._slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def places(self, pair: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(pair)]
+        shared = np.flatnonzero(self.pairs[at] != pair)
+        at[shared] = np.searchsorted(self.pairs, pair[shared])
+        return at
 
 
 class _Aligner:
@@ -134,7 +155,10 @@ class _Aligner:
         self.bytes_a, self.bytes_b = byte_tokens(byte_path), piece_tokens(piece_path)
         self.size_a, self.size_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.name_a, self.name_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
-        self.pairs = pairs
+        # Byte-pair merging by ranks gives its bytes back, so a length that is right is a text that is right.
+        self.lossless = ranks_path is not None
+        self.pairs = PairTable(pairs)
+        self.names = [f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()]
 
     def align(self, text: str) -> tuple[int, int, str, np.ndarray] | None:
         """Numbers of tokens, digest of the groups and the linked pairs, as places in the table; None without tokens."""
@@ -143,13 +167,19 @@ class _Aligner:
         given = " " + text
         whole = given.encode()
         a, b = list(next(iter(self.encode([given])))), self.model.encode(text, num_threads=1)
-        if b"".join([self.bytes_b[i] for i in b]) != whole or b"".join([self.bytes_a[i] for i in a]) != whole:
+        if b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            return None
+        if not self.lossless and b"".join(map(self.bytes_a.__getitem__, a)) != whole:
+            return None
+        ids_a, ids_b = np.fromiter(a, np.int32, len(a)), np.fromiter(b, np.int32, len(b))
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        if ends_a[-1] != len(whole):
             return None
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        left, right = common_ends(np.cumsum(self.size_a[ids_a]).tolist(), np.cumsum(self.size_b[ids_b]).tolist())
-        groups = group_text([self.name_a[i] for i in a], [self.name_b[i] for i in b], left, right)
-        links = np.searchsorted(self.pairs, ids_a[left] << 32 | ids_b[right])
-        return len(a), len(b), hashlib.sha256(groups.encode()).hexdigest(), links.astype(np.int32)
+        left, right = common_ends(ends_a.tolist(), ends_b.tolist())
+        links = self.pairs.places(ids_a[left].astype(np.int64) << 32 | ids_b[right])
+        groups = group_text(list(map(self.name_a.__getitem__, a)), list(map(self.name_b.__getitem__, b)), left, right,
+                            list(map(self.names.__getitem__, links.tolist())))
+        return len(a), len(b), hashlib.sha256(groups.encode()).hexdigest(), links
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>"
@@ -164,6 +194,7 @@ def _align(pairs, byte_path: str, piece_path: str, ranks_path: str | None):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _Aligner(byte_path, piece_path, ranks_path, pairs.value)
+        gc.freeze()   # its tables live as long as the task; collections need not walk them
         new = lambda: {c: [] for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links")}
         for batch in batches:
             out, held = new(), 0
