@@ -100,9 +100,13 @@ def test_generators_are_repeatable_and_valid(spark):
         make.configure({"chess": 1.0})
     assert all(abs(expressions.problem(s)[2]) < 1e100 for s in range(500))
     assert synthesis.expression_problems(seeds, until_valid=False).count() < 300
-    for s in range(200):
-        moves, said, outcome = games.game(s)
+    for r in synthesis.game_dialogues(seeds).collect():
+        moves, said, outcome = r.moves, r.messages, r.outcome
         assert 3 <= len(moves) <= 7 and len(said) == len(moves) and (len(moves) >= 5 or outcome == "")
+        # No line is complete before the last move, and after it exactly when someone wins.
+        for k in range(1, len(moves) + 1):
+            won = [p for p, own in (("X wins", moves[0:k:2]), ("O wins", moves[1:k:2])) if any(set(line) <= set(own) for line in games.LINES)]
+            assert won == ([outcome] if outcome and k == len(moves) else [])
 
 
 def test_registries():

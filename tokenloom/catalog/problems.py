@@ -329,22 +329,37 @@ def f33(spark, sf):
     return rows.withColumn("off", off).agg(F.count_if("off").alias("mismatches"))
 
 
-@query("F25_game_dialogues")
+_CELLS = "(['top-left', 'top-center', 'top-right', 'mid-left', 'center', 'mid-right', 'bot-left', 'bot-center', 'bot-right'])"
+_LINES = "[[0, 1, 2], [3, 4, 5], [6, 7, 8], [0, 3, 6], [1, 4, 7], [2, 5, 8], [0, 4, 8], [2, 4, 6]]"
+_NL = "chr(10)"
+# Games played out: the order of the cells, the number of moves, the first move that completes a line.
+_PLAYED = f"""o AS (SELECT event_id AS seed, list(c ORDER BY md5(concat_ws('|', 'cell', event_id, c))) AS l, any_value(3 + {sql_draw("'moves'", 'event_id')} % 5) AS n
+    FROM events, range(9) r(c) GROUP BY event_id),
+  w AS (SELECT seed, l, n, list_filter(range(1, n + 1), lambda k: len(list_filter({_LINES}, lambda line: list_has_all(list_filter(l[1:k], lambda c, i: (k - i) % 2 = 0), line))) > 0)[1] AS win FROM o),
+  g AS (SELECT seed, l[1:coalesce(win, n)] AS m, CASE WHEN win IS NULL THEN '' WHEN win % 2 = 1 THEN 'X wins' ELSE 'O wins' END AS outcome FROM w)"""
+_MARK = "CASE WHEN list_position(m, {c}) IS NULL THEN ' ' WHEN list_position(m, {c}) % 2 = 1 THEN 'X' ELSE 'O' END"
+_BOARD = f" || {_NL} || ".join(" || '|' || ".join(_MARK.format(c=3 * r + c) for c in range(3)) for r in range(3))
+
+
+@query("F25_game_dialogues", f"""WITH {_PLAYED} SELECT seed, array_to_string(m, ',') AS moves, outcome, len(m)::INTEGER AS n_messages,
+  CASE WHEN len(m) % 2 = 1 THEN 'I play ' || {_CELLS}[m[-1] + 1] || '.' ELSE concat_ws({_NL}, '<|python_start|>',
+    array_to_string(list_transform(m, lambda c, i: 'board[' || c // 3 || '][' || c % 3 || ']=' || chr(39) || CASE WHEN i % 2 = 1 THEN 'X' ELSE 'O' END || chr(39)), {_NL}),
+    'print(board)', 'check_winner(board)', '<|python_end|>', '<|output_start|>', {_BOARD}, nullif(outcome, ''), '<|output_end|>') END AS last FROM g""")
 def f25(spark, sf):
     games = synthesis.game_dialogues(_seeds(spark, sf))
     return games.select("seed", F.array_join(F.col("moves").cast("array<string>"), ",").alias("moves"), "outcome",
                         F.size("messages").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last"))
 
 
-@query("F25_game_outcomes", "SELECT count(*)::BIGINT AS games, 0::BIGINT AS broken FROM events")
+@query("F25_game_outcomes", f"""WITH {_PLAYED} SELECT outcome, len(m)::INTEGER AS n_moves, count(*)::BIGINT AS games, 0::BIGINT AS broken FROM g GROUP BY ALL""")
 def f25b(spark, sf):
-    """Rules every dialogue keeps: 3-7 distinct moves, one message per move, replies that show the board."""
+    """Games by outcome, and the rules every dialogue keeps: 3-7 distinct moves, one message per move, replies that show the board."""
     games = synthesis.game_dialogues(_seeds(spark, sf))
     k = F.size("moves")
     legal = (k >= 3) & (k <= 7) & (F.size(F.array_distinct("moves")) == k) & (F.size("messages") == k)
     shown = F.forall("messages", lambda m: (m["role"] == "user") | F.contains(m["content"], F.lit("print(board)")))
     won = F.col("outcome").isin("X wins", "O wins")
-    return games.agg(F.count("*").alias("games"), F.count_if(~(legal & shown & (won | (F.col("outcome") == "")))).alias("broken"))
+    return games.groupBy("outcome", k.alias("n_moves")).agg(F.count("*").alias("games"), F.count_if(~(legal & shown & (won | (F.col("outcome") == "")))).alias("broken"))
 
 
 @query("X2_generator_mix")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import StructType
 
 from tokenloom.functions import chat, expressions, games
 from tokenloom.functions.draws import digest, draw_index, draw_unit, pick
@@ -162,16 +162,9 @@ def expression_problems(seeds: DataFrame, seed: str = "seed", until_valid: bool
 
 def game_dialogues(seeds: DataFrame, seed: str = "seed") -> DataFrame:
     """Dialogues of 3-7 random legal moves that stop at a win: ``moves, messages, outcome``."""
-    schema = (StructType(list(seeds.schema.fields)).add("moves", ArrayType(IntegerType()))
-              .add("said", ArrayType(StringType())).add("outcome", "string"))
-
-    def make(batches):
-        for batch in batches:
-            played = [games.game(s) for s in batch[seed]]
-            yield batch.assign(**{name: [p[i] for p in played] for i, name in enumerate(("moves", "said", "outcome"))})
-
-    messages = F.transform("said", lambda t, i: chat.message(F.when(i % 2 == 0, "user").otherwise("assistant"), t))
-    return seeds.mapInPandas(make, schema).select(*seeds.columns, "moves", messages.alias("messages"), "outcome")
+    played = seeds.withColumn("__game", games.game(F.col(seed)))
+    messages = F.transform("__game.said", lambda t, i: chat.message(F.when(i % 2 == 0, "user").otherwise("assistant"), t))
+    return played.select(*seeds.columns, "__game.moves", messages.alias("messages"), "__game.outcome")
 
 
 # ---------------------------------------------------------------- requests and mixes
