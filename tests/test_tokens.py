@@ -169,3 +169,36 @@ def test_pairs_of_tokens_beyond_the_surrogates(spark):
     tok = "".join(T.token_char(i) for i in ids)
     found = bpe._pair_strings(spark.createDataFrame([(tok, 2)], "tok string, cnt bigint")).collect()
     assert sorted((T.char_token(r.pair[0]), T.char_token(r.pair[1]), r.c) for r in found) == sorted((a, b, 2) for a, b in zip(ids, ids[1:]))
+
+
+def test_encoding_with_thousands_of_merges(spark):
+    """A vocabulary of 5,000 merges and more: equal to merging word by word, and decoded back."""
+    rng = random.Random(7)
+    pool, merges, seen = list(range(97, 123)), [], set()
+    while len(merges) < 5000:
+        a, b = rng.choice(pool), rng.choice(pool)
+        if (a, b) not in seen:
+            seen.add((a, b))
+            merges.append((a, b, T.FIRST_MERGE_ID + len(merges)))
+            pool.append(merges[-1][2])
+    rank = {T.token_char(a) + T.token_char(b): T.token_char(i) for a, b, i in merges}
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(1, 14))) for _ in range(200)) for _ in range(20)]
+    texts += ["", "x" * 3000, "é " + "ab" * 500]
+    docs = frame(spark, texts)
+    coded = bpe.encode_corpus(docs, merges, markers=False)
+    got = by_id(coded)
+    for i, text in enumerate(texts):
+        want = [T.char_token(c) for w in text.split(" ") for c in bpe.merge_word("".join(map(chr, w.encode())), rank) + " "][:-1]
+        assert got[i] == want
+    assert by_id(bpe.decode_corpus(coded.select("doc_id", "ids"), merges), "text") == dict(enumerate(texts))
+
+
+def test_training_with_few_pairs_at_a_time(spark, monkeypatch):
+    """However little a round may take, the merges are those of one at a time."""
+    rng = random.Random(9)
+    counts = {"".join(rng.choices("abcde", k=rng.randint(1, 9))): rng.randint(1, 60) for _ in range(80)}
+    words = spark.createDataFrame(list(counts.items()), "word string, cnt bigint")
+    want = naive_train(counts, 12)
+    for batch, chains in ((1, 1 << 20), (6, 30), (64, 1 << 20)):
+        monkeypatch.setattr(bpe, "CHAINS", chains)
+        assert bpe.bpe_train(words, 267 + 12, batch=batch) == want
