@@ -367,13 +367,14 @@ def x2(spark, sf):
     return default_generators().generate(_seeds(spark, sf))
 
 
-_STARTERS = ["hi", "hello", "what is this?", "who are you?"]
-
-
-@query("F26_generation_requests", "SELECT event_id AS seed, 'Use:' || chr(10) || concat_ws(chr(10), " + ", ".join(
-    f"(['hi', 'hello', 'what is this?', 'who are you?'])[1 + {sql_draw(chr(39) + 'starter' + chr(39), 'event_id', chr(39) + str(i) + chr(39))} % 4]" for i in range(5)) + ") AS request FROM events")
+@query("F26_generation_requests", f"""WITH p AS (SELECT text, row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM (
+    SELECT conv_id, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)),
+  d AS (SELECT event_id AS seed, i, {sql_draw("'starter'", 'event_id', 'i')} % (SELECT count(*) FROM p) AS idx FROM events, range(5) r(i))
+  SELECT seed, 'Use:' || chr(10) || string_agg(text, chr(10) ORDER BY i) AS request FROM d JOIN p USING (idx) GROUP BY seed""")
 def f26(spark, sf):
-    return synthesis.starter_requests(_seeds(spark, sf), "Use:\n%USER_FIRST_PROMPTS%", _STARTERS)
+    """Requests with five first turns of users, drawn from all conversations."""
+    users = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    return synthesis.drawn_requests(_seeds(spark, sf), users, "Use:\n%USER_FIRST_PROMPTS%")
 
 
 _TOOLS = ["read_file", "write_file", "copy_file", "move_file", "delete_file", "list_directory", "create_file"]

@@ -169,11 +169,20 @@ def game_dialogues(seeds: DataFrame, seed: str = "seed") -> DataFrame:
 
 # ---------------------------------------------------------------- requests and mixes
 
-def starter_requests(seeds: DataFrame, template: str, starters: Sequence[str], k: int = 5, seed: str = "seed",
-                     mark: str = "%USER_FIRST_PROMPTS%") -> DataFrame:
-    """Adds ``request``: the template with ``k`` starters drawn with replacement."""
-    drawn = F.array_join(F.array(*[pick(list(starters), "starter", F.col(seed), i) for i in range(k)]), "\n")
-    return seeds.withColumn("request", F.replace(F.lit(template), F.lit(mark), drawn))
+def drawn_requests(seeds: DataFrame, prompts: DataFrame, template: str, k: int = 5, seed: str = "seed", key: str = "conv_id",
+                   text: str = "text", mark: str = "%USER_FIRST_PROMPTS%") -> DataFrame:
+    """``seed, request``: the template with ``k`` texts drawn with replacement from a table of any size.
+
+    Seeds are distinct.  Texts are numbered once in the order of ``key`` and fetched by their number.  Without texts the
+    mark is replaced by nothing.
+    """
+    numbered = materialise(dense_index(prompts.select(key, text), [F.col(key)]).select("idx", text), "prompts")
+    n = numbered.count()
+    draws = seeds.select(seed, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("__i"))
+    draws = draws.withColumn("idx", draw_index(max(n, 1), "starter", F.col(seed), F.col("__i")))
+    lists = draws.join(numbered, "idx", "left").groupBy(seed).agg(F.array_sort(F.collect_list(F.struct("__i", text))).alias("__t"))
+    drawn = F.array_join(F.transform("__t", lambda x: x[text]), "\n")
+    return lists.select(seed, F.replace(F.lit(template), F.lit(mark), drawn).alias("request"))
 
 
 def tool_requests(seeds: DataFrame, tools: Sequence[str], k: int = 5, seed: str = "seed") -> DataFrame:
