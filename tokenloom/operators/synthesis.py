@@ -83,6 +83,18 @@ def _split_seed(idx: Column, split: str) -> Column:
     return idx if split == "train" else -(idx + 1)
 
 
+# The sentences of a letter-counting answer, in their order.
+ASKED = "We are asked to find the number '"
+IN_WORD = "' in the word '"
+MANUAL = "'. Let me try a manual approach first.\n\nFirst spell the word out:\n"
+COUNT = "\n\nThen count the occurrences of '"
+HIT = " hit! count="
+GIVES = "\nThis gives us "
+CHECK = "\n\nLet me double check this using Python:\n\n"
+PYTHON = "\n\nPython gives us "
+FINAL = ".\n\nMy final answer is:\n\n#### "
+
+
 def number_words(words: DataFrame, seed: int = 0) -> DataFrame:
     """``word, word_idx``: distinct words in a seeded order."""
     keyed = words.select("word").distinct().withColumn("__k", digest("words", seed, F.col("word")))
@@ -114,19 +126,17 @@ def spelling_bee(seeds: DataFrame, words: DataFrame, split: str = "train", idx:
     so_far = lambda cs, i: F.aggregate(F.slice(cs, F.lit(1), i + 1), F.lit(0), lambda a, c: a + is_hit(c))
     lines = let(chars, lambda cs: F.transform(cs, lambda c, i: F.concat(
         (i + 1).cast("string"), F.lit(":"), c,
-        F.when(c == letter, F.concat(F.lit(" hit! count="), so_far(cs, i).cast("string"))).otherwise(""), F.lit("\n"))))
+        F.when(c == letter, F.concat(F.lit(HIT), so_far(cs, i).cast("string"))).otherwise(""), F.lit("\n"))))
     n = F.col("n").cast("string")
     rows = rows.withColumn("n", F.aggregate(chars, F.lit(0), lambda a, c: a + is_hit(c)))
     manual = F.concat(
-        F.lit("We are asked to find the number '"), letter, F.lit("' in the word '"), w,
-        F.lit("'. Let me try a manual approach first.\n\nFirst spell the word out:\n"), w, F.lit(":"), F.array_join(chars, ","),
-        F.lit("\n\nThen count the occurrences of '"), letter, F.lit("':\n"), F.array_join(lines, ""),
-        F.lit("\nThis gives us "), n, F.lit("."))
+        F.lit(ASKED), letter, F.lit(IN_WORD), w, F.lit(MANUAL), w, F.lit(":"), F.array_join(chars, ","),
+        F.lit(COUNT), letter, F.lit("':\n"), F.array_join(lines, ""), F.lit(GIVES), n, F.lit("."))
     part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
     parts = F.array(
-        part("text", manual), part("text", F.lit("\n\nLet me double check this using Python:\n\n")),
+        part("text", manual), part("text", F.lit(CHECK)),
         part("python", F.concat(F.lit("'"), w, F.lit("'.count('"), letter, F.lit("')"))), part("python_output", n),
-        part("text", F.concat(F.lit("\n\nPython gives us "), n, F.lit(".\n\nMy final answer is:\n\n#### "), n)))
+        part("text", F.concat(F.lit(PYTHON), n, F.lit(FINAL), n)))
     messages = F.array(chat.message("user", asked), chat.message("assistant", parts=parts))
     return rows.select(idx, "word", "letter", "n", messages.alias("messages"))
 
