@@ -33,7 +33,7 @@ LEVELS = 8           # prefixes a document chooses from
 VERIFY = 8.0         # cost of a candidate in postings
 LIST = 64            # posting lists up to this length give pairs
 BLOCK = 512          # documents of a block, and
-SHINGLES = 1 << 20   # shingles of its texts together, unless one alone has more
+SHINGLES = 1 << 23   # shingles of its texts together (64 MB of hashes), unless one alone has more
 HELD = 1 << 22       # tokens a task counts before it passes them on; the more, the fewer frequent ones it misses
 PART = 1 << 19       # tokens compared at once
 ROWS = 64            # rows of a matrix judged at once
