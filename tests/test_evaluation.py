@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tokenloom import registry
 from tokenloom.functions import expressions, games, text as X
 from tokenloom.functions import tokens as T
@@ -203,3 +204,15 @@ def test_lanes_are_sorted_across_frames(spark):
         whole = "".join(t for k, t in sorted(data) if k % 2 == lane)
         got = [r.ids for r in sorted((r for r in rows if r.lane == lane), key=lambda r: r.row)]
         assert got == [[ord(c) for c in whole[i:i + 10]] for i in range(0, len(whole) // 10 * 10, 10)]
+
+
+@pytest.mark.parametrize("name", ["T1_corpus_stream", "T2_stream_word_counts", "T3_stream_packer", "T5_problem_stream"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    """A table is a file or a folder of files; both give the same rows, in T3 also the same order of a lane."""
+    (tmp_path / "one").mkdir()
+    for table in ("documents", "events"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(60)
+        rows.repartition(5).write.parquet(f"{tmp_path}/many/{table}.parquet")
+        rows.toPandas().to_parquet(f"{tmp_path}/one/{table}.parquet", coerce_timestamps="us")
+    one, many = (__spark_entry__.queries()[name](spark, f"{tmp_path}/{kind}") for kind in ("one", "many"))
+    assert one.count() and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))

@@ -25,7 +25,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def corpus_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1,
                   glob: str = "*.parquet") -> DataFrame:
-    """Documents file by file as they arrive; a checkpoint remembers the files already read."""
+    """Documents file by file as they arrive; a checkpoint remembers the files already read.
+
+    ``path`` is a folder that files arrive in, or a pattern of folders and files.
+    """
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .option("pathGlobFilter", glob).parquet(path))
 
