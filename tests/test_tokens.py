@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.functions import merging as M
 from tokenloom.functions import tokens as T
-from tokenloom.operators import bpe
+from tokenloom.operators import bpe, nesting
 from tokenloom.operators.nesting import coordinates, nesting_profile
 from tokenloom.registry import encode_column, register_functions
 
@@ -202,3 +204,32 @@ def test_training_with_few_pairs_at_a_time(spark, monkeypatch):
     for batch, chains in ((1, 1 << 20), (6, 30), (64, 1 << 20)):
         monkeypatch.setattr(bpe, "CHAINS", chains)
         assert bpe.bpe_train(words, 267 + 12, batch=batch) == want
+
+
+def test_portions_hold_all_rows():
+    rng = random.Random(3)
+    texts = [None if n == 7 else "é" * n for n in rng.choices([0, 1, 7, 40, 900], k=300)]
+    lists = [None if t is None else [1] * len(t) for t in texts]
+    for column, size in ((pa.array(texts).slice(3), 2), (pa.array(texts, pa.large_string()).slice(5, 200), 2), (pa.array(lists, pa.list_(pa.int32())).slice(4), 1)):
+        parts = list(M.portions(column, 100))
+        assert pa.concat_arrays(parts).equals(column)
+        assert len(parts) > 20 and all(len(p) == 1 or size * sum(len(v or "") for v in p.to_pylist()) <= 100 for p in parts)
+    assert list(M.portions(pa.array([], pa.string()), 100)) == []
+
+
+def test_coordinates_of_a_large_batch_come_in_portions(monkeypatch):
+    """Eight counts a token: a batch of ids must not be answered by one batch of coordinates."""
+    monkeypatch.setattr(nesting, "PORTION", 8 * 1000)
+    ids = pa.array([[D, 5, U, 9] * 50] * 100 + [None, []], pa.list_(pa.int32()))
+    parts = list(nesting.nesting_udf().func(iter([ids])))
+    assert max(len(p.flatten()) for p in parts) <= 1000
+    assert pa.concat_arrays(parts).equals(nesting.batch_coordinates(ids, 8, 2048))
+
+
+def test_merging_a_large_batch_comes_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(M, "PORTION", 1000)
+    merges = [(97, 98, 267)]
+    framed = pa.array([f"{chr(D)}abab{chr(U)} "] * 500 + [None, ""])
+    parts = list(bpe.merge_udf(spark, merges).func(iter([framed])))
+    assert max(p.nbytes for p in parts) < 5000
+    assert pa.concat_arrays(parts).to_pylist() == M.merge_framed(framed, M.MergeTable.of(merges)).to_pylist()

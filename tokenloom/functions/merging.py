@@ -6,7 +6,7 @@ A token is the code point that stands for it in a token string (see ``functions/
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +70,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+PORTION = 1 << 22   # bytes of text that are worked on at once
+
+
+def portions(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of a string or list array with ``most`` bytes or values each; more only in a row of its own.
+
+    What is computed from a batch takes many times its size, and a batch of long texts has up to 64 MB.
+    """
+    offsets = column.offsets.to_numpy() if hasattr(column, "offsets") else np.frombuffer(
+        column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(offsets, int(offsets[start]) + most, side="right")) - 1)
+        yield column.slice(start, end - start)
+        start = end
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Ascending, each once.  The values come as a few ascending runs, which a stable sort only merges."""
     values = np.sort(values, kind="stable")

@@ -287,13 +287,14 @@ def merge_word(word: str, rank: dict[str, str]) -> str:
 
 
 def merge_udf(spark: SparkSession, merges: list[Merge]):
-    """Arrow function that merges the framed words of token strings, a batch at a time (``merging.merge_framed``)."""
+    """Arrow function that merges the framed words of token strings, a portion at a time (``merging.merge_framed``)."""
     shared = spark.sparkContext.broadcast(M.MergeTable.of(merges))
 
     @F.arrow_udf("string")
     def merge_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield M.merge_framed(batch, shared.value)
+            for portion in M.portions(batch, M.PORTION):
+                yield M.merge_framed(portion, shared.value)
 
     return merge_words
 

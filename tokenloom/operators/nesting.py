@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tokenloom.functions.merging import portions
 from tokenloom.functions.tokens import DOWN_ID, UP_ID
 
+PORTION = 1 << 20   # coordinates that are made at once
+
 
 def coordinates(ids: np.ndarray, dims: int) -> np.ndarray:
     """State after every token, as a (length, dims) array.
@@ -30,20 +35,31 @@ def coordinates(ids: np.ndarray, dims: int) -> np.ndarray:
     return out
 
 
-def nesting_coordinates(rows: DataFrame, dims: int = 8, limit: int = 2048, ids: str = "ids") -> DataFrame:
-    """Adds ``coords``, one array of ``dims`` counts per token, cut off at ``limit - 1``."""
+def batch_coordinates(batch: pa.Array, dims: int, limit: int) -> pa.Array:
+    """A list array of ids as lists of ``dims`` counts per token."""
+    offsets = batch.offsets.to_numpy().astype(np.int64)
+    values = batch.values.to_numpy(zero_copy_only=False)
+    parts = [coordinates(values[lo:hi], dims) for lo, hi in zip(offsets[:-1], offsets[1:])]
+    flat = np.minimum(np.concatenate(parts) if parts else np.empty((0, dims), np.int32), np.int32(limit - 1))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dims, pa.int32()), pa.array(flat.ravel(), pa.int32()))
+    starts = pa.array(offsets - offsets[0], pa.int32())
+    return pa.ListArray.from_arrays(starts, inner, mask=batch.is_null() if batch.null_count else None)
+
 
+def nesting_udf(dims: int = 8, limit: int = 2048):
+    """Arrow function from ids to coordinates, a portion of a batch at a time."""
     @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
-    def state(batch: pa.Array) -> pa.Array:
-        offsets = batch.offsets.to_numpy().astype(np.int64)
-        values = batch.values.to_numpy(zero_copy_only=False).astype(np.int64)
-        parts = [coordinates(values[lo:hi], dims) for lo, hi in zip(offsets[:-1], offsets[1:])]
-        flat = np.minimum(np.concatenate(parts) if parts else np.empty((0, dims), np.int32), limit - 1)
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dims, pa.int32()), pa.array(flat.ravel(), pa.int32()))
-        starts = pa.array(offsets - offsets[0], pa.int32())
-        return pa.ListArray.from_arrays(starts, inner, mask=batch.is_null() if batch.null_count else None)
-
-    return rows.withColumn("coords", state(F.col(ids)))
+    def state(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for portion in portions(batch, PORTION // dims):
+                yield batch_coordinates(portion, dims, limit)
+
+    return state
+
+
+def nesting_coordinates(rows: DataFrame, dims: int = 8, limit: int = 2048, ids: str = "ids") -> DataFrame:
+    """Adds ``coords``, one array of ``dims`` counts per token, cut off at ``limit - 1``."""
+    return rows.withColumn("coords", nesting_udf(dims, limit)(F.col(ids)))
 
 
 def nesting_profile(rows: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
