@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom import registry
 from tokenloom.functions import merging as M
 from tokenloom.functions import tokens as T
 from tokenloom.operators import bpe, nesting
@@ -233,3 +234,15 @@ def test_merging_a_large_batch_comes_in_portions(spark, monkeypatch):
     parts = list(bpe.merge_udf(spark, merges).func(iter([framed])))
     assert max(p.nbytes for p in parts) < 5000
     assert pa.concat_arrays(parts).to_pylist() == M.merge_framed(framed, M.MergeTable.of(merges)).to_pylist()
+
+
+def test_sql_functions_answer_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(registry, "PORTION", 100)
+    made = {}
+    monkeypatch.setattr(type(spark.udf), "register", lambda self, name, f, *more: made.setdefault(name, f))
+    register_functions(spark, [(97, 98, 267)])
+    texts = pa.array([*TEXTS, None] * 20)
+    ids = list(made["bpe_encode"].func(iter([texts])))
+    said = list(made["bpe_decode"].func(iter([pa.concat_arrays(ids)])))
+    assert len(ids) > 20 and len(said) > 20 and pa.concat_arrays(ids).null_count == 20
+    assert pa.concat_arrays(said).to_pylist() == texts.to_pylist()

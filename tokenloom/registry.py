@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fuzzy, text
 from tokenloom.functions import tokens as T
+from tokenloom.functions.merging import portions
 from tokenloom.operators import bpe, corpus, synthesis
 from tokenloom.operators.conversations import flatten_games
 
+PORTION = 1 << 18   # bytes of text, or ids, that the SQL functions turn into Python objects at once
+
 
 # ---------------------------------------------------------------- tasks
 
@@ -167,20 +171,28 @@ def register_functions(spark: SparkSession, merges=(), markers: bool = True) ->
             out.pop()
         return out
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(encode_one, na_action="ignore")
-
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        def one(row):
-            raw = b"".join(table.get(int(i), b"") for i in row if i not in hidden)
-            try:
-                return raw.decode("utf-8")
-            except UnicodeDecodeError:
-                return bpe.INVALID_TEXT
-
-        return ids.map(one, na_action="ignore")
+    def decode_one(row):
+        raw = b"".join(table.get(i, b"") for i in row if i not in hidden)
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return bpe.INVALID_TEXT
+
+    # Rows are Python objects here, so only a portion of a batch is held as such.
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for portion in portions(batch, PORTION):
+                coded = [None if t is None else np.array(encode_one(t), dtype=np.int32) for t in portion.to_pylist()]
+                yield pa.array(coded, pa.list_(pa.int32()))
+
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for portion in portions(batch, PORTION):
+                bounds, ids = portion.offsets.to_numpy(), portion.values.to_numpy(zero_copy_only=False)
+                rows = (ids[lo:hi].tolist() for lo, hi in zip(bounds[:-1], bounds[1:]))
+                yield pa.array([decode_one(r) if known else None for r, known in zip(rows, portion.is_valid().to_pylist())], pa.string())
 
     @F.udtf(returnType="pos: int, id: int")
     class Tokens:
