@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,39 @@ def test_puzzles_that_share_an_id(spark, tmp_path):
     rows = spark.createDataFrame([("d7bb7903", "a", "[]"), ("d7bb7903", "b", "[]")], "puzzle_id string, puzzle string, solution string")
     records.write_verified_puzzles(rows, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+
+
+class _State(dict):
+    """Map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_positions_in_any_order_with_few_calls_to_the_state(seed):
+    rng, n = random.Random(seed), 3000
+    walk, due, blocks, got = S._Smoother(0.9), 0, set(), []
+    walk.early = _State()
+    order = sorted(range(n), key=lambda p: p + rng.choice([0, 0, 0, 900]) * rng.random())
+    sent = order + rng.sample(order, 300)
+    for at in range(0, len(sent), 500):
+        frame = pd.DataFrame({"pos": sent[at:at + 500], "v": [p * 2 for p in sent[at:at + 500]]})
+        for pos, values in walk.ready(frame, ["pos", "v"], due, blocks):
+            got.append((pos, values))
+            due = pos + 1
+        assert {k for k, in walk.early} == blocks
+    assert got == [(p, (p * 2,)) for p in range(n)]
+    assert walk.early.calls < 120
+    assert not [p for rows in walk.early.values() for p in rows[0] if p >= n]

@@ -161,26 +161,61 @@ def problem_stream(spark: SparkSession, rate: int, make: Callable[[DataFrame, st
 
 # ---------------------------------------------------------------- metrics
 
+BLOCK = 512   # positions that wait under one key of the map state
+
+
 class _InOrder(StatefulProcessor):
-    """Folds dense positions in order, frame by frame; what arrives early waits in map state, what comes twice is left out."""
+    """Folds dense positions in order, frame by frame; what arrives early waits in map state, what comes twice is left out.
 
-    def waiting(self, handle: StatefulProcessorHandle, value: str) -> None:
-        self.early = handle.getMapState("early", "pos bigint", value)
+    Each call to the state goes to the JVM and back.  So the positions of a block wait together, the numbers of the blocks
+    are kept with the value of the key, and a block is read when its turn comes.
+    """
 
-    def ready(self, frame: pd.DataFrame, names: list[str], due: int) -> Iterator[tuple]:
-        """``(position, values)`` from position ``due`` on, as far as they have come."""
+    def waiting(self, handle: StatefulProcessorHandle, *types: str) -> None:
+        columns = ", ".join(f"v{i} array<{t}>" for i, t in enumerate(types))
+        self.early = handle.getMapState("early", "block bigint", f"pos array<bigint>, {columns}")
+
+    def _held(self, block: int, blocks: set[int]) -> dict[int, tuple]:
+        """Values by position that wait in a block."""
+        if block not in blocks:
+            return {}
+        pos, *values = self.early.getValue((block,))
+        return dict(zip(pos, zip(*values)))
+
+    def _keep(self, block: int, rows: dict[int, tuple], blocks: set[int]) -> None:
+        if rows:
+            self.early.updateValue((block,), (list(rows), *map(list, zip(*rows.values()))))
+            blocks.add(block)
+        elif block in blocks:
+            self.early.removeKey((block,))
+            blocks.remove(block)
+
+    def ready(self, frame: pd.DataFrame, names: list[str], due: int, blocks: set[int]) -> Iterator[tuple]:
+        """``(position, values)`` from position ``due`` on, as far as they have come; ``blocks`` hold what waits."""
+        early: dict[int, dict[int, tuple]] = {}
+        block, held, count = due // BLOCK, None, 0
         for pos, *values in sorted(zip(*(frame[n].tolist() for n in names)), key=lambda r: r[0]):
             if pos > due:
-                self.early.updateValue((int(pos),), tuple(values))
+                early.setdefault(int(pos) // BLOCK, {})[int(pos)] = tuple(values)
             if pos != due:
                 continue
             while values is not None:
                 yield due, tuple(values)
                 due += 1
-                held = self.early.containsKey((due,))
-                values = tuple(self.early.getValue((due,))) if held else None
-                if held:
-                    self.early.removeKey((due,))
+                if not blocks:
+                    values = None
+                    continue
+                if held is None or due // BLOCK != block:
+                    if held is not None and len(held) < count:
+                        self._keep(block, held, blocks)
+                    block = due // BLOCK
+                    held = self._held(block, blocks)
+                    count = len(held)
+                values = held.pop(due, None)
+        if held is not None and len(held) < count:
+            self._keep(block, held, blocks)
+        for number, rows in early.items():
+            self._keep(number, self._held(number, blocks) | rows, blocks)
 
 
 class _Smoother(_InOrder):
@@ -190,14 +225,15 @@ class _Smoother(_InOrder):
         self.beta = beta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "smooth double, seen bigint, best double, last_us bigint, total_us bigint")
-        self.waiting(handle, "value double, us bigint")
+        self.state = handle.getValueState("run", "smooth double, seen bigint, best double, last_us bigint, total_us bigint, blocks array<bigint>")
+        self.waiting(handle, "double", "bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        smooth, seen, best, last, total = self.state.get() if self.state.exists() else (0.0, 0, None, None, 0)
+        smooth, seen, best, last, total, waits = self.state.get() or (0.0, 0, None, None, 0, [])
+        blocks = set(waits)
         for frame in rows:
             out = []
-            for step, (value, us) in self.ready(frame, ["step", "value", "us"], seen):
+            for step, (value, us) in self.ready(frame, ["step", "value", "us"], seen, blocks):
                 smooth = self.beta * smooth + (1 - self.beta) * value
                 best = value if best is None else min(best, value)
                 total += int(us - last) if step > 1 else 0
@@ -205,8 +241,8 @@ class _Smoother(_InOrder):
                 out.append((key[0], step, smooth / (1 - self.beta ** seen), best, total))
             if out:
                 yield pd.DataFrame(out, columns=["run", "step", "debiased", "best", "total_us"])
-        if seen:
-            self.state.update((float(smooth), int(seen), float(best), last, int(total)))
+        if seen or blocks:
+            self.state.update((float(smooth), int(seen), best if best is None else float(best), last, int(total), sorted(blocks)))
 
     def close(self) -> None:
         pass
@@ -244,22 +280,22 @@ class _Speaker(_InOrder):
         self.table = table
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pending", "raw binary, due bigint")
-        self.waiting(handle, "token bigint")
+        self.state = handle.getValueState("pending", "raw binary, due bigint, blocks array<bigint>")
+        self.waiting(handle, "bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        raw, due = self.state.get() if self.state.exists() else (b"", 0)
-        pending = bytes(raw)
+        raw, due, waits = self.state.get() or (b"", 0, [])
+        pending, blocks = bytes(raw), set(waits)
         for frame in rows:
             out = []
-            for pos, (token,) in self.ready(frame, ["pos", "token"], due):
+            for pos, (token,) in self.ready(frame, ["pos", "token"], due, blocks):
                 due = pos + 1
                 text, pending = split_complete(pending + self.table.get(int(token), b""))
                 if text:
                     out.append((key[0], pos, text))
             if out:
                 yield pd.DataFrame(out, columns=["session", "pos", "text"])
-        self.state.update((pending, int(due)))
+        self.state.update((pending, int(due), sorted(blocks)))
 
     def close(self) -> None:
         pass
