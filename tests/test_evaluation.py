@@ -262,3 +262,10 @@ def test_positions_in_any_order_with_few_calls_to_the_state(seed):
     assert got == [(p, (p * 2,)) for p in range(n)]
     assert walk.early.calls < 120
     assert not [p for rows in walk.early.values() for p in rows[0] if p >= n]
+
+
+def test_seeds_are_dealt_over_tasks_by_their_number(spark):
+    rows = synthesis.dealt(spark.range(0, 10 * synthesis.SEEDS, 1, 1).withColumnRenamed("id", "seed"))
+    sizes = [r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1.1 * synthesis.SEEDS
+    assert rows.distinct().count() == 10 * synthesis.SEEDS

@@ -76,6 +76,15 @@ QUESTION_FORMS = [
 QUOTES = ["", "'", '"']
 
 
+SEEDS = 1 << 16   # of a task, about
+
+
+def dealt(seeds: DataFrame, seed: str = "seed") -> DataFrame:
+    """Seeds dealt over tasks whose work does not grow with the table; a file of seeds is small, what is made of it is not."""
+    tasks = max(seeds.sparkSession.sparkContext.defaultParallelism, -(-seeds.count() // SEEDS))
+    return seeds.repartition(tasks, seed)
+
+
 def _split_seed(idx: Column, split: str) -> Column:
     """Train and test draws never share a seed."""
     if split not in ("train", "test"):
