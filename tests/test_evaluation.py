@@ -1,5 +1,6 @@
 """Metrics, spans, sampling, logs, generators and streams on small tables."""
 
+import hashlib
 import math
 import random
 
@@ -91,6 +92,24 @@ def test_report_and_csv(spark):
     assert str(timed.select(X.report_timestamp(F.col("text"), "timestamp").alias("t")).first().t) == "2024-03-01 10:20:30"
 
 
+def test_requests_shuffle_a_text_once_a_block(spark):
+    """A block of seeds fetches a text once, however often it is drawn, and no text is shuffled after that."""
+    seeds = spark.range(600).select(F.col("id").alias("seed"))
+    texts = spark.range(9).select(F.col("id").alias("conv_id"), F.when(F.col("id") != 3, F.repeat(F.lit("t"), F.col("id").cast("int") + 1)).alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = synthesis.drawn_requests(seeds, texts, "<%USER_FIRST_PROMPTS%>")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = {r.seed: r.request for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Above the join with the draws there is no exchange.
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
+    drawn = lambda s, i: int(hashlib.md5(f"starter|{s}|{i}".encode()).hexdigest()[:15], 16) % 9
+    assert got == {s: "<" + "\n".join("t" * (d + 1) for d in (drawn(s, i) for i in range(5)) if d != 3) + ">" for s in range(600)}
+
+
 def test_generators_are_repeatable_and_valid(spark):
     seeds = spark.range(300).select(F.col("id").alias("seed"))
     make = registry.default_generators()

@@ -77,6 +77,7 @@ QUOTES = ["", "'", '"']
 
 
 SEEDS = 1 << 16   # of a task, about
+BLOCK, BLOCK_BYTES = 1 << 18, 1 << 28   # seeds that share the texts they draw, and bytes of text of their draws, at most
 
 
 def dealt(seeds: DataFrame, seed: str = "seed") -> DataFrame:
@@ -192,14 +193,24 @@ def drawn_requests(seeds: DataFrame, prompts: DataFrame, template: str, k: int =
                    text: str = "text", mark: str = "%USER_FIRST_PROMPTS%") -> DataFrame:
     """``seed, request``: the template with ``k`` texts drawn with replacement from a table of any size.
 
-    Seeds are distinct.  Texts are numbered once in the order of ``key`` and fetched by their number.  Without texts the
-    mark is replaced by nothing.
+    Seeds are distinct.  Texts are numbered once in the order of ``key`` and fetched by their number.  A block of seeds
+    gets each text it draws once, and its requests are put together where the block is: what is shuffled are the
+    texts a block draws, not the texts of every draw.  Without texts the mark is replaced by nothing.
     """
     numbered = materialise(dense_index(prompts.select(key, text), [F.col(key)]).select("idx", text), "prompts")
-    n = numbered.count()
-    draws = seeds.select(seed, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("__i"))
-    draws = draws.withColumn("idx", draw_index(max(n, 1), "starter", F.col(seed), F.col("__i")))
-    lists = draws.join(numbered, "idx", "left").groupBy(seed).agg(F.array_sort(F.collect_list(F.struct("__i", text))).alias("__t"))
+    n, held = numbered.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    block = max(1, min(BLOCK, BLOCK_BYTES * max(n, 1) // (k * max(held, 1))))
+    blocks = max(seeds.sparkSession.sparkContext.defaultParallelism, -(-seeds.count() // block))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(blocks, F.col("__b"))
+
+    own = in_blocks(seeds.select(seed, F.pmod(F.xxhash64(seed), F.lit(blocks)).cast("int").alias("__b")))
+    draws = own.select("__b", seed, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("__i"))
+    # Never null, so that the draw is not made once more to filter.
+    draws = draws.withColumn("idx", F.coalesce(draw_index(max(n, 1), "starter", F.col(seed), F.col("__i")), F.lit(0)))
+    fetched = in_blocks(draws.select("__b", "idx").distinct().join(numbered, "idx"))
+    lists = draws.join(fetched, ["__b", "idx"], "left").groupBy("__b", seed).agg(F.array_sort(F.collect_list(F.struct("__i", text))).alias("__t"))
     drawn = F.array_join(F.transform("__t", lambda x: x[text]), "\n")
     return lists.select(seed, F.replace(F.lit(template), F.lit(mark), drawn).alias("request"))
 
