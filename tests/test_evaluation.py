@@ -65,6 +65,28 @@ def test_spans(spark):
     assert tight.reason == "span_cut_off"
 
 
+def test_common_lengths_over_chunks_and_options_made_once(spark):
+    rng, rows = random.Random(5), [([], []), ([1], []), ([None, 1, 2], [5, 1, 3])]
+    for n in (1, 63, 64, 65, 127, 128, 129, 200):
+        rows += [([7] * n, [7] * n), ([7] * n, [7] * (n + 1)), ([7] * (n - 1) + [8], [7] * n), ([8] + [7] * n, [7] * n),
+                 tuple([rng.choice([7, 7, 7, 7, 7, 7, 8])] * n + [rng.randint(0, 1) for _ in range(n)] for _ in range(2))]
+    frame = spark.createDataFrame([(i, [list(a), list(b)]) for i, (a, b) in enumerate(rows)], "id int, prompt_ids array<array<int>>")
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if None not in (x, y) and x != y), min(len(a), len(b)))
+
+    got = {r.id: (r.p, r.s) for r in frame.select("id", E.common_length_of(F.col("prompt_ids")).alias("p"),
+                                                  E.common_length_of(F.col("prompt_ids"), suffix=True).alias("s")).collect()}
+    assert got == {i: (common(a, b), common(a[::-1], b[::-1])) for i, (a, b) in enumerate(rows)}
+    spans = E.continuation_spans(frame, F.lit("multiple_choice"))
+    # No filter that makes the options once more to see whether there are any.
+    assert "size(" not in " ".join(line for line in spans._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line)
+    assert sorted((r.id, r.option_idx, r.span_start, r.span_end) for r in spans.collect()) == [
+        (i, o, common(*pair), len(pair[o])) for i, pair in enumerate(rows) for o in (0, 1)]
+    none = spark.createDataFrame([(1, []), (2, None)], "id int, prompt_ids array<array<int>>")
+    assert E.continuation_spans(none, F.lit("schema")).count() == 0
+
+
 @pytest.mark.parametrize("beta", [0.5, 0.9, 0.999])
 def test_ema_over_many_steps(spark, beta):
     values = [math.sin(i) + i / 500 for i in range(1500)]

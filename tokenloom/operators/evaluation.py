@@ -77,17 +77,29 @@ def common_length_of(arrays: Column, suffix: bool = False) -> Column:
     seqs = F.transform(arrays, lambda a: F.reverse(a)) if suffix else arrays
 
     def measure(ss):
-        shortest = F.array_min(F.transform(ss, lambda s: F.size(s)))
-        first = F.get(ss, 0)
+        shortest, first = F.array_min(F.transform(ss, lambda s: F.size(s))), F.get(ss, 0)
+        others = F.slice(ss, F.lit(2), F.greatest(F.size(ss) - 1, F.lit(0)))
         # Length of agreement with the first array, the smallest over all arrays.
-        agree = F.transform(ss, lambda s: F.coalesce(
-            F.nullif(F.array_position(F.transform(F.slice(s, F.lit(1), shortest), lambda t, i: t != F.get(first, i)), F.lit(True)), F.lit(0)) - 1,
-            shortest.cast("bigint")))
-        return F.array_min(agree)
+        return T.let(shortest, lambda n: F.coalesce(F.array_min(F.transform(others, lambda s: _agreement(first, s, n))), n))
 
     return T.let(seqs, measure).cast("int")
 
 
+CHUNK = 64   # tokens that are compared at once
+
+
+def _agreement(a: Column, b: Column, upto: Column) -> Column:
+    """Number of tokens before the first difference, at most ``upto``; tokens are looked at singly in unequal chunks only."""
+    def difference(k):
+        x, y = (F.slice(s, k * CHUNK + 1, F.least(F.lit(CHUNK), upto - k * CHUNK)) for s in (a, b))
+        place = F.nullif(F.array_position(F.zip_with(x, y, lambda t, u: t != u), F.lit(True)), F.lit(0))
+        return F.when(x != y, (place + k * CHUNK - 1).cast("int"))
+
+    chunks = F.sequence(F.lit(0), F.greatest(F.ceil(upto / CHUNK).cast("int") - 1, F.lit(0)))
+    found = F.aggregate(chunks, F.lit(None).cast("int"), lambda at, k: F.coalesce(at, difference(k)))
+    return F.coalesce(found, upto)
+
+
 def continuation_spans(items: DataFrame, kind: Column, prompts: str = "prompt_ids") -> DataFrame:
     """One row per option with ``ids, span_start, span_end``; items that break the rules get a ``reason``.
 
@@ -95,18 +107,17 @@ def continuation_spans(items: DataFrame, kind: Column, prompts: str = "prompt_id
     first prompt must be a strict prefix of the second, which alone is scored.
     """
     p = F.col(prompts)
-    prefix, suffix = common_length_of(p), common_length_of(p, suffix=True)
     without, full = F.get(p, 0), F.get(p, 1)
-    is_lm = kind == "language_modeling"
+    is_lm, is_schema = kind == "language_modeling", kind == "schema"
     strict = (F.size(without) < F.size(full)) & (F.slice(full, F.lit(1), F.size(without)) == without)
-    option = lambda ids, start, i: F.struct(i.cast("int").alias("option_idx"), ids.alias("ids"), start.cast("int").alias("span_start"),
-                                            F.size(ids).alias("span_end"))
-    spans = (F.when(is_lm, F.array(option(full, F.size(without), F.lit(0))))
-             .when(kind == "schema", T.let(suffix, lambda n: F.transform(p, lambda s, i: option(s, F.size(s) - n, i))))
-             .otherwise(T.let(prefix, lambda n: F.transform(p, lambda s, i: option(s, n, i)))))
-    judged = items.withColumn("reason", F.when(is_lm & ~strict, "not_a_prefix")).withColumn("__s", spans)
-    keep = [c for c in judged.columns if c not in ("__s", prompts)]
-    return judged.select(*keep, F.inline("__s"))
+    shared = F.when(is_lm, F.size(without)).when(is_schema, common_length_of(p, suffix=True)).otherwise(common_length_of(p))
+    judged = items.withColumn("reason", F.when(is_lm & ~strict, "not_a_prefix"))
+    keep = [c for c in judged.columns if c != prompts]
+    judged = judged.select(*keep, shared.alias("__n"), is_schema.alias("__schema"), F.when(is_lm, F.array(full)).otherwise(p).alias("__o"))
+    # Outer, because the filter that Spark infers for an inner one makes the options several times.
+    options = judged.select(*keep, "__n", "__schema", F.posexplode_outer("__o").alias("option_idx", "ids")).where("option_idx IS NOT NULL")
+    start = F.when(F.col("__schema"), F.size("ids") - F.col("__n")).otherwise(F.col("__n"))
+    return options.select(*keep, "option_idx", "ids", start.alias("span_start"), F.size("ids").alias("span_end"))
 
 
 def span_crop(rows: DataFrame, max_len: int) -> DataFrame:
