@@ -132,6 +132,17 @@ def test_requests_shuffle_a_text_once_a_block(spark):
     assert got == {s: "<" + "\n".join("t" * (d + 1) for d in (drawn(s, i) for i in range(5)) if d != 3) + ">" for s in range(600)}
 
 
+def test_mix_plays_each_game_once(spark):
+    seeds = spark.range(200).select(F.col("id").alias("seed"))
+    made = registry.game_rows(seeds, "seed")
+    assert sum("cell" in line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+    ended = {r.seed for r in synthesis.game_dialogues(seeds).collect() if len(r.messages) % 2 == 0}
+    got = {r.seed: (r.prompt, r.json) for r in made.collect()}
+    made_up = {r.seed: (r.prompt, r.json) for r in registry.calculator_rows(seeds, "seed").collect()}
+    assert len(got) == 200 and 0 < len(ended) < 200
+    assert all(p.startswith("Tic-tac-toe") and "print(board)" in j if s in ended else (p, j) == made_up[s] for s, (p, j) in got.items())
+
+
 def test_generators_are_repeatable_and_valid(spark):
     seeds = spark.range(300).select(F.col("id").alias("seed"))
     make = registry.default_generators()

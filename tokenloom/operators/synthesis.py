@@ -161,18 +161,20 @@ def simple_spelling(seeds: DataFrame, words: DataFrame, split: str = "train", id
 
 # ---------------------------------------------------------------- expressions
 
-def expression_problems(seeds: DataFrame, seed: str = "seed", until_valid: bool = True) -> DataFrame:
+def expression_problems(seeds: DataFrame, seed: str = "seed", until_valid: bool = True, wanted: str | None = None) -> DataFrame:
     """Random arithmetic problems: ``prompt, json, answer``; one per seed row.
 
     The code text is fully bracketed and shows the guard of the division, so it evaluates
     to the answer; the natural text keeps brackets optional.  Without ``until_valid`` the
-    first draw counts and rows without a usable answer are left out.
+    first draw counts and rows without a usable answer are left out.  ``wanted`` names a
+    BOOLEAN column; rows that are not wanted stay, with null texts and 0 as answer.
     """
     schema = StructType(list(seeds.schema.fields)).add("prompt", "string").add("json", "string").add("answer", "double")
 
     def make(batches):
         for batch in batches:
-            made = [expressions.problem(s, until_valid) for s in batch[seed]]
+            need = batch[wanted] if wanted else [True] * len(batch)
+            made = [expressions.problem(s, until_valid) if n else (None, None, 0.0) for s, n in zip(batch[seed], need)]
             yield batch.assign(**{name: [m[i] for m in made] for i, name in enumerate(("prompt", "json", "answer"))})
 
     return valid_problems(seeds.mapInPandas(make, schema))

@@ -120,9 +120,11 @@ def calculator_rows(seeds: DataFrame, seed: str) -> DataFrame:
 def game_rows(seeds: DataFrame, seed: str) -> DataFrame:
     """Flattened dialogues; those that do not end on a reply are replaced by expressions."""
     games = flatten_games(synthesis.game_dialogues(seeds, seed).select(*seeds.columns, "messages"))
-    kept = games.where("kind = 'tic-tac-toe'").select(*seeds.columns, "prompt", "json")
-    rest = games.where("kind = 'calculator'").select(*seeds.columns)
-    return kept.unionByName(calculator_rows(rest, seed).select(*kept.columns))
+    # One pass: two branches that filter by kind would play every game four times.
+    open_rows = games.select(*seeds.columns, F.struct("prompt", "json").alias("__game"), (F.col("kind") == "calculator").alias("__open"))
+    filled = synthesis.expression_problems(open_rows, seed, wanted="__open")
+    either = lambda made, name: F.when(F.col("__open"), made).otherwise(F.col("__game")[name]).alias(name)
+    return filled.select(*seeds.columns, either(F.col("prompt"), "prompt"), either(text.calc_record(F.col("json"), F.col("answer")), "json"))
 
 
 def default_generators() -> Generators:
