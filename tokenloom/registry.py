@@ -120,7 +120,7 @@ def calculator_rows(seeds: DataFrame, seed: str) -> DataFrame:
 def game_rows(seeds: DataFrame, seed: str) -> DataFrame:
     """Flattened dialogues; those that do not end on a reply are replaced by expressions."""
     games = flatten_games(synthesis.game_dialogues(seeds, seed).select(*seeds.columns, "messages"))
-    # One pass: two branches that filter by kind would play every game four times.
+    # One pass: branches that filter by kind play every game again.
     open_rows = games.select(*seeds.columns, F.struct("prompt", "json").alias("__game"), (F.col("kind") == "calculator").alias("__open"))
     filled = synthesis.expression_problems(open_rows, seed, wanted="__open")
     either = lambda made, name: F.when(F.col("__open"), made).otherwise(F.col("__game")[name]).alias(name)
