@@ -1,7 +1,9 @@
 """Words, encodings and the vocabulary, against fixed arrays and a plain single-process version."""
 
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -236,6 +238,32 @@ def test_merging_a_large_batch_comes_in_portions(spark, monkeypatch):
     assert pa.concat_arrays(parts).to_pylist() == M.merge_framed(framed, M.MergeTable.of(merges)).to_pylist()
 
 
+def test_texts_reach_the_merging_workers_in_short_batches(spark, monkeypatch):
+    """What a worker holds must not grow with the rows of its task, whatever the session allows: a batch ends with the row that fills it."""
+    monkeypatch.setattr(bpe, "M", SimpleNamespace(
+        MergeTable=M.MergeTable, PORTION=0, BATCH=4 << 20, portions=lambda batch, most: [batch],
+        merge_framed=lambda batch, table: pa.array([f"{len(batch)} {batch.nbytes}"] * len(batch))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+    text = F.expr("repeat('a', if(id = 39, 6, 1) * 1048576)")
+    merged = bpe.with_merged(spark.range(0, 40, 1, 1), text, [(97, 98, 267)]).collect()
+    sizes = [tuple(map(int, r["__merged"].split())) for r in merged]
+    assert len(sizes) == 40 and max(rows for rows, _ in sizes) > 1
+    assert max(size for _, size in sizes[:30]) <= 5 << 20 and sizes[39][1] <= 11 << 20
+
+
+def test_portions_use_little_memory_beside_their_text():
+    """The arrays a portion is merged on take many times its size."""
+    framed = pa.array([f"{chr(D)}word{n}{chr(U)} " * 40 for n in range(20_000)])
+    table = M.MergeTable.of([(97, 98, 267)])
+    tracemalloc.start()
+    try:
+        for portion in M.portions(framed, M.PORTION):
+            M.merge_framed(portion, table)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_sql_functions_answer_in_portions(spark, monkeypatch):
     monkeypatch.setattr(registry, "PORTION", 100)
     made = {}

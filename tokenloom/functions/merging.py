@@ -70,7 +70,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-PORTION = 1 << 22   # bytes of text that are worked on at once
+PORTION = 1 << 19   # bytes of text that are worked on at once
+BATCH = 1 << 22     # bytes of an Arrow batch of texts
 
 
 def portions(column: pa.Array, most: int) -> Iterator[pa.Array]:

@@ -287,7 +287,12 @@ def merge_word(word: str, rank: dict[str, str]) -> str:
 
 
 def merge_udf(spark: SparkSession, merges: list[Merge]):
-    """Arrow function that merges the framed words of token strings, a portion at a time (``merging.merge_framed``)."""
+    """Arrow function that merges the framed words of token strings, a portion at a time (``merging.merge_framed``).
+
+    A worker holds a batch and what comes of a portion of it, so batches are kept short, whatever rows a task has.
+    The setting stays: a DataFrame is planned when it is run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", M.BATCH)
     shared = spark.sparkContext.broadcast(M.MergeTable.of(merges))
 
     @F.arrow_udf("string")
