@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom import registry
+from tokenloom.catalog import load
 from tokenloom.functions import merging as M
 from tokenloom.functions import tokens as T
 from tokenloom.operators import bpe, nesting
@@ -251,6 +252,30 @@ def test_texts_reach_the_merging_workers_in_short_batches(spark, monkeypatch):
     assert max(size for _, size in sizes[:30]) <= 5 << 20 and sizes[39][1] <= 11 << 20
 
 
+@pytest.mark.parametrize("name", ["F2_encode_corpus"])
+def test_queries_merge_short_batches(spark, monkeypatch, tmp_path, name):
+    """No batch of a registered query grows with the rows of its task, and short batches change no row."""
+    n = F.col("id")
+    spark.range(0, 400, 1, 1).select(
+        n.alias("doc_id"), F.concat(F.lpad(n.cast("string"), 4, "0"), F.expr("repeat(' then [one of them', 500)")).alias("text"),
+        F.concat(F.lit("l"), n % 3).alias("lang"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = load()[0][name](spark, str(tmp_path)).collect()
+    seen = str(tmp_path / "sizes")
+
+    def portions(batch, most):
+        with open(seen, "a") as f:
+            f.write(f"{batch.nbytes}\n")
+        return [batch]
+
+    monkeypatch.setattr(bpe, "M", SimpleNamespace(
+        MergeTable=M.MergeTable, PORTION=0, BATCH=1 << 16, portions=portions, merge_framed=M.merge_framed))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+    assert sorted(load()[0][name](spark, str(tmp_path)).collect()) == sorted(whole)
+    with open(seen) as f:
+        sizes = [int(line) for line in f]
+    assert max(sizes) <= 3 << 15 and sum(sizes) > 400 * 9_000
+
+
 def test_portions_use_little_memory_beside_their_text():
     """The arrays a portion is merged on take many times its size."""
     framed = pa.array([f"{chr(D)}word{n}{chr(U)} " * 40 for n in range(20_000)])
