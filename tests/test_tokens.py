@@ -252,7 +252,7 @@ def test_texts_reach_the_merging_workers_in_short_batches(spark, monkeypatch):
     assert max(size for _, size in sizes[:30]) <= 5 << 20 and sizes[39][1] <= 11 << 20
 
 
-@pytest.mark.parametrize("name", ["F2_encode_corpus", "A20_corpus_budget"])
+@pytest.mark.parametrize("name", ["F2_encode_corpus", "A20_corpus_budget", "J5_compare_tokenizers"])
 def test_queries_merge_short_batches(spark, monkeypatch, tmp_path, name):
     """No batch of a registered query grows with the rows of its task, and short batches change no row."""
     n = F.col("id")
