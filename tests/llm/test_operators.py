@@ -590,3 +590,48 @@ def test_long_url_lists_need_no_broadcast(spark, monkeypatch):
         assert rows(urls.filter_urls(pages, rules)) == sort([(i, *want(u)) for i, u in data])
     assert urls.filter_urls(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("long_list,block", [(64, 512), (2, 8)])
+def test_long_texts_without_a_link_meet_by_sketches_only(spark, monkeypatch, long_list, block):
+    """Texts that share a fifth of their shingles: counts by 64 buckets let all of them pass, and their texts met in pairs of blocks."""
+    from tokenloom.llm import ngram_join
+
+    rng, held, write = random.Random(4), {}, ngram_join.materialise
+
+    def counted(df, label):
+        held[label] = (out := write(df, label)).count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "LIST", long_list)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(6000)) for _ in range(30)]
+    near = texts[3].split(" ")
+    near[1000] = "other"
+    got = ngram_join.similar_groups(spark.createDataFrame(list(enumerate([*texts, " ".join(near)])), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i for i in range(30)} | {30: 3}
+    assert held["tasks"] == 2
+
+
+def test_sketches_bound_the_difference():
+    from tokenloom.llm.ngram_join import folded, sketch
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 63, 64, 65, 1000, 4096, 4097):
+        both = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for m in (0, 1, 40, 3000):
+            own = np.concatenate([both, rng.integers(0, 2**63, m, dtype=np.uint64)])
+            marks = [np.frombuffer(sketch(x), dtype="<u8")[None] for x in (both, own)]
+            assert all(max(64, len(x)) <= 64 * s.shape[1] <= max(64, 2 * len(x)) for x, s in zip((both, own), marks))
+            one, two = (folded(s, min(x.shape[1] for x in marks)) for s in marks)
+            assert np.bitwise_count(one ^ two).sum() <= m
+
+
+def test_one_of_each_group_with_a_full_map(docs, monkeypatch):
+    """A map without a free bit lets all rows through to the join; the rows kept are the same."""
+    from tokenloom.llm import ngram_join
+
+    want = rows(ngram_join.one_of_each_group(docs).select("doc_id", "text"))
+    monkeypatch.setattr(ngram_join, "MARKED", 1)
+    assert rows(ngram_join.one_of_each_group(docs).select("doc_id", "text")) == want
