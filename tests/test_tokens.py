@@ -1,5 +1,6 @@
 """Words, encodings and the vocabulary, against fixed arrays and a plain single-process version."""
 
+import hashlib
 import random
 import tracemalloc
 from collections import Counter
@@ -165,6 +166,39 @@ def test_nesting_coordinates(dims):
         assert coordinates(np.array(ids, dtype=np.int64), dims).tolist() == plain_coordinates(ids, dims)
 
 
+def test_coordinates_of_several_sequences():
+    import numpy as np
+
+    rng = random.Random(7)
+    own = [rng.choices([D, U, 5, 9], k=n) for n in (0, 3, 40, 0, 1, 200, 0)]
+    bounds = np.append(0, np.cumsum([len(x) for x in own]))
+    for dims in (1, 3, 8):
+        assert coordinates(np.array(sum(own, []), dtype=np.int64), dims, bounds).tolist() == [c for x in own for c in plain_coordinates(x, dims)]
+
+
+@pytest.mark.parametrize("portion", [1 << 20, 80])
+def test_digests_are_made_where_the_coordinates_are(spark, monkeypatch, portion):
+    """The texts of a batch are made and hashed in parts, also within one long row; no list of coordinates is returned."""
+    monkeypatch.setattr(nesting, "PORTION", portion)
+    rng = random.Random(3)
+    own = [rng.choices([D, U, 5, 9], k=n) for n in (0, 1, 9, 10, 11, 0, 4000, 30)]
+    got = pa.concat_arrays(nesting.digest_udf(8, 1000).func(iter([pa.array(["".join(map(chr, x)) for x in own])])))
+    texts = [";".join(" ".join(str(min(c, 999)) for c in row) for row in plain_coordinates(x, 8)) for x in own]
+    assert got.to_pylist() == [hashlib.md5(t.encode()).hexdigest() for t in texts]
+
+
+def test_nesting_query_leaves_no_coordinates_to_spark(spark, tmp_path):
+    """It answers like its SQL twin for null and empty texts too, and only strings come back from Python."""
+    texts = [None, "", "a", "foo (bar [baz]) x]]y} " * 300, " \t=:.,", "<|bos|>a é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = load()[0]["W12_nesting_coordinates"](spark, str(tmp_path))
+    got = {r.doc_id: (r.downs, r.coords_md5) for r in query.collect()}
+    for i, text in enumerate(texts):
+        ids = bpe.encode_corpus(spark.createDataFrame([(text or "",)], "text string")).first().ids
+        assert got[i] == (ids.count(D), hashlib.md5(";".join(" ".join(map(str, c)) for c in plain_coordinates(ids, 8)).encode()).hexdigest())
+    assert "md5(" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nesting_profile(spark):
     rows = spark.createDataFrame([(1, [D, D, 5, U, D, U, U]), (2, [])], "doc_id int, ids array<int>")
     assert {r.doc_id: r.max_depth for r in nesting_profile(rows).collect()} == {1: 2, 2: 0}
