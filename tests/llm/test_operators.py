@@ -635,3 +635,22 @@ def test_one_of_each_group_with_a_full_map(docs, monkeypatch):
     want = rows(ngram_join.one_of_each_group(docs).select("doc_id", "text"))
     monkeypatch.setattr(ngram_join, "MARKED", 1)
     assert rows(ngram_join.one_of_each_group(docs).select("doc_id", "text")) == want
+
+
+def test_one_of_each_group_moves_only_texts_with_a_partner(spark, monkeypatch):
+    """Neither the comparison nor the choice of rows shuffles texts that have no candidate."""
+    from tokenloom.llm import ngram_join
+
+    rng, counts, held = random.Random(6), [], ngram_join._held
+
+    def counted(df, marked):
+        out = held(df, marked)
+        counts.append(out.where("__held").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_held", counted)
+    texts = [" ".join(f"w{rng.randrange(8)}" for _ in range(6000)) for _ in range(20)]
+    data = list(enumerate([*texts, texts[3][:-3], "", None]))
+    kept = ngram_join.one_of_each_group(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(20), 21, 22]
+    assert counts == [2, 2]
